@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, storage, url_filter, warc
+from . import line_dedup, ngram_join, storage, url_filter, warc
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.similar_groups(docs, n=4, similarity=(85, 100))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = storage.read_table(spark, sf_dir, "pages")
     files = warc.write(pages, storage.scratch(spark, "warc"))
@@ -30,6 +35,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)]) end as s from w
+), n as (select doc_id, len(s) as n from s), e as (select doc_id, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+u as (select a, b from l union all select b, a from l),
+r(x, y) as (select doc_id, doc_id from n union select r.x, u.b from r join u on u.a = r.y)
+select n.doc_id, cast(n.n as bigint) as n_shingles, min(r.y) as component_id from n join r on r.x = n.doc_id group by 1, 2
+"""
+
 OP4_SQL = """
 with p as (
   select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages
@@ -69,8 +88,8 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_warc, op9_line_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, storage, url_filter, warc
+from . import line_dedup, ngram_join, storage, toxicity, url_filter, warc
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -24,6 +24,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, storage.read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "grade", "rejected")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "lines_removed")
@@ -88,7 +94,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_warc, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_warc, op5_toxicity, op9_line_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -96,14 +96,18 @@ def word_spans(data: np.ndarray, ends: np.ndarray, apart: np.ndarray) -> tuple[n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, ends)
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, kind=BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, byte starts, byte ends of all words, and each text's offsets among them."""
+def word_hashes(data: np.ndarray, ends: np.ndarray, kind=BLANKS, heads: tuple[int, ...] = ()) -> tuple:
+    """Hashes, byte starts, byte ends of all words, and each text's offsets among them.
+
+    For each number in heads another array follows: hashes of the words' first so many bytes.
+    """
     values, apart = kind
     up, down = _grown(len(data) + 1)
     starts, stops, at = word_spans(data, ends, apart)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts]), starts, stops, at
+    hashed = [mix((total[to] - total[starts]) * down[starts]) for to in (stops, *(np.minimum(stops, starts + n) for n in heads))]
+    return hashed[0], starts, stops, at, *hashed[1:]
 
 
 def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

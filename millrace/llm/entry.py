@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, storage, token_store, toxicity, url_filter, warc
+from . import line_dedup, ngram_join, packing, storage, token_store, toxicity, url_filter, warc
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -39,6 +39,14 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_crc(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed, _ = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "lines_removed")
@@ -103,7 +111,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_warc, op5_toxicity, op7_token_store, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_warc, op5_toxicity, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, ngram_join, packing, storage, token_store, toxicity, url_filter, warc
+from . import ann, decontaminate, line_dedup, ngram_join, packing, storage, token_store, toxicity, url_filter, warc
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -22,6 +22,11 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(storage.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, storage.read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = storage.read_table(spark, sf_dir, "pages")
     files = warc.write(pages, storage.scratch(spark, "warc"))
@@ -115,7 +120,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op4_warc, op5_toxicity, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

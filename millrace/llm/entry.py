@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_join, packing, storage, token_store, toxicity, url_filter, warc
+from . import ann, decontaminate, line_dedup, ngram_join, packing, secret_scan, storage, token_store, toxicity, url_filter, warc
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -39,6 +39,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "severity", "grade", "rejected")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings are labelled by formats that only secrets have; the forest's verdict decides."""
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = storage.save(secret_scan.candidates(docs), storage.scratch(spark, "candidates"))
+    labelled = found.withColumn("label", secret_scan.known_formats(F.col("candidate"), F.col("announced")))
+    out = secret_scan.scan(found, secret_scan.train(labelled))
+    return out.select("doc_id", "start", "stop", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -120,7 +129,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op6_secret_scan, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -244,4 +244,6 @@ def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) ->
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that leak an item; rows without an id stay."""
     leaks = find(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leak")).distinct()
+    # Written first, so that Spark knows whether it is small enough to broadcast and texts can stay where they are.
+    leaks = storage.save(leaks, storage.scratch(docs.sparkSession, "leaks"))
     return docs.join(leaks, docs[doc_id] == F.col("__leak"), "left_anti")

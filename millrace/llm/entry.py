@@ -128,8 +128,15 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op6_secret_scan, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter)}
+    every = (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op6_secret_scan, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -220,28 +220,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num:
     """The pairs (a, b, a_size, b_size) that are similar enough: overlaps counted by fragment, summed by pair."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = storage.save(wanted.join(known, "set_id").select(F.col("doc").alias("__wanted")), f"{work}-ids")
+    wanted = storage.save(wanted.join(known, "set_id").select(F.col("doc").alias("__wanted"), F.col("set_id").alias("__set")), f"{work}-ids")
     few = wanted.count() <= BROADCAST_IDS
     docs = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).alias("__text"))
-    docs = docs.join(F.broadcast(wanted) if few else wanted, F.col("__doc") == F.col("__wanted"), "left_semi")
+    docs = docs.join(F.broadcast(wanted) if few else wanted, F.col("__doc") == F.col("__wanted"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, grams, to in _sets(batch.column(0), n):
+            for row, stop, grams, to in _sets(batch.column(0), n):
+                ids = _set_ids(grams, to)
+                meant = ids == batch.column(1).slice(row, stop - row).to_numpy()  # rows may share an id
+                if not meant.all():
+                    grams, ids = grams[np.repeat(meant, np.diff(to))], ids[meant]
+                    to = np.concatenate([[0], np.cumsum(np.diff(to)[meant])])
                 owner, part, _ = _segments(grams, to, np.full(len(to) - 1, PARTS), 0)
                 every = np.repeat(np.arange(len(to) - 1), np.diff(to)) * PARTS + (((grams >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)).astype(np.int64)
                 cuts = np.append(np.searchsorted(every, owner * PARTS + part), len(grams)).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(grams, to)[owner]), pa.array(part.astype(np.int32)), held], ["set_id", "part", "grams"])
-
-    segments = docs.select("__text").mapInArrow(task, "set_id long, part int, grams array<long>")
-    # Rows that share an id or a set may give a segment twice.
-    segments = segments.groupBy("set_id", "part").agg(F.first("grams").alias("grams"))
-    segments = storage.save(segments, f"{work}-segments")
-    left = segments.select(F.col("set_id").alias("a"), "part", F.col("grams").alias("of_a"))
-    right = segments.select(F.col("set_id").alias("b"), "part", F.col("grams").alias("of_b"))
-    part = pairs.join(left, "a").join(right, ["b", "part"])
-    part = part.select("a", "b", "a_size", "b_size", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(part.astype(np.int32)), held], ["set_id", "part", "grams"])
+
+    segments = docs.select("__text", "__set").mapInArrow(task, "set_id long, part int, grams array<long>")
+    segments = storage.save(segments.withColumn("at", F.xxhash64("set_id", "part")), f"{work}-segments").hint("merge")
+    asked = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    asked = asked.withColumns({"at_a": F.xxhash64("a", "part"), "at_b": F.xxhash64("b", "part")})
+    # Segments are dealt out by one key for both joins, so that they move once.
+    held = segments.select("at", "grams")
+    met = asked.join(held, F.col("at_a") == F.col("at")).drop("at").withColumnRenamed("grams", "of_a")
+    met = met.join(held, F.col("at_b") == F.col("at"))
+    part = met.select("a", "b", "a_size", "b_size", "part", F.size(F.array_intersect("of_a", "grams")).alias("common"))
+    # Rows that are repeated whole give a segment, and so its overlap, more than once.
+    part = part.groupBy("a", "b", "a_size", "b_size", "part").agg(F.max("common").alias("common"))
     both = part.groupBy("a", "b", "a_size", "b_size").agg(F.sum("common").alias("common"))
     return both.where(F.col("common") * (num + den) >= (F.col("a_size") + F.col("b_size")) * num).select("a", "b")
 
@@ -292,3 +300,12 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     out = storage.save(out, f"{folder}-out")
     storage.remove(spark, folder)
     return out
+
+
+def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group, that with the smallest id; rows that share an id stay or go together."""
+    groups = similar_groups(docs, n, similarity, doc_id, text)
+    lost = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct()
+    # Written first, so that Spark knows whether it is small enough to broadcast and texts can stay where they are.
+    lost = storage.save(lost, storage.scratch(docs.sparkSession, "lost"))
+    return docs.join(lost, docs[doc_id] == F.col("__lost"), "left_anti")

@@ -7,9 +7,10 @@ every document's set into segments.
 2. Candidates. Two sets that are similar enough differ in at most D n-grams, D following from their
    sizes. With k > D fragments at least k - D segments are therefore equal in both, so an equi-join on
    segment hashes finds every such pair, whatever n-grams are frequent. Sizes fall into bands; a set
-   is cut for its own band, and for the band below if a set in that band can be similar to it. k has
-   some slack, so that empty segments (equal in any two sets) need not be joined; a set with more empty
-   segments than the slack allows is also cut by further orders, until one suits it.
+   is cut for its own band, and for the band below if a set in that band can be similar to it. k is large
+   enough for a set of the band's smallest size to fill more than D segments as a rule, so that empty
+   segments (equal in any two sets) need not be joined; a set that fills fewer is also cut by further
+   orders, until one suits it, and if none of ORDERS does, its empty segments under the first are joined.
 3. In each run of equal segments, sets are compared with the run's first and with their neighbour. A
    parity sketch, whose Hamming distance never exceeds the number of differing n-grams, drops most
    candidates; for the others partial overlaps are counted fragment by fragment and summed per pair.
@@ -42,6 +43,8 @@ SKETCH = 8
 BROADCAST_IDS = 2_000_000
 #: A size band reaches from L to L / BAND.
 BAND = 0.6
+#: Orders by which a set is cut at most, before its empty segments are joined.
+ORDERS = 12
 #: Sets that a task remembers, so as to emit equal ones once.
 REMEMBER = 500_000
 _SKETCHES = [f"p{i}" for i in range(SKETCH)]
@@ -59,7 +62,19 @@ class Bands:
         top = np.append(self.low[1:] - 1, self.low[-1])
         self.reach = den * top // num  # the largest set similar to one of the band
         self.d = (top + self.reach) * (den - num) // (num + den)
-        self.k = self.d + 1 + -(-3 * self.d // 100)
+        self.k = np.array([self._fragments(int(size), int(d)) for size, d in zip(self.low, self.d)], np.int64)
+
+    @staticmethod
+    def _fragments(size: int, d: int) -> int:
+        """The fewest fragments (nearly) of which `size` n-grams fill more than d, two standard deviations aside."""
+        k = d + 1
+        while d and k < 4 * (d + 1):
+            empty = np.exp(-size / k)
+            spread = np.sqrt(max(k * empty * (1 - empty * (1 + size / k)), 0.0))
+            if k * (1 - empty) - 2 * spread >= d + 1:
+                break
+            k += max(1, k // 50)
+        return k
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
@@ -124,6 +139,20 @@ def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> t
     return owner[at], fragment[at].astype(np.int64), held
 
 
+def _empty_segments(grams: np.ndarray, to: np.ndarray, index: np.ndarray, k: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set's index, key) of the fragments of the first order in which the sets have nothing.
+
+    Two similar sets that no order suits have an equal segment there; if it isn't empty they meet by it anyhow.
+    """
+    owners, keys = [], []
+    for i, n, b in zip(index.tolist(), k.tolist(), band.tolist()):
+        own = grams[to[i] : to[i + 1]]
+        fragment = np.setdiff1d(np.arange(n), ((own >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32))
+        keys.append(words.mix(np.uint64(0x8CB92BA72F3D8DD7) ^ words.mix(np.uint64([b]) * np.uint64(0xA24BAED4963EE407) + fragment.astype(np.uint64))))
+        owners.append(np.full(len(fragment), i))
+    return np.concatenate(owners), np.concatenate(keys)
+
+
 def segment_keys(grams: np.ndarray, to: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set's index, key) of all segments by which the sets can meet similar ones."""
     sizes = np.diff(to)
@@ -147,6 +176,9 @@ def segment_keys(grams: np.ndarray, to: np.ndarray, bands: Bands) -> tuple[np.nd
             here = np.zeros(len(sizes), bool)
             here[index[full <= d]] = True  # k - full empty segments: as many as may be equal in two similar sets
             order += 1
+            if order == ORDERS and here.any():
+                found.append(_empty_segments(grams, to, np.flatnonzero(here), bands.k[band[here]], band[here]))
+                break
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).view(np.int64)

@@ -1,0 +1,179 @@
+"""Operators that SQL can't express, against plain computations, with nulls, ties, repeats and empty tables."""
+
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from millrace.llm import ann, decontaminate, entry, line_dedup, ngram_join, packing, toxicity, url_filter
+
+DATA = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def sets_of(text, n):
+    w = words_of(text)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def groups_by_hand(rows, n, num, den):
+    held = [(doc, sets_of(text, n)) for doc, text in rows]
+    root = {doc: doc for doc, _ in held}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(held, 2):
+        if x and y and den * len(x & y) >= num * len(x | y):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    return {doc: (len(s), top(doc)) for doc, s in held}
+
+
+@pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
+def test_groups_of_varied_copies(spark, n, num, den):
+    rng = np.random.default_rng(n)
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a " * 3000)]
+    for size in (3, 5, 9, 14, 40, 130, 600):
+        base = [f"w{i}" for i in rng.integers(0, 5000, size)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, max(2, size // 40 + 2)))):
+                copy[int(rng.integers(0, size))] = f"x{rng.integers(0, 9999)}"
+            rows.append((len(rows) + 1, " ".join(copy)))
+    found = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), n, (num, den)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_by_hand(rows, n, num, den)
+
+
+def test_every_set_gets_a_key_and_cutting_ends():
+    bands = ngram_join.Bands(4, 5)
+    rng = np.random.default_rng(1)
+    sizes = np.arange(1, 400)
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    grams = np.concatenate([np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes])
+    index, keys = ngram_join.segment_keys(grams, to, bands)
+    assert len(index) == len(keys) and set(index.tolist()) == set(range(len(sizes)))
+
+
+def test_nearest_recall_and_scores(spark):
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    ok = [r for r in table if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids = np.array([r["vec_id"] for r in ok])
+    vectors = np.array([r["embedding"] for r in ok], float)
+    found = entry.op2_nearest(spark, DATA).collect()
+    hits = total = 0
+    for q in [i for i in range(len(ids)) if ids[i] % 100 == 0]:
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        far[q] = np.inf
+        best = set(ids[np.lexsort((ids, far))[:10]].tolist())
+        mine = sorted((r for r in found if r["query_id"] == ids[q]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 11))
+        assert [(r["score"], r["vec_id"]) for r in mine] == sorted((r["score"], r["vec_id"]) for r in mine)
+        for r in mine:
+            assert r["score"] == pytest.approx(far[list(ids).index(r["vec_id"])], abs=1e-9)
+        hits += len(best & {r["vec_id"] for r in mine})
+        total += 10
+    assert hits / total >= 0.9
+
+
+def test_leaks_are_found_and_clean_documents_left(spark):
+    rng = np.random.default_rng(2)
+    item = " ".join(f"q{i}" for i in rng.integers(0, 9999, 40))
+    other = " ".join(f"z{i}" for i in rng.integers(0, 9999, 300))
+    near = item.split()
+    near[0] = "changed"
+    rows = [(1, other), (2, other + " " + item.upper() + ". " + other), (3, other + " " + " ".join(near)), (4, None), (5, ""), (6, " ".join(item.split()[:10]) + other), (None, item)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC)
+    items = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    found = decontaminate.find(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"]) for r in found} == {(2, 1, 300), (3, 1, 300)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {1, 4, 5, 6, None}
+    assert decontaminate.find(docs, items.limit(0)).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    data = DATA.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    rows = toxicity.score(docs, model).join(labels.where("doc_id % 2 = 1 and toxic is not null"), "doc_id").select("rejected", "toxic").collect()
+    assert rows and sum(r["rejected"] == bool(r["toxic"]) for r in rows) / len(rows) >= 0.95
+    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).where("rejected").count() == 0
+
+
+def test_packing_holds_every_token_once(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = entry.op8_packing(spark, DATA).collect()
+    tokens = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    tokens.encode_special_tokens = True
+    expected = {}
+    for r in docs.collect():
+        ids = [*tokens.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            cut = np.array(ids[at : at + 4096], "<u4")
+            expected[r["doc_id"], k] = (at, len(cut), zlib.crc32(cut.tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected
+    used = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 4096
+    least = -(-sum(used.values()) // 4096)
+    assert len(used) <= least * 1.02 + 1
+
+
+def test_packing_plan_is_close_to_the_bound():
+    histogram = {3000: 40, 2000: 70, 1096: 40, 96: 70}
+    made = packing.plan(histogram, 4096)
+    assert made.sequences <= 80
+
+
+def test_token_store_round_trip(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    tokens = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    tokens.encode_special_tokens = True
+    start, expected = 0, []
+    for doc in sorted(docs):
+        ids = np.array([*tokens.encode(docs[doc] or "", add_special_tokens=False).ids, 0], "<u4")
+        expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in entry.op7_token_store(spark, DATA).collect()) == expected
+
+
+def test_secrets_have_a_verdict_and_a_place(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = entry.op6_secret_scan(spark, DATA).collect()
+    assert rows and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(0 <= r["start"] < r["stop"] <= len(texts[r["doc_id"]]) for r in rows)
+
+
+def test_lines_on_many_sites_stay_once(spark):
+    rows = [(i, f"own {i}\nshared line\n---", "en", f"s{i}" if i else None, 1) for i in range(7)] + [(9, None, "en", "s", 1), (10, "", None, None, None)]
+    out = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert out[0] == ("own 0\nshared line\n---", 0)
+    assert all(out[i] == (f"own {i}\n---", 1) for i in range(1, 7))
+    assert out[9] == (None, 0) and out[10] == ("", 0)
+
+
+def test_urls_without_host_and_repeats(spark):
+    pages = spark.createDataFrame([(1, None, "a"), (2, "nothing", "b"), (3, "http://A.Com/en/1?x", "c"), (3, "http://A.Com/en/1?x", "c")], "page_id long, url string, host string")
+    rules = spark.createDataFrame(entry.URL_RULES, "host string, path string, verdict string")
+    out = sorted((r["page_id"], r["url_host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_pages(pages, rules).collect())
+    assert out[0] == (1, "", "", None, "allow") and out[2:] == [(3, "a.com", "/en/1", "com/en/", "block")] * 2
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], DOC)
+    assert ngram_join.similar_groups(docs).count() == 0
+    assert line_dedup.dedup_lines(docs).count() == 0
+    assert packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))[0].count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), ann.F.col("vec_id") % 100 == 0).count() == 0

@@ -2,7 +2,8 @@
 
 Pieces are runs of text that a tokenizer file never joins across: with a byte-level splitting pattern a
 piece is a run of white space with the run of other characters that follows it; where the file drops
-white space it is each run of other characters. A worker encodes every piece it meets once, keeps its ids
+white space it is each run of other characters. Leading letters are a piece apart from a mark that follows
+them, as both patterns keep letters and marks apart. A worker encodes every piece it meets once, keeps its ids
 while there is room, and joins ids of whole texts from them. Files of any other make are given whole texts.
 """
 
@@ -11,28 +12,50 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Pieces that a worker keeps, and the longest piece it keeps.
+#: Pieces that a worker keeps of either generation, and the longest piece it keeps.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
+#: Latin-1's letters and digits, which lower case keeps letters and digits, and marks that a word never goes on with.
+_LETTERS, _STOPS = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", ".,;:!?"
+#: A run without white space, cut once: where its leading letters meet a mark.
+_RUN = f"(?:[{_LETTERS}]++(?:(?=[{_STOPS}])|[^{WHITE}]*+)|[^{WHITE}]++)"
 
 
 def _pattern(spec: dict) -> re.Pattern | None:
     splitter, normalizer = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space") and normalizer is None:
-        return re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        return re.compile(f"[{WHITE}]*+{_RUN}|[{WHITE}]+")
     steps = splitter.get("pretokenizers") or []
     drops = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex")
     kinds = [x.get("type") for x in (normalizer or {}).get("normalizers", [])]
     if drops and set(kinds) <= {"NFC", "Replace", "Lowercase"} and r"[^\s" in json.dumps(steps[0]["pattern"]).replace("\\\\", "\\"):
-        return re.compile(f"[^{WHITE}]+")
+        return re.compile(_RUN)
     return None
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes, encoded when first asked for; pieces in use outlast those met once."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        self.ids, self.older = ids, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        held = self.older.get(piece) or self.ids(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = held
+        return held
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,27 +66,18 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.pattern = _pattern(json.load(f))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self._ids)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian bytes of self.dtype."""
-        texts = [x or "" for x in texts]
         if self.pattern is None:
-            return self._ids(texts)
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        pieces = [self.pattern.findall(x) for x in texts]
-        new = list(set().union(*pieces) - self.known.keys())
-        long = [x for x in new if len(x) > CACHE_CHARS]
-        self.known.update(zip(new, self._ids(new)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, x)) for x in pieces]
-        for x in long:
-            del self.known[x]
-        return out
+            return [self._ids(x or "") for x in texts]
+        get, cut = self.known.__getitem__, self.pattern.findall
+        return [b"".join(map(get, cut(x or ""))) for x in texts]
 
 
 @lru_cache(2)

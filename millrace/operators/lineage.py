@@ -133,3 +133,56 @@ def best_predecessor(edges: DataFrame) -> DataFrame:
     """For each target the source with the most telling transform; the smallest name among equals."""
     rank = F.struct((-priority(F.col("transform_type"))).alias("r"), F.col("source_col").alias("s"), F.col("transform_type").alias("t"))
     return edges.groupBy("target_col").agg(F.min(rank).alias("best")).select("target_col", F.col("best.s").alias("source_col"), F.col("best.t").alias("transform_type"))
+
+
+def short_names(edges: DataFrame) -> DataFrame:
+    """short, candidates, full: table names that are the end of others, how many, and the first of those; ids without a dot name no table."""
+    ends = edges.select(F.col("source_col").alias("id")).unionAll(edges.select("target_col"))
+    names = ends.where(F.contains("id", F.lit("."))).select(table_of(F.col("id")).alias("name")).distinct()
+    longer = names.withColumn("dots", F.length("name") - F.length(F.replace("name", F.lit("."), F.lit("")))).where("dots > 0")
+    longer = longer.select(F.col("name").alias("long"), F.explode(F.expr("transform(sequence(1, dots), i -> substring_index(name, '.', -i))")).alias("name"))
+    met = names.join(longer, "name").groupBy(F.col("name").alias("short"))
+    return met.agg(F.count("*").alias("candidates"), F.min("long").alias("full"))
+
+
+def resolve_short_names(edges: DataFrame) -> DataFrame:
+    """Endpoints of a table that is the end of exactly one other table's name get that name; ambiguous ones stay."""
+    known = short_names(edges).where("candidates = 1").select("short", "full")
+    out = edges
+    for end in ("source_col", "target_col"):
+        named = out.withColumn("short", F.when(F.contains(end, F.lit(".")), table_of(F.col(end)))).join(known, "short", "left")
+        whole = F.when(F.col("full").isNotNull(), F.concat("full", F.lit("."), column_of(F.col(end)))).otherwise(F.col(end))
+        out = named.withColumn(end, whole).select(edges.columns)
+    return out
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges that are left when nodes without an incoming or outgoing edge are taken away until none is: empty if there is no cycle."""
+    left = _cut(edges)
+    n = left.count()
+    while n:
+        sources, targets = left.select("source_col").distinct(), left.select("target_col").distinct()
+        fewer = left.join(targets.withColumnRenamed("target_col", "source_col"), "source_col", "left_semi")
+        fewer = fewer.join(sources.withColumnRenamed("source_col", "target_col"), "target_col", "left_semi")
+        fewer = _cut(fewer.select(edges.columns))
+        now = fewer.count()
+        if now == n:
+            break
+        left, n = fewer, now
+    return left if n else left.limit(0)
+
+
+def visible(edges: DataFrame, filters: bool = False, join_keys: bool = False) -> DataFrame:
+    """Edges without those of predicates and join keys, unless asked for."""
+    hidden = [t for t, shown in (("filter", filters), ("join_key", join_keys)) if not shown]
+    return edges.where(~F.col("transform_type").isin(hidden)) if hidden else edges
+
+
+def file_confidence(edges: DataFrame, warnings: DataFrame) -> DataFrame:
+    """source_file, edge_count, approximate_count, warning_count and confidence: low with an error, medium with a warning or an
+    approximate edge, else high. edges have confidence; warnings have file and severity. Files with warnings alone are there too."""
+    of_edges = edges.groupBy("source_file").agg(F.count("*").alias("edge_count"), F.count_if(F.col("confidence") == "approximate").alias("approximate_count"))
+    said = warnings.groupBy(F.col("file").alias("source_file")).agg(F.count("*").alias("warning_count"), F.count_if(F.col("severity") == "error").alias("errors"))
+    both = of_edges.join(said, "source_file", "full").fillna(0, ["edge_count", "approximate_count", "warning_count", "errors"])
+    confidence = F.when(F.col("errors") > 0, "low").when((F.col("approximate_count") > 0) | (F.col("warning_count") > 0), "medium").otherwise("high")
+    return both.select("source_file", "edge_count", "approximate_count", "warning_count", confidence.alias("confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.operators import lineage
 from millrace.sources import foreign_keys
@@ -24,9 +25,37 @@ _DOWN = "r(node) as (select 'nation.3' union select target_col from d join r on
 _UP = "r(node) as (select 'lineitem.1_1' union select source_col from d join r on target_col = node)"
 _KEPT = "source_col, target_col, transform_type, source_file"
 _RANK = "case transform_type when 'window' then 5 when 'cast' then 4 when 'aggregation' then 3 when 'expression' then 2 when 'passthrough' then 1 else 0 end"
+_QUALIFIED = """q as (
+  select source_col, case source_file when 'geo.sql' then 'db.' || target_col when 'orders.py' then 'a.' || target_col when 'supplier.sql' then 'a.' || target_col else target_col end as target_col, transform_type, source_file from d
+  union all select 'b.supplier.0', 'c.z', 'cast', 'x.sql'
+), i as (select source_col as id from q union all select target_col from q),
+t as (select distinct regexp_extract(id, '^(.*)[.][^.]*$', 1) as t from i),
+m as (select s.t as s, min(l.t) as l, count(*) as n from t s join t l on ends_with(l.t, '.' || s.t) group by 1)"""
+
+
+def _qualified(d: DataFrame) -> DataFrame:
+    """The edges with schemas before some tables: `supplier` is then ambiguous, `nation` and `orders` aren't."""
+    schema = F.when(F.col("source_file") == "geo.sql", "db.").when(F.col("source_file").isin("orders.py", "supplier.sql"), "a.").otherwise("")
+    more = d.sparkSession.createDataFrame([("b.supplier.0", "c.z", "cast", "x.sql")], "source_col string, target_col string, transform_type string, source_file string")
+    return d.withColumn("target_col", F.concat(schema, "target_col")).unionByName(more)
+
+
+def _confidence(d: DataFrame) -> DataFrame:
+    said = d.sparkSession.createDataFrame([("geo.sql", "warn"), ("broken.sql", "error")], "file string, severity string")
+    return lineage.file_confidence(d.withColumn("confidence", F.when(F.col("transform_type") == "filter", "approximate").otherwise("certain")), said)
+
+
+_CONFIDENCE = """w(f, s) as (values ('geo.sql', 'warn'), ('broken.sql', 'error')),
+c as (select source_file as f, count(*) as n, count(*) filter (transform_type = 'filter') as a from d group by 1),
+k as (select f, count(*) as n, count(*) filter (s = 'error') as e from w group by 1)
+select f as source_file, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count,
+  case when e > 0 then 'low' when a > 0 or k.n > 0 then 'medium' else 'high' end as confidence from c full join k using (f)"""
+_WHOLE = "coalesce((select l || '.' || regexp_extract({0}, '[^.]*$') from m where n = 1 and s = regexp_extract({0}, '^(.*)[.][^.]*$', 1)), {0}) as {0}"
 
 #: name: (operator on deduplicated edges, SQL)
 _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "g03_resolve_short_names": (lambda d: lineage.resolve_short_names(_qualified(d)), f"with {_EDGES}, {_QUALIFIED} select {_WHOLE.format('source_col')}, {_WHOLE.format('target_col')}, transform_type, source_file from q"),
+    "g04_ambiguous_names": (lambda d: lineage.short_names(_qualified(d)).where("candidates > 1").select("short", "candidates"), f"with {_EDGES}, {_QUALIFIED} select s as short, n as candidates from m where n > 1"),
     "g05_edge_dedup": (lambda d: d, f"with {_EDGES} select * from d"),
     "g07_file_stats": (lineage.file_stats, f"with {_EDGES} select source_file, count(*) as edge_count, case when regexp_matches(source_file, '[.](py|ipynb)$') then 'pyspark' else 'sql' end as kind from d group by 1, 3"),
     "g11_upstream": (lambda d: lineage.upstream(d, "lineitem.1_1"), f"with recursive {_EDGES}, {_UP} select {_KEPT} from d where target_col in (select node from r)"),
@@ -34,7 +63,9 @@ _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "g13_impact": (lambda d: lineage.impact(d, "nation.3"), f"with recursive {_EDGES}, {_DOWN} select count(distinct target_col) as affected_count from d where source_col in (select node from r)"),
     "g20_tables": (lineage.tables, f"with {_EDGES}, {_NODES} select split_part(node, '.', 1) as table_name, count(*) as column_count, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role, false as synthetic from n group by 1"),
     "g22_search": (lambda d: lineage.search(d, "Nation.1"), f"with {_EDGES}, {_NODES} select node from n where contains(node, 'nation.1')"),
+    "g23_file_confidence": (_confidence, f"with {_EDGES}, {_CONFIDENCE}"),
     "g37_table_edges": (lineage.table_edges, f"with {_EDGES} select split_part(source_col, '.', 1) as source_table, split_part(target_col, '.', 1) as target_table, count(*) as edge_count, string_agg(distinct transform_type, ',' order by transform_type) as transforms from d group by 1, 2"),
+    "g39_visible": (lineage.visible, f"with {_EDGES} select * from d where transform_type not in ('filter', 'join_key')"),
     "g40_node_class": (lineage.node_class, f"with {_EDGES}, {_NODES} select node, case when t = 0 then 'source' when s = 0 then 'sink' else 'inner' end as node_class from n"),
     "g43_best_predecessor": (lineage.best_predecessor, f"with {_EDGES}, k as (select *, row_number() over (partition by target_col order by {_RANK} desc, source_col) as i from d) select target_col, source_col, transform_type from k where i = 1"),
 }

@@ -28,3 +28,16 @@ def test_newer_edges_stand(spark):
     new = spark.createDataFrame([("a.x", "b.x", "cast", "2")], EDGE)
     rows = {(r["source_col"], r["transform_type"], r["source_file"]) for r in lineage.compose(old, new).collect()}
     assert rows == {("a.x", "cast", "2"), ("a.y", "cast", "1")}
+
+
+def test_what_is_left_of_a_cycle(spark):
+    edges = spark.createDataFrame([("a.x", "b.x", "cast", "1"), ("b.x", "c.x", "cast", "1"), ("c.x", "b.x", "cast", "1"), ("c.x", "d.x", "cast", "1"), ("e.x", "e.x", "cast", "2")], EDGE)
+    assert {(r["source_col"], r["target_col"]) for r in lineage.cyclic_core(edges).collect()} == {("b.x", "c.x"), ("c.x", "b.x"), ("e.x", "e.x")}
+    assert lineage.cyclic_core(edges.where("source_col = 'a.x' or target_col = 'd.x'")).count() == 0
+    assert lineage.cyclic_core(edges.limit(0)).count() == 0
+
+
+def test_short_names_with_one_longer_name_get_it(spark):
+    edges = spark.createDataFrame([("uc.prod.orders.id", "x.id", "cast", "1"), ("orders.id", "y.id", "cast", "1"), ("staging.t.id", "prod.t.id", "cast", "1"), ("t.id", "nodot", "cast", "1"), (None, "y.id", "cast", "1")], EDGE)
+    rows = {(r["source_col"], r["target_col"]) for r in lineage.resolve_short_names(edges).collect()}
+    assert rows == {("uc.prod.orders.id", "x.id"), ("uc.prod.orders.id", "y.id"), ("staging.t.id", "prod.t.id"), ("t.id", "nodot"), (None, "y.id")}

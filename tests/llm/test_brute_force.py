@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from millrace.llm import ann, decontaminate, entry, line_dedup, ngram_join, packing, toxicity, url_filter
+from millrace.llm import ann, decontaminate, entry, line_dedup, ngram_join, packing, tokens, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,11 +113,11 @@ def test_toxicity_on_held_out_labels(spark):
 def test_packing_holds_every_token_once(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = entry.op8_packing(spark, DATA).collect()
-    tokens = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    tokens.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    tokenizer.encode_special_tokens = True
     expected = {}
     for r in docs.collect():
-        ids = [*tokens.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
         for k, at in enumerate(range(0, len(ids), 4096)):
             cut = np.array(ids[at : at + 4096], "<u4")
             expected[r["doc_id"], k] = (at, len(cut), zlib.crc32(cut.tobytes()))
@@ -139,11 +139,11 @@ def test_packing_plan_is_close_to_the_bound():
 
 def test_token_store_round_trip(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    tokens = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokens.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer.encode_special_tokens = True
     start, expected = 0, []
     for doc in sorted(docs):
-        ids = np.array([*tokens.encode(docs[doc] or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*tokenizer.encode(docs[doc] or "", add_special_tokens=False).ids, 0], "<u4")
         expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in entry.op7_token_store(spark, DATA).collect()) == expected
@@ -177,3 +177,15 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(docs).count() == 0
     assert packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))[0].count() == 0
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), ann.F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_like_whole_texts(file):
+    rng = np.random.default_rng(3)
+    parts = [*"aZé9ß.,;:!?'\"()-_<>| \n\t\r\xa0　́İſ中🙂×÷‍\x1c", "'s", "'LL", "<|endoftext|>", "don't", "  "]
+    texts = ["".join(rng.choice(parts, size=rng.integers(0, 40))) for _ in range(4000)]
+    made = tokens.Encoder(public_tokenizers.path(file))
+    assert made.pattern is not None
+    whole = made.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert made.encode(texts) == [np.array(x.ids, made.dtype).tobytes() for x in whole]
+    assert made.encode([None, ""]) == [b"", b""]

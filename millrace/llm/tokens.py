@@ -21,7 +21,7 @@ import numpy as np
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Pieces that a worker keeps of either generation, and the longest piece it keeps.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: Latin-1's letters and digits, which lower case keeps letters and digits, and marks that a word never goes on with.
 _LETTERS, _STOPS = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", ".,;:!?"
 #: A run without white space, cut once: where its leading letters meet a mark.

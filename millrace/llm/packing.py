@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
-A configuration is a multiset of piece lengths that fits one sequence. The program over the histogram
-of lengths (no more rows than there are lengths) covers every length's count with as few configurations
-as possible; multiplicative weights solve it, each step pricing the best configuration by a knapsack
-dynamic program. Configurations are then rounded to whole numbers of sequences, and what the rounding
-leaves is filled best-fit by length. Only histogram and plan pass through the driver; their size is
-bounded by the capacity, not by the number of documents.
+Neighbouring lengths are grouped into CLASSES classes at most, each counted with its longest length, so that
+rounding up costs least. A configuration is a multiset of classes that fits one sequence. The program over the
+histogram of classes covers every class's count with as few configurations as possible; its columns are made as
+they are needed, each step pricing the best configuration by a bounded knapsack, until the prices prove that
+no solution needs GAP fewer sequences. Configurations are then rounded down to whole numbers of sequences.
+Each is filled with real pieces, the longest of every class first; its last piece is the longest that fits, and
+so is what goes into the room that is left. What the rounding leaves is filled best-fit by length. Only histogram and
+plan pass through the driver; their size is bounded by the capacity, not by the number of documents.
 
 Pieces get their places without a shuffle of ids: a task numbers its pieces within each length, counts by
 task and length give each task its first number, and numbers fall into the plan's ranges.
@@ -30,48 +32,104 @@ from . import storage, words
 from .tokens import encoder
 
 CAPACITY = 4096
-#: Steps of multiplicative weights, and how strongly a covered length loses weight.
-STEPS, RATE = 160, 0.12
-
-
-def price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length (ascending) the worthiest configuration holds: an unbounded knapsack."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if upto[room]:
-            value = best[room - lengths[: upto[room]]] + worth[: upto[room]]
-            i = int(value.argmax())
-            if value[i] > best[room]:
-                best[room], pick[room] = value[i], i
-    count, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            count[pick[room]] += 1
-            room -= lengths[pick[room]]
-    return count
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each (fractions), together covering all counts."""
-    weight = np.ones(len(lengths))
-    covered = np.zeros(len(lengths))
-    used: dict[bytes, float] = {}
-    for _ in range(steps):
-        made = price(lengths, weight / counts, capacity)
-        held = made > 0
-        amount = float((counts[held] / made[held]).min())  # covers its scarcest length once
-        used[made.tobytes()] = used.get(made.tobytes(), 0.0) + amount
-        gain = made * amount / counts
-        covered += gain
-        weight *= np.exp(-gain * RATE * len(lengths) ** 0.5)
-        weight /= weight.max()
-    scale = 1 / max(covered.min(), covered.mean(), 1e-9)
-    return [(np.frombuffer(k, np.int64), x * scale) for k, x in used.items()]
+#: Classes of lengths in the program, and the share by which its solution may exceed the least one.
+CLASSES, GAP = 128, 0.002
+#: How much of the best prices so far a configuration is first sought with.
+SMOOTH = 0.8
+
+
+def classes(lengths: np.ndarray, counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """Indexes of the longest length of each class (ascending): neighbours are merged while there are too many, where rounding up costs least."""
+    top, n = np.arange(len(lengths)), counts.astype(float)
+    while len(top) > most:
+        i = int((n[:-1] * np.diff(lengths[top])).argmin())
+        n[i + 1] += n[i]
+        top, n = np.delete(top, i), np.delete(n, i)
+    return top
+
+
+def price(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How many of each length the worthiest configuration holds, no more than its count, and what it is worth: a bounded knapsack."""
+    parts = []  # (index, copies): powers of two and a rest
+    for i in np.flatnonzero(worth > 0).tolist():
+        n, step = min(int(counts[i]), capacity // int(lengths[i])), 1
+        while n > 0:
+            parts.append((i, min(step, n)))
+            n, step = n - step, step * 2
+    best, taken = np.zeros(capacity + 1), np.zeros((len(parts), capacity + 1), bool)
+    for k, (i, copies) in enumerate(parts):
+        size = copies * int(lengths[i])
+        value = best[: capacity + 1 - size] + copies * worth[i]
+        np.greater(value, best[size:] + 1e-12, out=taken[k, size:])
+        best[size:] = np.where(taken[k, size:], value, best[size:])
+    made, room = np.zeros(len(lengths), np.int64), capacity
+    for k in range(len(parts) - 1, -1, -1):
+        if taken[k, room]:
+            i, copies = parts[k]
+            made[i] += copies
+            room -= copies * int(lengths[i])
+    return made, float(best[capacity])
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations and how often to use each (fractions), together covering all counts, and a number of sequences that no solution is below.
+
+    Column generation by the revised simplex method. Prices divided by the worth of the worthiest
+    configuration are a dual solution, whose value is the bound; the end is a bound within `gap`.
+    """
+    n = len(lengths)
+    basis = np.diag(np.minimum(counts, capacity // lengths).astype(float))
+    # Slightly uneven counts leave no ties, so every step makes progress and no basis comes twice.
+    need, bound, centre = counts * (1 + 1e-4 * np.random.default_rng(0).random(n)), 0.0, lengths / capacity
+    while True:
+        worth = np.linalg.solve(basis.T, np.ones(n))
+        total = float(worth @ counts)
+        # First between the best prices so far and the present ones: these alone swing widely.
+        for mixed in (SMOOTH * centre + (1 - SMOOTH) * worth, worth):
+            made, value = price(lengths, counts, mixed, capacity)
+            if float(mixed @ counts) / max(value, 1e-9) > bound:
+                bound, centre = float(mixed @ counts) / value, mixed / value
+            if float(worth @ made) > 1 + 1e-9 or total <= max(bound * (1 + gap), bound + 0.5):
+                break
+        if float(worth @ made) <= 1 + 1e-9 or total <= max(bound * (1 + gap), bound + 0.5):
+            break
+        used, step = np.linalg.solve(basis, np.stack([need, made], 1)).T
+        ratio = np.where(step > 1e-7, used / np.where(step > 1e-7, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = made
+    used = np.maximum(np.linalg.solve(basis, counts.astype(float)), 0)
+    used /= min(1.0, float((basis @ used / counts).min()))
+    return [(c.astype(np.int64), float(x)) for c, x in zip(basis.T, used) if x > 0], bound
+
+
+def realise(lengths: np.ndarray, left: np.ndarray, top: np.ndarray, made: np.ndarray, times: int, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Fill `times` sequences of a configuration of classes with pieces of real lengths, taken from left (which is changed)."""
+    out = []
+    slots = [c for c in np.flatnonzero(made)[::-1].tolist() for _ in range(int(made[c]))]
+    while times > 0:
+        exact, room = np.zeros(len(lengths), np.int64), capacity
+        for k, c in enumerate(slots):
+            # The last piece may be of any length that fits.
+            upto = int(top[c]) + 1 if k + 1 < len(slots) else int(np.searchsorted(lengths, room, "right"))
+            at = np.flatnonzero(left[:upto] > exact[:upto])
+            if len(at) and lengths[at[-1]] <= room:
+                exact[at[-1]] += 1
+                room -= int(lengths[at[-1]])
+        while room > 0:
+            upto = int(np.searchsorted(lengths, room, "right"))
+            at = np.flatnonzero(left[:upto] > exact[:upto])
+            if not len(at):
+                break
+            n = min(int(left[at[-1]] - exact[at[-1]]), room // int(lengths[at[-1]]))
+            exact[at[-1]] += n
+            room -= n * int(lengths[at[-1]])
+        held = exact > 0
+        if not held.any():
+            break
+        n = min(times, int((left[held] // exact[held]).min()))
+        out.append((exact, n))
+        left -= exact * n
+        times -= n
+    return out
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -118,20 +176,22 @@ class Plan:
         return self.sequence[at] + inside // self.each[at], self.offset[at] + inside % self.each[at] * length
 
 
+def choose(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Real configurations with their numbers of sequences, together all pieces, and how many of the list come from the program."""
+    chosen: list[tuple[np.ndarray, int]] = []
+    left = counts.copy()
+    if len(lengths):
+        top = classes(lengths, counts)
+        for made, x in sorted(solve(lengths[top], np.diff(np.cumsum(counts)[top], prepend=0), capacity)[0], key=lambda c: (-int(np.flatnonzero(c[0]).max()), -c[1])):
+            chosen += realise(lengths, left, top, made, int(x + 1e-6), capacity)
+    return chosen + best_fit(lengths, left, capacity), len(chosen)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
     """histogram: number of pieces by length (1 to capacity)."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    chosen: list[tuple[np.ndarray, int]] = []
-    left = counts.copy()
-    if len(lengths):
-        for made, x in sorted(solve(lengths, counts, capacity), key=lambda c: -c[1]):
-            held = made > 0
-            times = min(int(np.ceil(x - 1e-9)), int((left[held] // made[held]).min()))
-            if times and (made * lengths).sum() * 64 >= capacity * 63:
-                chosen.append((made, times))
-                left -= made * times
-        chosen += best_fit(lengths, left, capacity)
+    chosen = choose(lengths, counts, capacity)[0]
     rows, given, sequence = [], np.zeros(len(lengths), np.int64), 0
     for made, times in chosen:
         offset = 0

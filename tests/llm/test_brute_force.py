@@ -137,6 +137,21 @@ def test_packing_plan_is_close_to_the_bound():
     assert made.sequences <= 80
 
 
+def test_configurations_do_the_packing():
+    lengths, counts = np.unique(np.random.default_rng(5).integers(1000, 2100, 100_000), return_counts=True)
+    top = packing.classes(lengths, counts)
+    grouped = np.diff(np.cumsum(counts)[top], prepend=0)
+    found, bound = packing.solve(lengths[top], grouped, 4096)
+    covered = sum(made * x for made, x in found)
+    assert (covered >= grouped * (1 - 1e-9)).all() and all((made * lengths[top]).sum() <= 4096 for made, _ in found)
+    assert bound <= sum(x for _, x in found) <= bound * (1 + packing.GAP) + 1
+    chosen, by_program = packing.choose(lengths, counts, 4096)
+    assert (sum(made * times for made, times in chosen) == counts).all()
+    assert sum((made * lengths).sum() * times for made, times in chosen[:by_program]) >= 0.95 * (lengths * counts).sum()
+    greedy = sum(times for _, times in packing.best_fit(lengths, counts, 4096))
+    assert packing.plan(dict(zip(lengths.tolist(), counts.tolist())), 4096).sequences < 0.97 * greedy
+
+
 def test_token_store_round_trip(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))

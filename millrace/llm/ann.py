@@ -88,6 +88,8 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     q, x = queries @ turn, vectors @ turn
     best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
     limit = np.full(len(q), np.inf)  # squared
+    # Partial distances come from expanded squares and a rotation: rounding grows with the vectors' lengths.
+    slack_q, slack_x = 1e-9 * (queries**2).sum(1), 1e-9 * (vectors**2).sum(1)
     step = 64
     at = 0
     while at < len(x):
@@ -101,7 +103,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
             else:
                 partial = partial + ((q[rows, c:to] - x[some][cols, c:to]) ** 2).sum(1)
             if to < dim:
-                go = partial * (dim / to) <= limit[rows] * (1 + SURE / to**0.5) ** 2
+                go = partial * (dim / to) <= limit[rows] * (1 + SURE / to**0.5) ** 2 + slack_q[rows] + slack_x[some][cols]
                 rows, cols, partial = rows[go], cols[go], partial[go]
         exact = np.sqrt(((queries[rows] - vectors[some][cols]) ** 2).sum(1))
         order = np.lexsort((ids[some][cols], exact, rows))

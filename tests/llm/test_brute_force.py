@@ -86,6 +86,17 @@ def test_nearest_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_exact_copies_go_by_id():
+    rng = np.random.default_rng(4)
+    queries = rng.normal(size=(20, 64))
+    vectors = np.concatenate([np.repeat(queries, 1000, 0), rng.normal(size=(500, 64))])
+    ids = np.arange(len(vectors), 0, -1)
+    i, found, far = ann.scan(queries, np.full(20, -1), vectors, ids, np.linalg.qr(rng.normal(size=(64, 64)))[0], 10)
+    for q in range(20):
+        exact = np.sqrt(((vectors - queries[q]) ** 2).sum(1))
+        assert found[i == q].tolist() == ids[np.lexsort((ids, exact))[:10]].tolist() and (far[i == q] == 0).all()
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     rng = np.random.default_rng(2)
     item = " ".join(f"q{i}" for i in rng.integers(0, 9999, 40))

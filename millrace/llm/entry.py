@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings are labelled by formats that only secrets have; the forest's verdict decides."""
+    """Findings are labelled by formats that only secrets have and harmless shapes, others not at all; the forest's verdict decides."""
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = storage.save(secret_scan.candidates(docs), storage.scratch(spark, "candidates"))
     labelled = found.withColumn("label", secret_scan.known_formats(F.col("candidate"), F.col("announced")))

@@ -1,14 +1,14 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 characters or more, of those that keys and tokens are made of, that hold a digit. The
-forest sees a candidate's length and make-up, its character transitions (how often neighbouring characters
+Candidates are runs of 16 characters or more, of those that keys and tokens are made of, that hold a digit, and every
+value announced as a secret ("password: x"), of any length and characters. The forest sees a candidate's length and make-up, its character transitions (how often neighbouring characters
 change class, and how likely its letter pairs are in the text around it), how much of it the document's own
 words cover, whether it looks like a path or address, and the words beside it. It is trained on labelled
 findings: a bounded sample of candidates with a label each. Texts are scanned whole, in tasks; training
 sees feature rows alone, never texts.
 
 Defined results: null and empty texts have no candidate; rows without an id keep null as theirs; repeated rows
-give repeated findings; with findings of one label alone every candidate gets that label's score;
+give repeated findings; with findings of one label alone every candidate gets that label's score, without any a null score and verdict;
 empty tables give empty results; other columns are ignored. Offsets count characters.
 """
 
@@ -36,6 +36,8 @@ TREES, DEPTH, SEED = 20, 6, 11
 NEAR = 32
 #: Words that announce a secret (fixed values).
 ANNOUNCING = ("token", "password", "passwd", "secret", "apikey", "api_key", "key", "auth", "credential", "bearer")
+#: A value in quotes, or up to a space, after an announcing word and its sign.
+ANNOUNCED = re.compile(r"(?i)(?:bearer[ \t]+|(?:" + "|".join(ANNOUNCING) + r""")[\w\-]{0,20}["']?[ \t]*(?:[=:]|\bis\b)[ \t]*)(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""")
 FEATURES = ["length", "digits", "upper", "lower", "marks", "entropy", "changes", "pairs", "covered", "path", "address", "announced", "assigned", "quoted", "hexadecimal"]
 _SCHEMA = "doc_id long, start long, stop long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
 _WORD = re.compile(r"[a-z]{3,}")
@@ -50,7 +52,7 @@ def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Coun
     c = text[start:stop]
     n, low = len(c), c.lower()
     kinds = [_kind(x) for x in c]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1)
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1)
     seen = Counter(c)
     entropy = -sum(v / n * math.log2(v / n) for v in seen.values())
     letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
@@ -67,6 +69,28 @@ def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Coun
     ]
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Where the candidates are. Of a run and an announced value that overlap the run counts if it holds the value, else the value."""
+    runs = [m.span() for m in CANDIDATE.finditer(text) if any(x.isdigit() for x in m.group())]
+    values = []
+    for m in ANNOUNCED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            b = a + (len(m.group(3).rstrip(".,;)")) or b - a)
+        values.append((a, b))
+    out, k = [], 0
+    for a, b in values:
+        while k < len(runs) and runs[k][1] <= a:
+            out.append(runs[k])
+            k += 1
+        if k < len(runs) and runs[k][0] <= a and runs[k][1] >= b:
+            continue
+        while k < len(runs) and runs[k][0] < b:
+            k += 1
+        out.append((a, b))
+    return out + runs[k:]
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, stop, candidate and FEATURES of every candidate."""
 
@@ -76,7 +100,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 part = batch.slice(row, stop_row - row)
                 rows = []
                 for doc, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    spans = [m.span() for m in CANDIDATE.finditer(whole or "") if any(x.isdigit() for x in m.group())]
+                    spans = spans_of(whole or "")
                     if not spans:
                         continue
                     prose = CANDIDATE.sub(" ", whole).lower()
@@ -91,16 +115,19 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def known_formats(candidate: Column, announced: Column) -> Column:
-    """A label for findings where nobody labelled any: 1 for formats that only secrets have, else 0."""
+    """A label for findings where nobody labelled any: 1 for formats that only secrets have, 0 for shapes known to be harmless, else null."""
     issued = candidate.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})$")
     given = candidate.rlike(r"^([0-9a-f]{40}|[0-9a-f]{32}|password=[0-9a-f]{16,})$") & (announced > 0)
-    return (issued | given).cast("double")
+    shape = candidate.rlike(r"^([A-Za-z]+://[^@]*|www\.[^@]*|[^@:/=]+@[^@:/=]+\.[A-Za-z]{2,}\.?|[0-9+][0-9.:/\-]*)$")
+    return F.when(issued | given, 1.0).when(shape & (announced == 0), 0.0)
 
 
 def train(findings: DataFrame, label: str = "label", rows: int = TRAINING_ROWS):
-    """A forest (Spark's) from labelled findings: FEATURES and a label of 0 or 1; `rows` of them at most, those of the smallest hashes."""
+    """A forest (Spark's), None without labels, from labelled findings: FEATURES and a label of 0 or 1; `rows` of them at most, those of the smallest hashes."""
     known = findings.where(F.col(label).isNotNull()).select(*FEATURES, F.col(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64(*FEATURES)).limit(rows)
+    if known.isEmpty():
+        return None
     known = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
     return forest.fit(known)
@@ -108,6 +135,8 @@ def train(findings: DataFrame, label: str = "label", rows: int = TRAINING_ROWS):
 
 def scan(found: DataFrame, forest, least: float = 0.5) -> DataFrame:
     """found (from `candidates`) with score, the forest's probability of a secret, and is_secret (score >= least)."""
+    if forest is None:
+        return found.withColumn("score", F.lit(None).cast("double")).withColumn("is_secret", F.lit(None).cast("boolean"))
     scored = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(found).withColumnRenamed("__features", "features"))
     chance = F.element_at(vector_to_array("probability"), -1) if forest.numClasses > 1 else F.lit(0.0)
     out = scored.withColumn("score", chance)

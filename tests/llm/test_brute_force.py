@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from millrace.llm import ann, decontaminate, entry, line_dedup, ngram_join, packing, tokens, toxicity, url_filter
+from millrace.llm import ann, decontaminate, entry, line_dedup, ngram_join, packing, secret_scan, tokens, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -182,6 +182,25 @@ def test_secrets_have_a_verdict_and_a_place(spark):
     assert all(0 <= r["start"] < r["stop"] <= len(texts[r["doc_id"]]) for r in rows)
 
 
+def test_secrets_of_unseen_formats_are_found(spark):
+    rng = np.random.default_rng(8)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    made = lambda n, of=signs: "".join(rng.choice(of, n))
+    unseen = [f"api_key = {made(40)}" for _ in range(20)] + [f"token: xoxb-{made(12)}-{made(24)}" for _ in range(20)] + [f"secret: eyJ{made(20)}.eyJ{made(40)}.{made(43)}" for _ in range(20)]
+    marked = ["password: p#1!", "password = 'correct horse'", "passwd=hunter", "secret is x$y!z"]
+    known = [f"key AKIA{made(16, signs[:26])}" for _ in range(20)] + [f"token = ghp_{made(36)}" for _ in range(20)]
+    harmless = [f"see https://example.com/{made(6)}/{i}/page for it" for i in range(40)] + [f"write to person.{i}.name{i}@example.com" for i in range(40)] + [f"the number {10**17 + i} was drawn" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(unseen + marked + known + harmless)), "doc_id long, text string")
+    found = secret_scan.candidates(docs).cache()
+    labelled = found.withColumn("label", secret_scan.known_formats(secret_scan.F.col("candidate"), secret_scan.F.col("announced")))
+    assert labelled.where("doc_id < 64 and label is not null").count() == 0
+    rows = secret_scan.scan(found, secret_scan.train(labelled)).collect()
+    assert {r["candidate"] for r in rows if 60 <= r["doc_id"] < 64} == {"p#1!", "correct horse", "hunter", "x$y!z"}
+    assert len({r["doc_id"] for r in rows if r["doc_id"] < 60 and r["is_secret"]}) >= 54
+    assert sum(r["is_secret"] for r in rows if r["doc_id"] >= 104) <= 6
+    assert secret_scan.scan(found.limit(0), secret_scan.train(labelled.limit(0))).count() == 0
+
+
 def test_lines_on_many_sites_stay_once(spark):
     rows = [(i, f"own {i}\nshared line\n---", "en", f"s{i}" if i else None, 1) for i in range(7)] + [(9, None, "en", "s", 1), (10, "", None, None, None)]
     out = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}

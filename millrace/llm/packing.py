@@ -4,7 +4,7 @@ Neighbouring lengths are grouped into CLASSES classes at most, each counted with
 rounding up costs least. A configuration is a multiset of classes that fits one sequence. The program over the
 histogram of classes covers every class's count with as few configurations as possible; its columns are made as
 they are needed, each step pricing the best configuration by a bounded knapsack, until the prices prove that
-no solution needs GAP fewer sequences. Configurations are then rounded down to whole numbers of sequences.
+no solution needs fewer sequences by more than GAP or half a sequence. Configurations are then rounded down to whole numbers of sequences.
 Each is filled with real pieces, the longest of every class first; its last piece is the longest that fits, and
 so is what goes into the room that is left. What the rounding leaves is filled best-fit by length. Only histogram and
 plan pass through the driver; their size is bounded by the capacity, not by the number of documents.
@@ -75,7 +75,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = G
     """Configurations and how often to use each (fractions), together covering all counts, and a number of sequences that no solution is below.
 
     Column generation by the revised simplex method. Prices divided by the worth of the worthiest
-    configuration are a dual solution, whose value is the bound; the end is a bound within `gap`.
+    configuration are a dual solution, whose value is the bound; the end is a bound within `gap` or half a sequence.
     """
     n = len(lengths)
     basis = np.diag(np.minimum(counts, capacity // lengths).astype(float))

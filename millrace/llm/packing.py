@@ -210,27 +210,29 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, me = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
-        next_number = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for row, stop, _, _ in words.chunks(batch.column(1)):
-                part = batch.slice(row, stop - row)
-                docs_, piece, start, length, number, held = [], [], [], [], [], []
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    all_ids = np.frombuffer(ids + end, enc.dtype)
-                    for k, at in enumerate(range(0, len(all_ids), capacity)):
-                        cut = all_ids[at : at + capacity]
-                        docs_.append(doc)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(cut))
-                        number.append(int(next_number[len(cut)]))
-                        next_number[len(cut)] += 1
-                        held.append(cut.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary()), pa.array([me] * len(piece), pa.int32()), pa.array(number, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids", "task", "number"],
-                )
+        given = np.zeros(capacity + 1, np.int64)
+        try:
+            for batch in batches:
+                for row, stop, data, ends in words.chunks(batch.column(1)):
+                    ids, at = enc.encode(data, ends)
+                    ids = np.insert(ids, at[1:], end_id).astype("<u4")
+                    n = np.diff(at) + 1
+                    many = -(-n // capacity)
+                    doc = np.repeat(np.arange(len(n)), many)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                    length = np.minimum(n[doc] - piece * capacity, capacity)
+                    order = np.argsort(length, kind="stable")
+                    count = np.bincount(length, minlength=capacity + 1)
+                    number = np.empty(len(doc), np.int64)
+                    number[order] = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + given[length[order]]
+                    given += count
+                    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]) * 4), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(row, stop - row).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), held.cast(pa.binary()), pa.array(np.full(len(doc), me, np.int32)), pa.array(number)],
+                        ["doc_id", "piece", "start", "length", "ids", "task", "number"],
+                    )
+        finally:
+            enc.forget()
 
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
     return rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids binary, task int, number long")

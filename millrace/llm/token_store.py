@@ -38,14 +38,6 @@ _BATCH_BYTES = 2 << 20
 _PLACE = "doc_id long, ordinal int, key long, shard int, offset long, n long, path string, width int"
 
 
-def _batches(rows: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with some 2 MB of text in each, and the texts of column `texts`."""
-    for batch in rows:
-        for row, stop, _, _ in words.chunks(batch.column(texts)):
-            part = batch.slice(row, stop - row)
-            yield part, part.column(texts).to_pylist()
-
-
 def key_hash(doc_id: np.ndarray, missing: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
     """64-bit keys; for ordinal 0 no two ids share one."""
     h = words.mix(np.where(missing, 0, doc_id).astype(np.int64).view(np.uint64))
@@ -105,6 +97,8 @@ def _fingerprint(keys: np.ndarray) -> np.ndarray:
 def encode_index(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, n: np.ndarray) -> bytes:
     table = PerfectHash.build(keys)
     slot = table.slots(keys)
+    if len(np.unique(slot)) != len(keys):
+        raise ValueError("two keys of the index are equal: rows that share an id and an ordinal, or ids whose keys collide")
     at = np.empty(len(keys), np.int64)
     at[slot] = np.arange(len(keys))
     out = io.BytesIO()
@@ -150,31 +144,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         fs, root = storage.file_system(folder)
         name, out, at = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids", None, 0
-        end = np.array([end_id], enc.dtype).tobytes()
         last, ordinal = (None, None), 0
-        for part, texts in _batches(batches, 1):
-            if out is None:
-                out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                out.write(MAGIC + bytes([enc.dtype.itemsize]))
-            ids = part.column(0).to_pylist()
-            held = enc.encode(texts)
-            for x in held:
-                out.write(x + end)
-            n = np.array([len(x) for x in held], np.int64) // enc.dtype.itemsize + 1
-            ordinals = []
-            for i in ids:
-                ordinal = ordinal + 1 if last == (True, i) else 0
-                last = (True, i)
-                ordinals.append(ordinal)
-            missing = np.array([i is None for i in ids], bool)
-            keys = key_hash(np.array([i or 0 for i in ids], np.int64), missing, np.array(ordinals, np.int64))
-            begin = at + np.cumsum(n) - n
-            at += int(n.sum())
-            same = lambda x, t: pa.array([x] * len(ids), t)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ordinals, pa.int32()), pa.array(keys.view(np.int64)), same(shard, pa.int32()), pa.array(begin), pa.array(n), same(f"{folder}/{name}", pa.string()), same(enc.dtype.itemsize, pa.int32())],
-                ["doc_id", "ordinal", "key", "shard", "offset", "n", "path", "width"],
-            )
+        try:
+            for batch in batches:
+                for row, stop, data, ends in words.chunks(batch.column(1)):
+                    if out is None:
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        out.write(MAGIC + bytes([enc.dtype.itemsize]))
+                    part = batch.column(0).slice(row, stop - row)
+                    ids, cuts = enc.encode(data, ends)
+                    out.write(np.insert(ids, cuts[1:], end_id).tobytes())
+                    n = np.diff(cuts) + 1
+                    ordinals = []
+                    for i in part.to_pylist():
+                        ordinal = ordinal + 1 if last == (True, i) else 0
+                        last = (True, i)
+                        ordinals.append(ordinal)
+                    missing = part.is_null().to_numpy(zero_copy_only=False)
+                    keys = key_hash(part.fill_null(0).to_numpy(), missing, np.array(ordinals, np.int64))
+                    begin = at + np.cumsum(n) - n
+                    at += int(n.sum())
+                    same = lambda x, t: pa.array([x] * len(n), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [part, pa.array(ordinals, pa.int32()), pa.array(keys.view(np.int64)), same(shard, pa.int32()), pa.array(begin), pa.array(n), same(f"{folder}/{name}", pa.string()), same(enc.dtype.itemsize, pa.int32())],
+                        ["doc_id", "ordinal", "key", "shard", "offset", "n", "path", "width"],
+                    )
+        finally:
+            enc.forget()
         if out is not None:
             out.close()
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -102,12 +102,23 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, kind=BLANKS, heads: tuple[in
     For each number in heads another array follows: hashes of the words' first so many bytes.
     """
     values, apart = kind
-    up, down = _grown(len(data) + 1)
     starts, stops, at = word_spans(data, ends, apart)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    hashed = [mix((total[to] - total[starts]) * down[starts]) for to in (stops, *(np.minimum(stops, starts + n) for n in heads))]
-    return hashed[0], starts, stops, at, *hashed[1:]
+    whole, *headed = (span_hashes(data, starts, to, values) for to in (stops, *(np.minimum(stops, starts + n) for n in heads)))
+    return whole, starts, stops, at, *headed
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, values: np.ndarray = _LETTER) -> np.ndarray:
+    """Hashes of the spans (in order, not overlapping) of some bytes, a block of some CHUNK_BYTES at a time."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + CHUNK_BYTES, "right")))
+        low, high = int(starts[i]), int(stops[j - 1])
+        up, down = _grown(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values[data[low:high]] * up[: high - low], out=total[1:])
+        out[i:j] = mix((total[stops[i:j] - low] - total[starts[i:j] - low]) * down[starts[i:j] - low])
+        i = j
+    return out
 
 
 def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

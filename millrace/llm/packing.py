@@ -2,12 +2,16 @@
 
 Neighbouring lengths are grouped into CLASSES classes at most, each counted with its longest length, so that
 rounding up costs least. A configuration is a multiset of classes that fits one sequence. The program over the
-histogram of classes covers every class's count with as few configurations as possible; its columns are made as
-they are needed, each step pricing the best configuration by a bounded knapsack, until the prices prove that
-no solution needs fewer sequences by more than GAP or half a sequence. Configurations are then rounded down to whole numbers of sequences.
-Each is filled with real pieces, the longest of every class first; its last piece is the longest that fits, and
-so is what goes into the room that is left. What the rounding leaves is filled best-fit by length. Only histogram and
-plan pass through the driver; their size is bounded by the capacity, not by the number of documents.
+histogram of classes covers every class's count with as few configurations as possible. It is solved by
+multiplicative weights: a class's price falls as it is covered, and each step uses a configuration whose worth at
+these prices is within a share of the most, as a bounded knapsack (dynamic programming) tells; the prices give
+a number of sequences that no solution is below. Passes with smaller steps follow until the best solution over
+the configurations met (by pivoting, so that it has no more configurations than classes) is within GAP of
+that number, or PASSES are done. Its numbers are then rounded down. Each configuration is filled with real pieces, the longest
+of every class first, and then with the longest that fit into the room that is left. What the rounding leaves is
+filled best-fit by length, as are sequences of the program's that real pieces don't fill well where that takes fewer
+sequences in all, so the result is never above best-fit alone. Only histogram and plan pass through the driver; their size is bounded by the
+capacity, not by the number of documents.
 
 Pieces get their places without a shuffle of ids: a task numbers its pieces within each length, counts by
 task and length give each task its first number, and numbers fall into the plan's ranges.
@@ -33,9 +37,12 @@ from .tokens import encoder
 
 CAPACITY = 4096
 #: Classes of lengths in the program, and the share by which its solution may exceed the least one.
-CLASSES, GAP = 128, 0.002
-#: How much of the best prices so far a configuration is first sought with.
-SMOOTH = 0.8
+CLASSES, GAP = 96, 0.01
+#: Shares by which a step's configuration may fall short of the worthiest, pass by pass, and steps of a pass.
+PASSES, STEPS = (0.25, 0.12, 0.06, 0.03), 3000
+#: Room (ids) that a sequence of the program's may be left with; of the rows tried the first with fewest sequences stands, with none
+#: of the program's as the last resort.
+WASTES = (4096, 64, 16, 4, 1, 0, -1)
 
 
 def classes(lengths: np.ndarray, counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
@@ -61,7 +68,7 @@ def price(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
         size = copies * int(lengths[i])
         value = best[: capacity + 1 - size] + copies * worth[i]
         np.greater(value, best[size:] + 1e-12, out=taken[k, size:])
-        best[size:] = np.where(taken[k, size:], value, best[size:])
+        np.maximum(best[size:], value, out=best[size:])
     made, room = np.zeros(len(lengths), np.int64), capacity
     for k in range(len(parts) - 1, -1, -1):
         if taken[k, room]:
@@ -71,90 +78,134 @@ def price(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
     return made, float(best[capacity])
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Configurations and how often to use each (fractions), together covering all counts, and a number of sequences that no solution is below.
+def weigh(lengths: np.ndarray, counts: np.ndarray, capacity: int, pool: list[np.ndarray], short: float, bound: float) -> float:
+    """One pass of multiplicative weights: adds the configurations it uses to pool; the best number of sequences that no solution is below."""
+    prices, covered = 1.0 / counts, np.zeros(len(lengths))
+    held = np.zeros((len(pool) + STEPS, len(lengths)))
+    n = len(pool)
+    if n:
+        held[:n] = pool
+    worth, most = held[:n] @ prices, np.inf
+    for step in range(STEPS):
+        # Prices only fall, so `most`, the worth of the worthiest when last asked for, is never too small.
+        if not n or worth.max() < (1 - short) * most:
+            made, most = price(lengths, counts, prices, capacity)
+            bound = max(bound, float(prices @ counts) / most)
+            if not n or worth.max() < most * (1 - 1e-9):
+                pool.append(made)
+                held[n] = made
+                n += 1
+                worth = held[:n] @ prices
+        used = held[int(worth.argmax())]
+        at = np.flatnonzero(used)
+        part = used[at] / counts[at]
+        part /= part.max()
+        covered[at] += part
+        fallen = prices[at] * (1 - short) ** part
+        worth += held[:n, at] @ (fallen - prices[at])
+        prices[at] = fallen
+        if step % 100 == 99:
+            worth = held[:n] @ prices
+            if covered.min() >= np.log(len(lengths) + 1) / short**2:
+                break
+    return bound
 
-    Column generation by the revised simplex method. Prices divided by the worth of the worthiest
-    configuration are a dual solution, whose value is the bound; the end is a bound within `gap` or half a sequence.
-    """
-    n = len(lengths)
+
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best way to cover all counts with configurations of the pool (or of one class): these, how often each, and the prices that prove it."""
+    n, columns = len(lengths), pool.T.astype(float)
     basis = np.diag(np.minimum(counts, capacity // lengths).astype(float))
     # Slightly uneven counts leave no ties, so every step makes progress and no basis comes twice.
-    need, bound, centre = counts * (1 + 1e-4 * np.random.default_rng(0).random(n)), 0.0, lengths / capacity
+    need = counts * (1 + 1e-4 * np.random.default_rng(0).random(n))
+    inverse = np.linalg.inv(basis)
+    used, pivots = inverse @ need, 0
     while True:
-        worth = np.linalg.solve(basis.T, np.ones(n))
-        total = float(worth @ counts)
-        # First between the best prices so far and the present ones: these alone swing widely.
-        for mixed in (SMOOTH * centre + (1 - SMOOTH) * worth, worth):
-            made, value = price(lengths, counts, mixed, capacity)
-            if float(mixed @ counts) / max(value, 1e-9) > bound:
-                bound, centre = float(mixed @ counts) / value, mixed / value
-            if float(worth @ made) > 1 + 1e-9 or total <= max(bound * (1 + gap), bound + 0.5):
-                break
-        if float(worth @ made) <= 1 + 1e-9 or total <= max(bound * (1 + gap), bound + 0.5):
+        worth = inverse.sum(0) @ columns
+        j = int(worth.argmax())
+        if worth[j] <= 1 + 1e-7:
             break
-        used, step = np.linalg.solve(basis, np.stack([need, made], 1)).T
-        ratio = np.where(step > 1e-7, used / np.where(step > 1e-7, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = made
-    used = np.maximum(np.linalg.solve(basis, counts.astype(float)), 0)
-    used /= min(1.0, float((basis @ used / counts).min()))
-    return [(c.astype(np.int64), float(x)) for c, x in zip(basis.T, used) if x > 0], bound
-
-
-def realise(lengths: np.ndarray, left: np.ndarray, top: np.ndarray, made: np.ndarray, times: int, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Fill `times` sequences of a configuration of classes with pieces of real lengths, taken from left (which is changed)."""
-    out = []
-    slots = [c for c in np.flatnonzero(made)[::-1].tolist() for _ in range(int(made[c]))]
-    while times > 0:
-        exact, room = np.zeros(len(lengths), np.int64), capacity
-        for k, c in enumerate(slots):
-            # The last piece may be of any length that fits.
-            upto = int(top[c]) + 1 if k + 1 < len(slots) else int(np.searchsorted(lengths, room, "right"))
-            at = np.flatnonzero(left[:upto] > exact[:upto])
-            if len(at) and lengths[at[-1]] <= room:
-                exact[at[-1]] += 1
-                room -= int(lengths[at[-1]])
-        while room > 0:
-            upto = int(np.searchsorted(lengths, room, "right"))
-            at = np.flatnonzero(left[:upto] > exact[:upto])
-            if not len(at):
-                break
-            n = min(int(left[at[-1]] - exact[at[-1]]), room // int(lengths[at[-1]]))
-            exact[at[-1]] += n
-            room -= n * int(lengths[at[-1]])
-        held = exact > 0
-        if not held.any():
+        step = inverse @ columns[:, j]
+        ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
+        out, pivots = int(ratio.argmin()), pivots + 1
+        basis[:, out] = columns[:, j]
+        if pivots % 50:
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)
+        used = inverse @ need
+    inverse = np.linalg.inv(basis)
+    times = np.maximum(inverse @ counts, 0)
+    times /= min(1.0, float((basis @ times / counts).min()))
+    return basis.T.astype(np.int64), times, np.maximum(inverse.sum(0), 0)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations and how often to use each (fractions), together covering all counts, and a number of sequences that no solution is below."""
+    pool: list[np.ndarray] = []
+    bound = 0.0
+    for short in PASSES:
+        bound = weigh(lengths, counts, capacity, pool, short, bound)
+        made, times, prices = cover(lengths, counts, capacity, np.stack(pool))
+        bound = max(bound, float(prices @ counts) / max(price(lengths, counts, prices, capacity)[1], 1e-9))
+        if times.sum() <= max(bound * (1 + gap), bound + 0.5):
             break
-        n = min(times, int((left[held] // exact[held]).min()))
-        out.append((exact, n))
-        left -= exact * n
-        times -= n
-    return out
-
-
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Fill sequences with what is left, the longest that fits first; equal sequences are made together."""
-    left, out = left.copy(), []
-    while left.any():
-        made, room = np.zeros(len(lengths), np.int64), capacity
-        at = len(lengths) - 1
-        while room > 0 and at >= 0:
-            at = min(at, int(np.searchsorted(lengths, room, "right")) - 1)
-            while at >= 0 and left[at] <= made[at]:
-                at -= 1
-            if at < 0:
+    return [(c, float(x)) for c, x in zip(made, times) if x > 0], bound
+
+
+class Stock:
+    """Pieces by length (ascending), from which sequences are filled."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.lengths, self.left, self.capacity = lengths.tolist(), counts.tolist(), capacity
+        self.up = list(range(len(lengths) + 1))  # by index + 1: where to look on for lengths of which some are left
+        self.fits = (np.searchsorted(lengths, np.arange(capacity + 1), "right") - 1).tolist()
+
+    def longest(self, at: int) -> int:
+        """The longest length not above that at `at` of which some are left, or -1."""
+        i, up = at + 1, self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i - 1
+
+    def take(self, at: int, n: int) -> None:
+        self.left[at] -= n
+        if not self.left[at]:
+            self.up[at + 1] = at
+
+    def fill(self, slots: list[int], times: float, waste: float = float("inf")) -> list[tuple[dict[int, int], int]]:
+        """`times` sequences at most, each with a piece for every slot, no longer than the slot's length but for the last, and then
+        best-fit; none that would be left with more than `waste` of room. Equal ones are made together."""
+        out = []
+        while times > 0:
+            held, room = {}, self.capacity
+            for k, slot in enumerate([*slots, None]):
+                while room > 0:
+                    at = self.longest(min(slot, self.fits[room]) if slot is not None and k + 1 < len(slots) else self.fits[room])
+                    while at >= 0 and self.left[at] == held.get(at, 0):
+                        at = self.longest(at - 1)
+                    if at < 0:
+                        break
+                    n = 1 if slot is not None else min(self.left[at] - held.get(at, 0), room // self.lengths[at])
+                    held[at] = held.get(at, 0) + n
+                    room -= n * self.lengths[at]
+                    if slot is not None:
+                        break
+            if not held or room > waste:
                 break
-            n = min(int(left[at] - made[at]), room // int(lengths[at]))
-            if n == 0:
-                at -= 1
-                continue
-            made[at] += n
-            room -= n * int(lengths[at])
-        held = made > 0
-        times = int((left[held] // made[held]).min())
-        out.append((made, times))
-        left -= made * times
-    return out
+            n = min(times, *(self.left[at] // k for at, k in held.items()))
+            for at, k in held.items():
+                self.take(at, k * n)
+            out.append((held, n))
+            times -= n
+        return out
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Sequences filled with the longest piece that fits, again and again."""
+    return Stock(lengths, counts, capacity).fill([], float("inf"))
 
 
 @dataclass
@@ -176,31 +227,42 @@ class Plan:
         return self.sequence[at] + inside // self.each[at], self.offset[at] + inside % self.each[at] * length
 
 
-def choose(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], int]:
+def choose(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
     """Real configurations with their numbers of sequences, together all pieces, and how many of the list come from the program."""
-    chosen: list[tuple[np.ndarray, int]] = []
-    left = counts.copy()
-    if len(lengths):
-        top = classes(lengths, counts)
-        for made, x in sorted(solve(lengths[top], np.diff(np.cumsum(counts)[top], prepend=0), capacity)[0], key=lambda c: (-int(np.flatnonzero(c[0]).max()), -c[1])):
-            chosen += realise(lengths, left, top, made, int(x + 1e-6), capacity)
-    return chosen + best_fit(lengths, left, capacity), len(chosen)
+    if not len(lengths):
+        return [], 0
+    top = classes(lengths, counts)
+    found = solve(lengths[top], np.diff(np.cumsum(counts)[top], prepend=0), capacity)[0]
+    found.sort(key=lambda c: (-int(np.flatnonzero(c[0]).max()), -c[1]))
+    least, best = -(-int((lengths * counts).sum()) // capacity), None
+    for waste in WASTES:
+        stock, chosen = Stock(lengths, counts, capacity), []
+        for made, x in found:
+            chosen += stock.fill([int(top[c]) for c in np.flatnonzero(made)[::-1].tolist() for _ in range(int(made[c]))], int(x + 1e-6), waste)
+        by_program = len(chosen)
+        chosen += stock.fill([], float("inf"))
+        total = sum(times for _, times in chosen)
+        if best is None or total < best[0]:
+            best = total, chosen, by_program
+        if best[0] == least:
+            break
+    return best[1:]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
     """histogram: number of pieces by length (1 to capacity)."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    chosen = choose(lengths, counts, capacity)[0]
-    rows, given, sequence = [], np.zeros(len(lengths), np.int64), 0
-    for made, times in chosen:
+    rows, given, sequence = [], [0] * len(lengths), 0
+    for made, times in choose(lengths, counts, capacity)[0]:
         offset = 0
-        for i in np.flatnonzero(made)[::-1].tolist():
-            rows.append((lengths[i], given[i], made[i], sequence, offset))
+        for i in sorted(made, reverse=True):
+            rows.append((int(lengths[i]), given[i], made[i], sequence, offset))
             given[i] += made[i] * times
-            offset += made[i] * lengths[i]
-        sequence += times
-    assert (given == counts).all()
+            offset += made[i] * int(lengths[i])
+        sequence += int(times)
+    if given != counts.tolist():
+        raise ValueError("the plan doesn't hold every piece once")
     rows.sort()
     return Plan(*(np.array([r[k] for r in rows], np.int64) for k in range(5)), sequence)
 
@@ -238,7 +300,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     return rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids binary, task int, number long")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
     """Give every row (task, length, number, as `pieces` numbers them in a table already written) its sequence_id and offset.
 
     Sequences have consecutive ids, and pieces follow one another in them without a gap.
@@ -246,7 +308,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = rows.sparkSession
     counts = rows.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = storage.save(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), storage.scratch(spark, "counts"))
+    counts = storage.save(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), f"{folder or storage.scratch(spark, 'packing')}/counts")
     # At most `capacity` rows.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(histogram, capacity))
@@ -265,8 +327,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.mapInArrow(task, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(placed, held): doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece, and the written pieces with their ids."""
-    spark = docs.sparkSession
-    held = storage.save(pieces(docs, tokenizer, end_id, capacity, doc_id, text).withColumn("ids_crc32", F.crc32("ids")), storage.scratch(spark, "pieces"))
-    return pack(held.select("doc_id", "piece", "start", "length", "ids_crc32", "task", "number"), capacity), held
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, held): doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece, and the written pieces with their ids.
+
+    Both read from folder (a new one, unless given).
+    """
+    folder = folder or storage.scratch(docs.sparkSession, "packing")
+    held = storage.save(pieces(docs, tokenizer, end_id, capacity, doc_id, text).withColumn("ids_crc32", F.crc32("ids")), f"{folder}/pieces")
+    return pack(held.select("doc_id", "piece", "start", "length", "ids_crc32", "task", "number"), capacity, folder), held

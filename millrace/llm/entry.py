@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, line_dedup, ngram_join, packing, secret_scan, storage, token_store, toxicity, url_filter, warc
+from . import pipeline as corpus
 
 #: The rules that the op10 query judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -29,8 +30,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = storage.read_table(spark, sf_dir, "pages")
-    files = warc.write(pages, storage.scratch(spark, "warc"))
-    return warc.read(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = storage.scratch(spark, "warc")
+    rows = warc.read(spark, warc.write(pages, folder))
+    return storage.kept_alone(rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), folder)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +54,19 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    store = token_store.write(docs, storage.scratch(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    folder = storage.scratch(spark, "tokens")
+    store = token_store.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_store.read(spark, store, token_store.keys_of(docs))
-    return token_store.with_crc(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return storage.kept_alone(token_store.with_crc(rows).select("doc_id", "start", "n_tokens", "ids_crc32"), folder)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed, _ = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    folder = storage.scratch(spark, "packing")
+    placed, _ = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), folder=folder)
+    return storage.kept_alone(placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), folder)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +122,8 @@ OP10_SQL = """
 with r(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 u as (
   select page_id, row_number() over () as i,
-    lower(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1), '')) as host,
-    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
 ), m as (
   select i, h || p as rule, v, row_number() over (partition by i order by length(h || p) desc, length(h) desc) as k
   from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
@@ -129,9 +133,7 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

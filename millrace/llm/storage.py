@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -49,6 +50,13 @@ def remove(spark: SparkSession, *uris: str) -> None:
         fs.delete(path, True)
 
 
+def kept_alone(df: DataFrame, folder: str) -> DataFrame:
+    """df written beside folder and read back, and folder, from which it was made, removed."""
+    out = save(df, f"{folder}-out")
+    remove(df.sparkSession, folder)
+    return out
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it; file: with one slash, as Hadoop prints it, is taken too."""
     if uri.startswith("file:/") and not uri.startswith("file://"):

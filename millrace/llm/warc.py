@@ -4,8 +4,9 @@ Writer: every task writes one .warc.gz file of its own, a gzip member per record
 manifest that Spark commits; files of lost attempts are in no manifest. Of equal payloads of at least
 `min_revisit` bytes the record with the largest id is the response and all others are revisits.
 
-Reader: tasks take byte ranges of the files, look for gzip magic, accept a member only if what it
-decodes to begins as a WARC record does, and own the records that start inside their range.
+Reader: tasks take byte ranges of the files, look for gzip magic, accept a member only if it decodes to the
+headers of a WARC record, and own the records that start inside their range. A range is read block by block, and
+members are found and decoded in the block at hand.
 
 Defined results: a null payload is empty; a null id or url leaves its header out; rows that repeat the
 largest id of a payload are all responses; empty tables give no file and no rows; other columns are ignored.
@@ -28,7 +29,8 @@ from . import storage
 MIN_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-_BLOCK = 1 << 20
+#: Bytes read from a file at once, handed to the decoder at once, and decoded at most to find a record's headers.
+_BLOCK, _STEP, _HEAD = 1 << 20, 16 << 10, 64 << 10
 MANIFEST = "path string, records long, bytes long"
 RECORD = "record_id string, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 _RECORD = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -125,43 +127,70 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return storage.save(rows.mapInArrow(task, MANIFEST), f"{folder}/manifest")
 
 
-def records_in(stream, size: int, begin: int, end: int) -> Iterator[bytes]:
-    """The decoded records of those members that start in bytes [begin, end) of a file of `size` bytes."""
-
-    def at(offset: int, n: int) -> bytes:
-        stream.seek(offset)
-        return stream.read(min(n, size - offset)) if offset < size else b""
-
-    def starts_record(offset: int) -> bool:
+class _Blocks:
+    """A file's bytes, read _BLOCK or more at a time."""
+
+    def __init__(self, stream, size: int):
+        self.stream, self.size, self.begin, self.held = stream, size, 0, b""
+
+    def at(self, offset: int, n: int) -> memoryview:
+        """n bytes from offset, fewer at the end of the file."""
+        n = max(0, min(n, self.size - offset))
+        if not self.begin <= offset <= offset + n <= self.begin + len(self.held):
+            self.stream.seek(offset)
+            self.begin, self.held = offset, self.stream.read(min(max(n, _BLOCK), self.size - offset))
+        return memoryview(self.held)[offset - self.begin : offset - self.begin + n]
+
+    def find(self, what: bytes, begin: int, end: int) -> int:
+        """Where `what` begins first in [begin, end), or -1."""
+        while begin < end:
+            self.at(begin, min(_STEP, end - begin) + len(what) - 1)
+            upto = min(self.begin + len(self.held), end + len(what) - 1) - self.begin
+            found = self.held.find(what, begin - self.begin, upto)
+            if found >= 0:
+                return self.begin + found
+            begin = max(begin + 1, self.begin + upto - len(what) + 1)
+        return -1
+
+
+def _starts_record(blocks: _Blocks, offset: int) -> bool:
+    """Whether a member at offset decodes to a version line and headers up to a blank line, with the type and length of a record."""
+    unpack, head = zlib.decompressobj(31), b""
+    while len(head) < _HEAD and not unpack.eof:
+        raw = blocks.at(offset, _STEP)
+        if not raw:
+            return False
         try:
-            return zlib.decompressobj(31).decompress(at(offset, 4096), 16).startswith(b"WARC/1.")
+            head += unpack.decompress(raw, _HEAD - len(head))
         except zlib.error:
             return False
+        if not head.startswith(b"WARC/1."[: len(head)]):
+            return False
+        if (stop := head.find(b"\r\n\r\n")) >= 0:
+            names = {line.partition(b":")[0].strip().lower() for line in head[:stop].split(b"\r\n")[1:]}
+            return {b"warc-type", b"content-length"} <= names
+        offset += len(raw)
+    return False
 
-    here = begin
-    while here < end:
-        block = at(here, min(_BLOCK, end - here) + len(MAGIC) - 1)
-        found = block.find(MAGIC)
-        if found < 0:
-            here += max(1, len(block) - len(MAGIC) + 1)
-            continue
-        here += found
-        if here >= end:
-            return
-        if not starts_record(here):
+
+def records_in(stream, size: int, begin: int, end: int) -> Iterator[bytes]:
+    """The decoded records of those members that start in bytes [begin, end) of a file of `size` bytes."""
+    blocks, here = _Blocks(stream, size), begin
+    while (here := blocks.find(MAGIC, here, end)) >= 0:
+        if not _starts_record(blocks, here):
             here += 1
             continue
         while here < end:  # members that follow one another need no search
             unpack, parts, read = zlib.decompressobj(31), [], here
             while not unpack.eof:
-                raw = at(read, _BLOCK if parts else 64 << 10)
+                raw = blocks.at(read, _STEP)
                 if not raw:
                     raise ValueError("a record is cut off at the end of its file")
                 parts.append(unpack.decompress(raw))
                 read += len(raw)
             yield b"".join(parts)
             here = read - len(unpack.unused_data)
-            if at(here, len(MAGIC)) != MAGIC or here < end and not starts_record(here):
+            if here >= end or blocks.at(here, len(MAGIC)) != MAGIC or not _starts_record(blocks, here):
                 break
 
 

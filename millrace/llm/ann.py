@@ -9,8 +9,9 @@ list that holds a third of all vectors is many tasks' work.
 
 Defined results: vectors that are null, zero, of another length than most, or hold nulls or non-finite
 numbers take no part, nor do rows without an id; a query isn't matched with rows of its own id; rows that
-repeat an id are candidates of their own, and as queries are one; ties go to smaller ids; empty tables
-give empty results; other columns are ignored.
+repeat an id are candidates of their own, and as queries are one (of the smallest vector); ties go to smaller ids; empty
+tables give empty results; other columns are ignored. A query whose probed lists held fewer than k candidates goes through all
+lists, so none is left with fewer than there are.
 """
 
 from __future__ import annotations
@@ -151,11 +152,26 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
         return out.select(name, F.col("v").alias(f"{name}_v"), F.explode("lists").alias("list"))
 
     vectors = storage.save(dealt(rows, 1, "vec"), f"{folder}/vectors")
-    asked = storage.save(rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(assign(probes, ["query", "v", "lists"]), "query long, v array<double>, lists array<int>"), f"{folder}/queries")
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = storage.save(asked.mapInArrow(assign(probes, ["query", "v", "lists"]), "query long, v array<double>, lists array<int>"), f"{folder}/queries")
+    found = storage.save(_search(vectors, asked, shared, dim, k, f"{folder}/blocks"), f"{folder}/found")
+    few = asked.join(found.where(F.col("rank") == k).select("query_id"), F.col("query") == F.col("query_id"), "left_anti")
+    few = storage.save(few, f"{folder}/few")
+    if probes < len(shared.value.centres) and not few.isEmpty():
+        every = few.withColumn("lists", F.sequence(F.lit(0), F.lit(len(shared.value.centres) - 1)))
+        again = _search(vectors, every, shared, dim, k, f"{folder}/blocks-again")
+        found = found.join(few, F.col("query_id") == F.col("query"), "left_anti").unionAll(again)
+    found = storage.save(found, f"{folder}-out")
+    storage.remove(spark, folder)
+    return found
+
+
+def _search(vectors: DataFrame, asked: DataFrame, shared, dim: int, k: int, work: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest of the vectors (vec, vec_v, list) in the lists of every query (query, v, lists)."""
     asked = asked.select("query", F.col("v").alias("query_v"), F.explode("lists").alias("list"))
     sizes = vectors.groupBy("list").agg(F.count("*").alias("n_vectors")).join(asked.groupBy("list").agg(F.count("*").alias("n_queries")), "list")
     blocks = sizes.select("list", F.ceil(F.col("n_vectors") / LIST_BLOCK).cast("int").alias("vs"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("qs"))
-    blocks = F.broadcast(storage.save(blocks, f"{folder}/blocks"))  # MAX_LISTS rows at most
+    blocks = F.broadcast(storage.save(blocks, work))  # MAX_LISTS rows at most
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     vectors = vectors.join(blocks, "list").withColumn("vb", F.pmod(F.xxhash64("vec"), F.col("vs")).cast("int")).withColumn("qb", every("qs"))
     asked = asked.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("qs")).cast("int")).withColumn("vb", every("vs"))

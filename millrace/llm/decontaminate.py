@@ -110,21 +110,22 @@ def blocks_of(prints: np.ndarray) -> np.ndarray:
     return np.stack([(prints >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in zip(shifts, _WIDTHS)], 1).astype(np.int64)
 
 
-def index_keys(items: Items) -> dict[str, np.ndarray]:
-    """n_words, block, value and item for every value within FLIPS bits of an item's."""
+def index_of(spark, items: Items) -> DataFrame:
+    """n_words, block, value and item for every value within FLIPS bits of an item's; the driver makes the items' own values alone."""
     prints = np.zeros(len(items.ids), np.uint64)
     for i, bag in enumerate(items.bags):
         grams = np.array(list(bag.elements()), np.uint64)
         prints[i] = simhash(grams, items.weigh(grams), np.array([0]), np.array([len(grams)]))[0]
-    values = blocks_of(prints)
-    out = {"n_words": [], "block": [], "value": [], "item": []}
+    own = pa.table({"n_words": pa.array(items.n_words.astype(np.int32)), "item": pa.array(np.arange(len(prints))), **{f"b{k}": pa.array(v) for k, v in enumerate(blocks_of(prints).T)}})
+    own = spark.createDataFrame(own)
+    near = []
     for block, width in enumerate(_WIDTHS):
-        flips = np.array([sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(width), n)], np.int64)
-        out["value"].append((values[:, block, None] ^ flips[None, :]).ravel())
-        out["item"].append(np.repeat(np.arange(len(prints)), len(flips)))
-        out["n_words"].append(np.repeat(items.n_words, len(flips)))
-        out["block"].append(np.full(len(prints) * len(flips), block))
-    return {k: np.concatenate(v) for k, v in out.items()}
+        flips = [sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(width), n)]
+        near.append(own.select("n_words", F.lit(block).cast("long").alias("block"), F.explode(F.lit(flips)).alias("flip"), "item", F.col(f"b{block}").alias("own")).select("n_words", "block", F.col("own").bitwiseXOR(F.col("flip").cast("long")).alias("value"), "item"))
+    out = near[0]
+    for one in near[1:]:
+        out = out.unionAll(one)
+    return out
 
 
 def windows_of(grams: np.ndarray, items: Items, size: int, similarity: float) -> list[tuple[int, int]]:
@@ -214,10 +215,8 @@ def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) ->
         cut.append(F.struct(F.lit(block).cast("long").alias("block"), value.cast("long").alias("value")))
         shift += width
     windows = windows.withColumn("__cut", F.explode(F.array(*cut))).select("*", "__cut.block", "__cut.value").drop("__cut")
-    keys = index_keys(items)
-    index = spark.createDataFrame(pa.table({k: pa.array(v.astype(np.int64)) for k, v in keys.items()}))
-    index = index.select(F.col("n_words").cast("int"), "block", "value", "item")
-    if len(keys["item"]) <= BROADCAST_KEYS:
+    index, keys = index_of(spark, items), len(items.ids) * sum(len(list(combinations(range(w), n))) for w in _WIDTHS for n in range(FLIPS + 1))
+    if keys <= BROADCAST_KEYS:
         index = F.broadcast(index)
     near = windows.join(index, ["n_words", "block", "value"])
 

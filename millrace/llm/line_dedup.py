@@ -8,7 +8,8 @@ goes everywhere else, so no line is lost to the corpus.
 Defined results: null texts stay null and empty ones empty; lines without a letter or digit are never
 boilerplate; a null site is a site of its own; rows that repeat a doc_id with other texts are judged each by its own lines, rows that
 repeat both alike; a document may be left with an empty text, and
-its row stays; empty tables give empty results; extra columns are kept.
+its row stays; empty tables give empty results; extra columns are kept, but one named lines_removed is replaced. The commonest
+boilerplate lines, HOT at most, are spread over SALT places when lines meet them, so that no place takes all of one line.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 MIN_SITES = 5
+#: Lines that are spread, and the places of each.
+HOT, SALT = 1000, 64
 #: Sketch size: 2**10 registers, a standard error of about 3 %.
 SKETCH_LOG2 = 10
 #: Estimates this far around the threshold (relative) are settled by exact counts: over six standard errors.
@@ -38,7 +43,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """__h1, __h2 of lines on min_sites distinct sites or more, and __first: the smallest doc and place."""
+    """__h1, __h2 of lines on min_sites distinct sites or more, __first (the smallest doc and place), and __n, how often they occur."""
     spread = lines.groupBy("__h1", "__h2").agg(
         F.hll_sketch_agg("__site", F.lit(SKETCH_LOG2)).alias("__sketch"), F.count("*").alias("__n"),
         F.min(F.struct("__doc", "__at")).alias("__first"),
@@ -48,13 +53,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     near = spread.where(F.col("__sites") <= min_sites * (1 + NEAR)).select("__h1", "__h2")
     exact = lines.join(near, ["__h1", "__h2"], "left_semi").groupBy("__h1", "__h2").agg(F.count_distinct("__site").alias("__exact"))
     settled = spread.join(exact, ["__h1", "__h2"], "left")
-    return settled.where(F.coalesce("__exact", "__sites") >= min_sites).select("__h1", "__h2", "__first")
+    return settled.where(F.coalesce("__exact", "__sites") >= min_sites).select("__h1", "__h2", "__first", "__n")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with the boilerplate lines taken out of `text`, and lines_removed (int) beside it."""
+    docs = docs.drop("lines_removed")
     lines = lines_of(docs, doc_id, text, site)
-    doomed = lines.join(boilerplate(lines, min_sites), ["__h1", "__h2"])
+    common = storage.save(boilerplate(lines, min_sites), storage.scratch(docs.sparkSession, "boilerplate"))
+    hot = common.orderBy(F.desc("__n"), "__h1", "__h2").limit(HOT).select("__h1", "__h2", F.lit(True).alias("__hot"))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    spread = common.drop("__n").join(F.broadcast(hot), ["__h1", "__h2"], "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__doc", "__text"), F.lit(SALT)).cast("int")).otherwise(0)
+    lines = lines.join(F.broadcast(hot), ["__h1", "__h2"], "left").withColumn("__salt", salt).drop("__hot")  # HOT rows at most
+    doomed = lines.join(spread, ["__h1", "__h2", "__salt"])
     doomed = doomed.where(~F.struct("__doc", "__at").eqNullSafe(F.col("__first")))
     gone = doomed.groupBy("__doc", "__text").agg(F.collect_set("__at").alias("__gone"))
     same = docs[doc_id].eqNullSafe(gone["__doc"]) & F.xxhash64(docs[text]).eqNullSafe(gone["__text"])

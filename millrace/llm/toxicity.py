@@ -134,7 +134,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: st
                 ids, label = (batch.column(i).slice(row, stop - row) for i in range(2))
                 yield pa.RecordBatch.from_arrays([ids, label, pa.array(held, pa.binary())], ["doc", "label", "features"])
 
-    found = rows.select("__doc", "__label", "__text").mapInArrow(task, "doc long, label int, features binary").toArrow()
+    found = rows.select(F.xxhash64("__doc"), "__label", "__text").mapInArrow(task, "doc long, label int, features binary").toArrow()
     order = np.lexsort((found["doc"].to_numpy(),)) if found.num_rows else np.zeros(0, int)
     held = [np.frombuffer(x, np.uint64) for x in found["features"].to_pylist()]
     held, label = [held[i] for i in order], found["label"].to_numpy()[order].astype(int)

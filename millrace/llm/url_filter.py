@@ -71,8 +71,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
 
 def filter_pages(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """All rows of pages with host, path, rule and verdict beside them (under `url_` names where these clash)."""
-    judged = judge(pages, rules, url, default)
-    names = {c: f"url_{c}" if c in pages.columns else c for c in ("host", "path", "rule", "verdict")}
+    """All rows of pages with host, path, rule and verdict beside them, each under `url_` (once or oftener) before its name where pages has that."""
+    judged = judge(pages.where(F.col(url).isNotNull()), rules, url, default)
+    names = {}
+    for c in ("host", "path", "rule", "verdict"):
+        names[c] = c
+        while names[c] in pages.columns:
+            names[c] = f"url_{names[c]}"
     judged = judged.select(F.col("url").alias("__judged"), *[F.col(c).alias(n) for c, n in names.items()])
-    return pages.join(judged, F.col("__judged").eqNullSafe(pages[url]), "left").drop("__judged")
+    # Rows without a url meet no verdict, so they stay where they are.
+    known = pages.where(F.col(url).isNotNull()).join(judged, F.col("__judged") == F.col(url), "left").drop("__judged")
+    values = {"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
+    return known.unionByName(pages.where(F.col(url).isNull()).select("*", *[values[c].alias(n) for c, n in names.items()]))

@@ -1,4 +1,4 @@
-"""The lineage queries and the SQL that says the same."""
+"""The lineage queries on the edges of the order tables' foreign keys, and the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -7,76 +7,240 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import lineage
+from millrace.operators import lineage, paths, registry
 from millrace.sources import foreign_keys
-
-_EDGES = """e as (
-  select 'region.' || n_regionkey as source_col, 'nation.' || n_nationkey as target_col, 'passthrough' as transform_type, 'geo.sql' as source_file from nation
-  union all select 'nation.' || c_nationkey, 'customer.' || c_custkey, case when c_acctbal < 0 then 'filter' else 'passthrough' end, 'customer.sql' from customer
-  union all select 'customer.' || o_custkey, 'orders.' || o_orderkey, 'join_key', 'orders.py' from orders
-  union all select 'orders.' || l_orderkey, 'lineitem.' || l_orderkey || '_' || l_linenumber, case when l_discount > 0.05 then 'expression' else 'aggregation' end, 'lineitem.ipynb' from lineitem
-  union all select 'nation.' || s_nationkey, 'supplier.' || s_suppkey, 'passthrough', 'supplier.sql' from supplier
-  union all select 'supplier.' || l_suppkey, 'lineitem.' || l_orderkey || '_' || l_linenumber, 'window', 'lineitem.ipynb' from lineitem
-), d as (
-  select source_col, target_col, max(transform_type) as transform_type, max_by(source_file, transform_type) as source_file from e group by 1, 2
+from millrace.sources.shared import cut
+
+_KEPT = ", ".join(foreign_keys.COLUMNS)
+_LINE = "'lineitem.' || l_orderkey || '_' || l_linenumber"
+_SEQ = "{0}::bigint * 1000000000000 + l_orderkey * 1000 + cast(l_quantity as bigint)"
+_EDGES = f"""e({_KEPT}) as (
+  select 'region.' || n_regionkey, 'nation.' || n_nationkey, 'passthrough', 'geo.sql', null, n_nationkey, 'certain', n_nationkey::bigint from nation
+  union all select 'nation.' || c_nationkey, 'customer.' || c_custkey, case when c_acctbal < 0 then 'filter' else 'passthrough' end, 'customer.sql', case when c_acctbal < 0 then 'c_acctbal < 0' end, (c_custkey % 50)::integer, case when c_acctbal < 0 then 'approximate' else 'certain' end, 1000000000000 + c_custkey from customer
+  union all select 'customer.' || o_custkey, 'orders.' || o_orderkey, 'join_key', 'orders.py', 'o_custkey = c_custkey', (o_orderkey % 50)::integer, 'certain', 2000000000000 + o_orderkey from orders
+  union all select 'orders.' || l_orderkey, {_LINE}, case when l_discount > 0.05 then 'expression' else 'aggregation' end, 'lineitem.ipynb', case when l_discount > 0.05 then 'price * (1 - discount)' else 'sum(quantity)' end, l_linenumber, 'certain', {_SEQ.format(3)} from lineitem
+  union all select 'nation.' || s_nationkey, 'supplier.' || s_suppkey, 'passthrough', 'supplier.sql', null, (s_suppkey % 50)::integer, 'certain', 4000000000000 + s_suppkey from supplier
+  union all select 'supplier.' || l_suppkey, {_LINE}, 'window', 'lineitem.ipynb', 'row_number() over (partition by supplier)', l_linenumber + 10, 'certain', {_SEQ.format(5)} from lineitem
 )"""
+_DEDUP = "select source_col, target_col, m.transform_type as transform_type, m.source_file as source_file, m.expression as expression, m.source_line as source_line, m.confidence as confidence, m.seq as seq from (select source_col, target_col, max({{'seq': seq, 'confidence': confidence, 'expression': expression, 'source_file': source_file, 'source_line': source_line, 'transform_type': transform_type}}) as m from {0} group by 1, 2)"
+_D = f"{_EDGES}, d as ({_DEDUP.format('e')})"
 _NODES = "n as (select node, max(s) as s, max(t) as t from (select source_col as node, 1 as s, 0 as t from d union all select target_col, 0, 1 from d) group by 1)"
-_DOWN = "r(node) as (select 'nation.3' union select target_col from d join r on source_col = node)"
-_UP = "r(node) as (select 'lineitem.1_1' union select source_col from d join r on target_col = node)"
-_KEPT = "source_col, target_col, transform_type, source_file"
-_RANK = "case transform_type when 'window' then 5 when 'cast' then 4 when 'aggregation' then 3 when 'expression' then 2 when 'passthrough' then 1 else 0 end"
-_QUALIFIED = """q as (
-  select source_col, case source_file when 'geo.sql' then 'db.' || target_col when 'orders.py' then 'a.' || target_col when 'supplier.sql' then 'a.' || target_col else target_col end as target_col, transform_type, source_file from d
-  union all select 'b.supplier.0', 'c.z', 'cast', 'x.sql'
+_DOWN = "down(node) as (select 'nation.3' union select target_col from d join down on source_col = node)"
+_UP = "up(node) as (select min(target_col) from d where starts_with(target_col, 'lineitem.') union select source_col from d join up on target_col = node)"
+_RANK = "case {0} when 'window' then 5 when 'cast' then 4 when 'aggregation' then 3 when 'expression' then 2 when 'passthrough' then 1 else 0 end"
+_TABLE, _COLUMN = "regexp_extract({0}, '^(.*)[.][^.]*$', 1)", "regexp_extract({0}, '[^.]*$')"
+
+
+def _extra(d: DataFrame, rows: list[tuple]) -> DataFrame:
+    """d and more edges; rows give the first columns, the others are as those of a plain certain edge."""
+    full = [(*r, *(None, 1, "certain", -1)[len(r) - 4 :]) for r in rows]
+    return d.unionByName(d.sparkSession.createDataFrame(full, d.select(foreign_keys.COLUMNS).schema))
+
+
+def _first_line(d: DataFrame) -> str:
+    """The first lineitem column of the edges."""
+    return d.where(d.target_col.startswith("lineitem.")).agg(F.min("target_col")).first()[0]
+
+
+# Names
+
+_QUALIFY = "case source_file when 'geo.sql' then 'db.' || target_col when 'orders.py' then 'a.' || target_col when 'supplier.sql' then 'a.' || target_col else target_col end"
+_QUALIFIED = f"""q as (select * replace ({_QUALIFY} as target_col) from d union all select 'b.supplier.0', 'c.z', 'cast', 'x.sql', null, 1, 'certain', -1
 ), i as (select source_col as id from q union all select target_col from q),
-t as (select distinct regexp_extract(id, '^(.*)[.][^.]*$', 1) as t from i),
+t as (select distinct {_TABLE.format('id')} as t from i),
 m as (select s.t as s, min(l.t) as l, count(*) as n from t s join t l on ends_with(l.t, '.' || s.t) group by 1)"""
+_WHOLE = "coalesce(l{1}.l || '.' || " + _COLUMN.format("{0}") + ", {0}) as {0}"
+_RESOLVED = f"""select {_WHOLE.format('source_col', 1)}, {_WHOLE.format('target_col', 2)}, transform_type, source_file, expression, source_line, confidence, seq
+from q left join (select * from m where n = 1) l1 on l1.s = {_TABLE.format('source_col')} left join (select * from m where n = 1) l2 on l2.s = {_TABLE.format('target_col')}"""
 
 
 def _qualified(d: DataFrame) -> DataFrame:
     """The edges with schemas before some tables: `supplier` is then ambiguous, `nation` and `orders` aren't."""
     schema = F.when(F.col("source_file") == "geo.sql", "db.").when(F.col("source_file").isin("orders.py", "supplier.sql"), "a.").otherwise("")
-    more = d.sparkSession.createDataFrame([("b.supplier.0", "c.z", "cast", "x.sql")], "source_col string, target_col string, transform_type string, source_file string")
-    return d.withColumn("target_col", F.concat(schema, "target_col")).unionByName(more)
+    return _extra(d.withColumn("target_col", F.concat(schema, "target_col")), [("b.supplier.0", "c.z", "cast", "x.sql")])
+
+
+def _mixed_case(d: DataFrame) -> DataFrame:
+    return d.withColumns({c: F.when(F.col("seq") % 2 == 0, F.upper(c)).otherwise(F.col(c)) for c in ("source_col", "target_col")})
+
+
+def _build(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    said = d.sparkSession.createDataFrame([("geo.sql", "no target", "warn"), ("broken.sql", "unreadable", "error")], lineage.WARNING)
+    return lineage.build_graph(_mixed_case(_qualified(_looped(d))), said)
+
+
+_BUILT = f"q2 as ({_RESOLVED}), b as ({_DEDUP.format('q2')})"
+_LOOP_QUALIFIED = _QUALIFIED.replace("from d union", "from lo union")
+
+# Cycles: the first five customers lead back to their nations
+
+
+def _looped(d: DataFrame) -> DataFrame:
+    back = d.where("source_file = 'customer.sql'").where(lineage.column_of(F.col("target_col")).cast("long") < 5)
+    return d.unionByName(back.select(F.col("target_col").alias("source_col"), F.col("source_col").alias("target_col"), *foreign_keys.COLUMNS[2:]))
+
+
+_BACK = "select target_col as source_col, source_col as target_col, transform_type, source_file, expression, source_line, confidence, seq from d where source_file = 'customer.sql' and cast(regexp_extract(target_col, '[^.]*$') as bigint) < 5"
+_CYCLE_TEXT = "'Circular lineage detected involving: [''customer.0'', ''{0}nation.' || c_nationkey || ''']'"
+
+# Paths: raw.* and staging.* lie before the regions
+
+
+def _staged(d: DataFrame) -> DataFrame:
+    return _extra(d, [("raw.*", "staging.*", "passthrough", "stage.sql"), ("staging.*", "region.*", "cast", "stage.sql"), ("seed.code", "staging.*", "expression", "stage.sql")])
+
 
+_STAGED = """g as (select * from d union all select 'raw.*', 'staging.*', 'passthrough', 'stage.sql', null, 1, 'certain', -1 union all select 'staging.*', 'region.*', 'cast', 'stage.sql', null, 1, 'certain', -1 union all select 'seed.code', 'staging.*', 'expression', 'stage.sql', null, 1, 'certain', -1)"""
+_WALK = f"""w(ids, kinds) as (
+  select [min(target_col)], []::varchar[] from d where starts_with(target_col, 'lineitem.')
+  union all select [s] || ids, [t] || kinds from (
+    select ids, kinds, transform_type as t, case when ends_with(target_col, '.*') and ends_with(source_col, '.*') then {_TABLE.format('source_col')} || '.' || {_COLUMN.format('ids[1]')} else source_col end as s
+    from w join g on target_col = ids[1] or target_col = {_TABLE.format('ids[1]')} || '.*') where not list_contains(ids, s)
+), p as (select ids, kinds from w where len(ids) > 1 and not exists (select 1 from g where target_col = ids[1] or target_col = {_TABLE.format('ids[1]')} || '.*'))"""
+_SUMMARY = f"""y as (
+  select array_to_string(ids, ' > ') as path, {_TABLE.format('ids[1]')} as origin, len(ids) - 1 as hops,
+    case when len(ids) = 2 then 'direct' else 'via ' || array_to_string(list_transform(ids[2:-2], lambda x : {_TABLE.format('x')}), ' → ') end as via,
+    coalesce(list_filter(kinds, lambda x : x <> 'passthrough')[-1], kinds[-1]) as dominant from p)"""
 
-def _confidence(d: DataFrame) -> DataFrame:
-    said = d.sparkSession.createDataFrame([("geo.sql", "warn"), ("broken.sql", "error")], "file string, severity string")
-    return lineage.file_confidence(d.withColumn("confidence", F.when(F.col("transform_type") == "filter", "approximate").otherwise("certain")), said)
+# Views: customers and suppliers are views, in whose making some customers are cast
 
 
-_CONFIDENCE = """w(f, s) as (values ('geo.sql', 'warn'), ('broken.sql', 'error')),
-c as (select source_file as f, count(*) as n, count(*) filter (transform_type = 'filter') as a from d group by 1),
-k as (select f, count(*) as n, count(*) filter (s = 'error') as e from w group by 1)
-select f as source_file, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count,
-  case when e > 0 then 'low' when a > 0 or k.n > 0 then 'medium' else 'high' end as confidence from c full join k using (f)"""
-_WHOLE = "coalesce((select l || '.' || regexp_extract({0}, '[^.]*$') from m where n = 1 and s = regexp_extract({0}, '^(.*)[.][^.]*$', 1)), {0}) as {0}"
+def _with_views(d: DataFrame) -> DataFrame:
+    return d.withColumn("transform_type", F.when((F.col("source_file") == "customer.sql") & (F.col("seq") % 3 == 0), "cast").otherwise(F.col("transform_type")))
+
+
+_INLINED = f"""v as (select * replace (case when source_file = 'customer.sql' and seq % 3 = 0 then 'cast' else transform_type end as transform_type) from d),
+c as (select a.source_col, o.target_col, o.transform_type, o.expression, o.source_file, o.source_line, o.seq, case when a.confidence = 'approximate' then 'approximate' else o.confidence end as confidence, a.transform_type as kt, a.expression as ke
+  from v o join v a on a.target_col = o.source_col where o.source_file = 'orders.py'
+  union all select a.source_col, o.target_col, o.transform_type, o.expression, o.source_file, o.source_line, o.seq, case when a.confidence = 'approximate' then 'approximate' else o.confidence end, a.transform_type, a.expression
+  from v o join v a on a.target_col = o.source_col where starts_with(o.source_col, 'supplier.'))
+select source_col, target_col, source_file, source_line, confidence, seq,
+  case when {_RANK.format("kt")} > {_RANK.format('transform_type')} then kt else transform_type end as transform_type, case when {_RANK.format("kt")} > {_RANK.format('transform_type')} then ke else expression end as expression from c
+union all select source_col, target_col, source_file, source_line, confidence, seq, transform_type, expression from v where source_file in ('geo.sql') or starts_with(source_col, 'orders.')"""
+
+# A trace: suppliers are a view that the resolved graph doesn't have; predicates and join keys stand beside them
+
+
+def _traced(d: DataFrame) -> DataFrame:
+    more = [
+        ("orders.status", "lineitem.__filter__", "filter", "lineitem.ipynb", "status = 'F'", 3, "certain", 1), ("orders.day", "lineitem.__filter__", "filter", "lineitem.ipynb", "status = 'F'", 3, "certain", 2),
+        ("orders.key", "lineitem.__joinkey__", "join_key", "lineitem.ipynb", "o.key = l.key", 4, "certain", 1), ("nation.name", "supplier.__having__", "filter", "supplier.sql", "count(*) > 1", 9, "certain", 1),
+    ]
+    raw = _extra(d, more)
+    resolved = d.where(~d.source_col.startswith("supplier.") & ~d.target_col.startswith("supplier."))
+    return paths.lineage_trace(resolved, raw, _first_line(d))
+
+
+_TRACE = """f as (select min(target_col) as c from d where starts_with(target_col, 'lineitem.')),
+s as (select split_part(source_col, '.', 1) as source_table, source_file, min(source_line) as source_line, string_agg(distinct transform_type || ' ' || expression, '; ' order by transform_type || ' ' || expression) as writes, string_agg(distinct source_col, ',' order by source_col) as upstream_columns
+  from d, f where target_col = c group by 1, 2)
+select 'pyspark' as kind, source_table, source_file, source_line, 'lineitem' as target_table, writes,
+  case when source_table = 'supplier' then 'having: count(*) > 1 [nation.name]; ' else '' end || 'where: status = ''F'' [orders.status,orders.day]' as filters, 'join: o.key = l.key [orders.key]' as joins,
+  case when source_table = 'supplier' then 'supplier' else '' end as via_temp_views, upstream_columns from s"""
+
+# Sources
+
+
+def _sources(d: DataFrame) -> DataFrame:
+    """Two sources; the first is parsed anew and has other files then, the third is removed."""
+    spark = d.sparkSession
+    first = F.col("source_file").isin("geo.sql", "customer.sql")
+    held = d.withColumn("source_id", F.when(first, "s1").when(F.col("source_file") == "orders.py", "s3").otherwise("s2"))
+    said = spark.createDataFrame([("s1", "geo.sql", "old", "warn"), ("s2", "supplier.sql", "kept", "info"), ("s3", "orders.py", "gone", "warn")], f"source_id string, {lineage.WARNING}")
+    new = d.where("source_file = 'customer.sql'").withColumn("source_file", F.lit("customers.sql"))
+    held, said = registry.refresh(held, "s1", new), registry.refresh(said, "s1", spark.createDataFrame([("customers.sql", "new", "warn"), ("customers.sql", "newer", "warn")], lineage.WARNING))
+    held, said = registry.delete(held, "s3"), registry.delete(said, "s3")
+    known = spark.createDataFrame([("s1", "first", "zip", "secret"), ("s2", "second", "git", "secret"), ("s4", "empty", "git", None)], "source_id string, name string, kind string, token string")
+    return registry.listing(known, held, said)
+
+
+_SOURCES = """select 's1' as source_id, 'first' as name, 'zip' as kind, count(distinct source_file) as file_count, count(*) as edge_count, 2 as warning_count from d where source_file = 'customer.sql'
+union all select 's2', 'second', 'git', count(distinct source_file), count(*), 1 from d where source_file not in ('geo.sql', 'customer.sql', 'orders.py') union all select 's4', 'empty', 'git', 0, 0, 0"""
+_SAID = [("geo.sql", "no target", "warn"), ("geo.sql", "odd", "hint"), ("broken.sql", "unreadable", "error")]
+_W = "w(f, e, s) as (values ('geo.sql', 'no target', 'warn'), ('geo.sql', 'odd', 'hint'), ('broken.sql', 'unreadable', 'error'))"
+_STATS = """c as (select source_file as f, count(*) as n, count(*) filter (confidence = 'approximate') as a from d group by 1),
+k as (select f, count(*) as n, count(*) filter (s = 'error') as e from w group by 1)"""
+
+
+def _said(d: DataFrame) -> DataFrame:
+    return d.sparkSession.createDataFrame(_SAID, lineage.WARNING)
+
+
+def _changed(d: DataFrame) -> DataFrame:
+    """The edges, with those of the customers made anew."""
+    return lineage.compose(d, d.where("source_file = 'customer.sql'").withColumns({"transform_type": F.lit("cast"), "seq": F.lit(0).cast("long")}))
+
+
+def _files(d: DataFrame) -> DataFrame:
+    return lineage.remove_files(d, d.sparkSession.createDataFrame([("geo.sql",), ("orders.py",), ("none.sql",)], "source_file string"))
+
+
+def _by_direction(d: DataFrame) -> DataFrame:
+    return lineage.lineage(d, "nation.3").select("source_col", "target_col", "direction")
+
 
 #: name: (operator on deduplicated edges, SQL)
 _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
-    "g03_resolve_short_names": (lambda d: lineage.resolve_short_names(_qualified(d)), f"with {_EDGES}, {_QUALIFIED} select {_WHOLE.format('source_col')}, {_WHOLE.format('target_col')}, transform_type, source_file from q"),
-    "g04_ambiguous_names": (lambda d: lineage.short_names(_qualified(d)).where("candidates > 1").select("short", "candidates"), f"with {_EDGES}, {_QUALIFIED} select s as short, n as candidates from m where n > 1"),
-    "g05_edge_dedup": (lambda d: d, f"with {_EDGES} select * from d"),
-    "g07_file_stats": (lineage.file_stats, f"with {_EDGES} select source_file, count(*) as edge_count, case when regexp_matches(source_file, '[.](py|ipynb)$') then 'pyspark' else 'sql' end as kind from d group by 1, 3"),
-    "g11_upstream": (lambda d: lineage.upstream(d, "lineitem.1_1"), f"with recursive {_EDGES}, {_UP} select {_KEPT} from d where target_col in (select node from r)"),
-    "g12_downstream": (lambda d: lineage.downstream(d, "nation.3"), f"with recursive {_EDGES}, {_DOWN} select {_KEPT} from d where source_col in (select node from r)"),
-    "g13_impact": (lambda d: lineage.impact(d, "nation.3"), f"with recursive {_EDGES}, {_DOWN} select count(distinct target_col) as affected_count from d where source_col in (select node from r)"),
-    "g20_tables": (lineage.tables, f"with {_EDGES}, {_NODES} select split_part(node, '.', 1) as table_name, count(*) as column_count, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role, false as synthetic from n group by 1"),
-    "g22_search": (lambda d: lineage.search(d, "Nation.1"), f"with {_EDGES}, {_NODES} select node from n where contains(node, 'nation.1')"),
-    "g23_file_confidence": (_confidence, f"with {_EDGES}, {_CONFIDENCE}"),
-    "g37_table_edges": (lineage.table_edges, f"with {_EDGES} select split_part(source_col, '.', 1) as source_table, split_part(target_col, '.', 1) as target_table, count(*) as edge_count, string_agg(distinct transform_type, ',' order by transform_type) as transforms from d group by 1, 2"),
-    "g39_visible": (lineage.visible, f"with {_EDGES} select * from d where transform_type not in ('filter', 'join_key')"),
-    "g40_node_class": (lineage.node_class, f"with {_EDGES}, {_NODES} select node, case when t = 0 then 'source' when s = 0 then 'sink' else 'inner' end as node_class from n"),
-    "g43_best_predecessor": (lineage.best_predecessor, f"with {_EDGES}, k as (select *, row_number() over (partition by target_col order by {_RANK} desc, source_col) as i from d) select target_col, source_col, transform_type from k where i = 1"),
+    "g02_normalize_case": (lambda d: lineage.normalize_case(_mixed_case(d)).select("source_col", "target_col"), f"with {_D} select source_col, target_col from d"),
+    "g03_resolve_short_names": (lambda d: lineage.resolve_short_names(_qualified(d)), f"with {_D}, {_QUALIFIED} {_RESOLVED}"),
+    "g04_ambiguous_names": (lambda d: lineage.ambiguity_warnings(lineage.short_names(_qualified(d))), f"with {_D}, {_QUALIFIED} select '<graph>' as file, 'ambiguous table name ''' || s || ''' matches multiple qualified tables — leaving as-is; qualify references to disambiguate' as error, 'warn' as severity from m where n > 1"),
+    "g05_edge_dedup": (lambda d: d, f"with {_D} select * from d"),
+    "g06_cyclic_core": (lambda d: lineage.cyclic_core(_looped(d)).select("source_col", "target_col"), f"with {_D} select source_col, target_col from ({_BACK}) union all select target_col, source_col from ({_BACK})"),
+    "g06_cycle_warning": (lambda d: lineage.cycle_warning(_looped(d)), f"select '<graph>' as file, {_CYCLE_TEXT.format('')} as error, 'warn' as severity from customer where c_custkey = 0"),
+    "g07_file_stats": (lambda d: lineage.file_stats(d, _said(d)), f"with {_D}, {_W}, {_STATS} select f as source_file, case when regexp_matches(f, '[.](py|ipynb)$') then 'pyspark' else 'sql' end as kind, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count, coalesce(e, 0) as error_count from c full join k using (f)"),
+    "g08_error_files": (lambda d: lineage.error_files(_said(d)), "select 'broken.sql' as source_file"),
+    "g09_build_warnings": (lambda d: _build(d)[1], f"""select '<graph>' as file, 'ambiguous table name ''supplier'' matches multiple qualified tables — leaving as-is; qualify references to disambiguate' as error, 'warn' as severity
+      union all select '<graph>', {_CYCLE_TEXT.format('db.')}, 'warn' from customer where c_custkey = 0 union all select 'geo.sql', 'no target', 'warn' union all select 'broken.sql', 'unreadable', 'error'"""),
+    "g10_build_graph": (lambda d: _build(d)[0], f"with {_D}, lo as (select * from d union all {_BACK}), {_LOOP_QUALIFIED}, {_BUILT} select * from b"),
+    "g11_upstream": (lambda d: lineage.upstream(d, _first_line(d)), f"with recursive {_D}, {_UP} select * from d where target_col in (select node from up)"),
+    "g12_downstream": (lambda d: lineage.downstream(d, "nation.3"), f"with recursive {_D}, {_DOWN} select * from d where source_col in (select node from down)"),
+    "g13_impact": (lambda d: lineage.impact(d, "nation.3"), f"with recursive {_D}, {_DOWN} select count(distinct target_col) as affected_count from d where source_col in (select node from down)"),
+    "g14_lineage": (_by_direction, f"with recursive {_D}, {_DOWN} select source_col, target_col, 'downstream' as direction from d where source_col in (select node from down) union all select source_col, target_col, 'upstream' from d where target_col = 'nation.3'"),
+    "g15_payload": (lambda d: lineage.payload(d, "nation.3"), f"with recursive {_D}, {_DOWN}, b as (select source_col, target_col from d where source_col in (select node from down) or target_col = 'nation.3') select 'edge' as kind, source_col as source, target_col as target from b union all select 'node', id, null from (select source_col as id from b union select target_col from b)"),
+    "g16_trace_paths": (lambda d: paths.trace_paths(_staged(d), _first_line(d)), f"with recursive {_D}, {_STAGED}, {_WALK} select array_to_string(ids, ' > ') as path, cast(len(ids) - 1 as integer) as hops, array_to_string(kinds, ',') as transforms, false as truncated from p"),
+    "g17_capped_paths": (lambda d: paths.trace_paths(_staged(d), _first_line(d), 2).select("path", "truncated"), f"with recursive {_D}, {_STAGED}, {_WALK} select array_to_string(ids, ' > ') as path, (select count(*) from p) >= 2 as truncated from p order by list_reverse(ids) limit 2"),
+    "g19_list_columns": (lambda d: lineage.list_columns(d, "lineitem"), f"""with {_D}, l as (select *, split_part(source_col, '.', 1) as st from d where starts_with(target_col, 'lineitem.')), t as (select target_col, st, min(seq) as i from l group by 1, 2), x as (select target_col, expression, min(seq) as i from l group by 1, 2)
+      select target_col as node_id, split_part(target_col, '.', 2) as column_name, (select string_agg(st, ',' order by i) from t where t.target_col = f.target_col) as source_tables, (select string_agg(expression, chr(10) order by i) from x where x.target_col = f.target_col) as expressions, source_file, source_line, transform_type
+      from (select *, row_number() over (partition by target_col order by seq, source_col) as i from l) f where f.i = 1"""),
+    "g18_source_columns": (lambda d: lineage.list_columns(d, "region"), "select 'region.' || r_regionkey as node_id, r_regionkey::varchar as column_name, '' as source_tables, null::varchar as expressions, null::varchar as source_file, null::integer as source_line, null::varchar as transform_type from region where r_regionkey in (select n_regionkey from nation)"),
+    "g20_tables": (lineage.tables, f"with {_D}, {_NODES} select split_part(node, '.', 1) as table_name, count(*) as column_count, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role, false as synthetic from n group by 1"),
+    "g21_synthetic": (lambda d: lineage.tables(_extra(d, [("lineitem.0", "result.n", "cast", "x.sql"), ("__file__.*", "region.*", "cast", "x.sql")]).where("source_file = 'x.sql'")), "select * from (values ('lineitem', 1, 'source', false), ('result', 1, 'result', false), ('__file__', 1, 'source', true), ('region', 1, 'target', false)) as t(table_name, column_count, role, synthetic)"),
+    "g22_search": (lambda d: lineage.search(d, "Nation.1"), f"with {_D}, {_NODES} select node from n where contains(node, 'nation.1')"),
+    "g23_file_confidence": (lambda d: lineage.file_confidence(d, _said(d)), f"with {_D}, {_W}, {_STATS} select f as source_file, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count, case when e > 0 then 'low' when a > 0 or k.n > 0 then 'medium' else 'high' end as confidence from c full join k using (f)"),
+    "g24_compose": (_changed, f"with {_D} select * replace (case when source_file = 'customer.sql' then 'cast' else transform_type end as transform_type, case when source_file = 'customer.sql' then 0 else seq end as seq) from d"),
+    "g25_remove_files": (_files, f"with {_D} select * from d where source_file not in ('geo.sql', 'orders.py')"),
+    "g26_sources": (_sources, f"with {_D} {_SOURCES}"),
+    "g27_inline_views": (lambda d: paths.inline_views(_with_views(d), ["Customer", "supplier"]), f"with {_D}, {_INLINED}"),
+    "g29_lineage_trace": (_traced, f"with {_D}, {_TRACE}"),
+    "g34_warnings": (lambda d: registry.warnings_of(_said(d).withColumn("source_id", F.lit("s1"))), f"with {_W} select 's1' as source_id, f as file, e as error, s as severity from w"),
+    "g37_table_edges": (lineage.table_edges, f"with {_D} select split_part(source_col, '.', 1) as source_table, split_part(target_col, '.', 1) as target_table, count(*) as edge_count, string_agg(distinct transform_type, ',' order by transform_type) as transforms from d group by 1, 2"),
+    "g39_visible": (lambda d: lineage.visible(d.withColumn("transform_type", F.when(F.col("seq") % 7 != 0, F.col("transform_type")))), f"with {_D} select * replace (case when seq % 7 <> 0 then transform_type end as transform_type) from d where transform_type not in ('filter', 'join_key') or seq % 7 = 0"),
+    "g40_node_class": (lambda d: lineage.node_class(_extra(d, [("orders.0", "lineitem.__filter__", "filter", "x.sql")]), "nation.3"), f"with {_EDGES}, d as ({_DEDUP.format('e')} union all select 'orders.0', 'lineitem.__filter__', 'filter', 'x.sql', null, 1, 'certain', -1), {_NODES} select node, case when node = 'nation.3' then 'target' when node = 'lineitem.__filter__' then 'pseudo' when t = 0 then 'source' when s = 0 then 'sink' else 'inner' end as node_class from n"),
+    "g41_path_summary": (lambda d: paths.path_summary(paths.trace_paths(_staged(d), _first_line(d))), f"with recursive {_D}, {_STAGED}, {_WALK}, {_SUMMARY} select path, origin, via, dominant, cast(hops as integer) as hops from y"),
+    "g42_path_groups": (lambda d: paths.path_groups(paths.path_summary(paths.trace_paths(_staged(d), _first_line(d)))), f"with recursive {_D}, {_STAGED}, {_WALK}, {_SUMMARY} select path, origin, case when count(*) over (partition by origin, via) > 1 then via || ' (' || row_number() over (partition by origin, via order by path) || ')' else via end as label, count(*) over (partition by origin) as group_size from y"),
+    "g43_best_predecessor": (lineage.best_predecessor, f"with {_D}, k as (select *, row_number() over (partition by target_col order by {_RANK.format('transform_type')} desc, seq, source_col) as i from d) select target_col, source_col, transform_type from k where i = 1"),
+    "g44_incoming_expressions": (lambda d: lineage.incoming_expressions(d, _first_line(d)), f"with {_D} select distinct expression, source_file, source_line from d where target_col = (select min(target_col) from d where starts_with(target_col, 'lineitem.')) and expression <> '*'"),
+    "g45_tree": (lambda d: lineage.tree(d, "nation.3", up=False), f"""with recursive {_D}, r(node, depth) as (select 'nation.3', 0 union select target_col, depth + 1 from d join r on source_col = node), a as (select node, min(depth) as depth from r group by 1)
+      select a.node, cast(a.depth as integer) as depth, (select min(source_col) from d join a b on b.node = d.source_col where d.target_col = a.node and b.depth = a.depth - 1) as parent from a"""),
+    "g46_tables_by_role": (lambda d: lineage.tables_by_role(d, "N"), f"with {_D}, {_NODES}, t as (select split_part(node, '.', 1) as table_name, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role from n group by 1) select role, count(*) as table_count, string_agg(table_name, ',' order by table_name) as table_names from t where contains(table_name, 'n') group by 1"),
+    "g47_severity_counts": (lambda d: lineage.severity_counts(_said(d)), "select * from (values ('warn', 2, false), ('error', 1, true)) as t(severity, warning_count, dominant)"),
+    "g48_export_json": (lineage.export_json, f"with {_D}, {_NODES} select json_object('id', node)::varchar as item from n union all select json_object('source', source_col, 'target', target_col, 'transform_type', transform_type, 'source_file', source_file)::varchar from d"),
+    "g48_export_tables": (lambda d: lineage.export_json(d, by_table=True), f"with {_D}, p as (select split_part(source_col, '.', 1) as a, split_part(target_col, '.', 1) as b, count(*) as n, string_agg(distinct transform_type, ',' order by transform_type) as t from d group by 1, 2) select json_object('id', x)::varchar as item from (select a as x from p union select b from p) union all select json_object('source', a, 'target', b, 'edge_count', n, 'transforms', t)::varchar from p"),
 }
+#: Queries whose operators read the edges once and can take them as they come.
+_ONCE = {"g02_normalize_case", "g05_edge_dedup", "g07_file_stats", "g08_error_files", "g13_impact", "g20_tables", "g22_search", "g23_file_confidence", "g24_compose", "g25_remove_files", "g34_warnings", "g37_table_edges", "g39_visible", "g40_node_class", "g43_best_predecessor", "g46_tables_by_role", "g47_severity_counts"}
+
 
+def _query(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = lineage.dedup_edges(foreign_keys.edges(spark, sf_dir))
+        return operator(edges if name in _ONCE else cut(edges))
 
-def _query(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(lineage.dedup_edges(foreign_keys.edges(spark, sf_dir)))
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(operator) for name, (operator, _) in _QUERIES.items()}
+    return {name: _query(name, operator) for name, (operator, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

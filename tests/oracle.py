@@ -23,7 +23,9 @@ def _sorted(columns: list[str], rows: list) -> list[tuple]:
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-def assert_same(frame, sf_dir: str, sql: str) -> None:
+def assert_same(frame, sf_dir: str, sql: str) -> int:
+    """Assert equal rows in any order; how many there are."""
     columns, rows = sql_rows(sf_dir, sql)
     assert sorted(frame.columns) == sorted(columns)
     assert _sorted(frame.columns, frame.collect()) == _sorted(columns, rows)
+    return len(rows)

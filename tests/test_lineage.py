@@ -4,6 +4,7 @@ import pytest
 from oracle import assert_same
 
 from millrace.operators import lineage
+from millrace.plans import constructs
 from millrace.plans import lineage as plans
 
 DATA = "/root/testdata/sf0.001"
@@ -12,7 +13,12 @@ EDGE = "source_col string, target_col string, transform_type string, source_file
 
 @pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_sql_says_the_same(spark, name):
-    assert_same(plans.queries()[name](spark, DATA), DATA, plans.oracle_sql()[name])
+    assert assert_same(plans.queries()[name](spark, DATA), DATA, plans.oracle_sql()[name]) > 0
+
+
+@pytest.mark.parametrize("name", sorted(constructs.queries()))
+def test_constructs_say_the_same(spark, name):
+    assert assert_same(constructs.queries()[name](spark, DATA), DATA, constructs.oracle_sql()[name]) > 0
 
 
 def test_cycles_end_and_unknown_columns_have_nothing(spark):

@@ -42,11 +42,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings are labelled by formats that only secrets have and harmless shapes, others not at all; the forest's verdict decides."""
+    """The forest is trained on made findings with labels; its verdict on every candidate of the documents decides."""
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = storage.save(secret_scan.candidates(docs), storage.scratch(spark, "candidates"))
-    labelled = found.withColumn("label", secret_scan.known_formats(F.col("candidate"), F.col("announced")))
-    out = secret_scan.scan(found, secret_scan.train(labelled))
+    out = secret_scan.scan(secret_scan.candidates(docs), secret_scan.train(secret_scan.labelled_findings(spark)))
     return out.select("doc_id", "start", "stop", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 

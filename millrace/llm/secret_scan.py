@@ -1,10 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 characters or more, of those that keys and tokens are made of, that hold a digit, and every
-value announced as a secret ("password: x"), of any length and characters. The forest sees a candidate's length and make-up, its character transitions (how often neighbouring characters
+Candidates are runs of 16 characters or more, of those that keys and tokens are made of, that hold a digit or a capital
+letter within, and every value announced as a secret ("password: x"), of any length and characters. The forest sees a candidate's length and make-up, its character transitions (how often neighbouring characters
 change class, and how likely its letter pairs are in the text around it), how much of it the document's own
 words cover, whether it looks like a path or address, and the words beside it. It is trained on labelled
-findings: a bounded sample of candidates with a label each. Texts are scanned whole, in tasks; training
+findings: a bounded sample of candidates with a label each. `labelled_findings` makes EXAMPLES of them by rule: secrets of
+many makes, and harmless values that look like them, in lines of prose. Texts are scanned whole, in tasks; training
 sees feature rows alone, never texts.
 
 Defined results: null and empty texts have no candidate; rows without an id keep null as theirs; repeated rows
@@ -15,6 +16,7 @@ empty tables give empty results; other columns are ignored. Offsets count charac
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
@@ -31,7 +33,9 @@ from . import words
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.@:]{16,}")
 #: Labelled findings that the forest is trained on, at most.
 TRAINING_ROWS = 20_000
-TREES, DEPTH, SEED = 20, 6, 11
+TREES, DEPTH, SEED = 20, 8, 11
+#: Findings that `labelled_findings` makes.
+EXAMPLES = 6000
 #: Characters on either side in which neighbouring words are looked for.
 NEAR = 32
 #: Words that announce a secret (fixed values).
@@ -41,6 +45,9 @@ ANNOUNCED = re.compile(r"(?i)(?:bearer[ \t]+|(?:" + "|".join(ANNOUNCING) + r""")
 FEATURES = ["length", "digits", "upper", "lower", "marks", "entropy", "changes", "pairs", "covered", "path", "address", "announced", "assigned", "quoted", "hexadecimal"]
 _SCHEMA = "doc_id long, start long, stop long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
 _WORD = re.compile(r"[a-z]{3,}")
+_TELLING = re.compile(r"\d|.[A-Z]")
+#: Words of the lines around made findings (fixed values).
+PROSE = "the a of and to in with for on from this that service server client when runs after before each deploy config value used here new old file note please see also check log main test data user team build time first last some other house river under light garden paper music friend window story".split()
 
 
 def _kind(c: str) -> int:
@@ -71,7 +78,7 @@ def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Coun
 
 def spans_of(text: str) -> list[tuple[int, int]]:
     """Where the candidates are. Of a run and an announced value that overlap the run counts if it holds the value, else the value."""
-    runs = [m.span() for m in CANDIDATE.finditer(text) if any(x.isdigit() for x in m.group())]
+    runs = [m.span() for m in CANDIDATE.finditer(text) if _TELLING.search(m.group())]
     values = []
     for m in ANNOUNCED.finditer(text):
         a, b = m.span(m.lastindex)
@@ -114,8 +121,81 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(task, _SCHEMA)
 
 
+def _made_secret(r: random.Random) -> str:
+    """A line with a secret between \1 and \2."""
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    any_ = lambda of, n: "".join(r.choices(of, k=n))
+    alnum, word = upper + lower + digits, r.choice(ANNOUNCING)
+    say = lambda x: r.choice([f"{word} = \1{x}\2", f"{word}: \1{x}\2", f'{word}="\1{x}\2"', f"{word}=\1{x}\2", f"{word} is \1{x}\2"])
+    kind = r.randrange(9)
+    if kind == 0:
+        return r.choice(["\1{}\2", f"{word} \1{{}}\2", f"{word}: \1{{}}\2"]).format(r.choice(["AKIA", "ASIA"]) + any_(upper + (digits if r.random() < 0.8 else ""), 16))
+    if kind == 1:
+        return r.choice(["\1{}\2", f"{word}=\1{{}}\2"]).format(f"gh{r.choice('pousr')}_{any_(alnum, r.choice([36, 40]))}")
+    if kind == 2:
+        return r.choice(["\1{}\2", f"{word}=\1{{}}\2"]).format(f"{r.choice(['sk', 'rk', 'pk'])}_{r.choice(['live', 'prod'])}_{any_(alnum, r.randint(16, 32))}")
+    if kind == 3:
+        return r.choice(["\1{}\2", f"{word}: \1{{}}\2"]).format(f"xox{r.choice('bpa')}-{any_(digits, r.randint(10, 13))}-{any_(alnum, 24)}")
+    if kind == 4:
+        return r.choice(["\1{}\2", f"{word}: \1{{}}\2", "bearer \1{}\2"]).format(f"eyJ{any_(alnum, r.randint(15, 40))}.eyJ{any_(alnum + '_-', r.randint(20, 80))}.{any_(alnum + '_-', 43)}")
+    if kind == 5:
+        return say(any_(alnum, r.choice([16, 20, 24, 32, 40, 48, 64])))
+    if kind == 6:
+        return say(any_(digits + "abcdef", r.choice([16, 18, 20, 24, 32, 40, 64])))
+    if kind == 7:
+        return say(any_(alnum + "+/", r.choice([43, 86])) + "=" * r.choice([1, 2]))
+    return say(r.choice(PROSE).capitalize() + any_(digits, r.randint(2, 4)) + any_("!#$%&*?", r.randint(0, 2)) + any_(lower, r.randint(0, 4)))
+
+
+def _made_harmless(r: random.Random) -> str:
+    """A line with a harmless value between \1 and \2."""
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    any_ = lambda of, n: "".join(r.choices(of, k=n))
+    words_ = lambda n, glue: glue.join(r.choices(PROSE, k=n))
+    hexes, kind = digits + "abcdef", r.randrange(12)
+    if kind == 0:
+        return f"\1http{r.choice(['', 's'])}://{words_(2, '.')}.{r.choice(['com', 'org', 'net'])}/{words_(2, '/')}/{any_(lower + digits, r.randint(1, 12))}{r.choice(['', '.html', '?id=' + any_(digits, 6)])}\2"
+    if kind == 1:
+        return f"{r.choice(['mail', 'write to', 'from', 'contact'])} \1{words_(2, '.')}{any_(digits, r.randint(1, 4))}@{words_(2, '-')}.example.com\2"
+    if kind == 2:
+        return f"{r.choice(['number', 'call', 'id', 'card', 'account'])} \1{any_(digits, r.randint(16, 24))}\2"
+    if kind == 3:
+        return f"{r.choice(['at', 'on', 'since'])} \1{r.randint(1990, 2030)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}.{any_(digits, 3)}\2"
+    if kind == 4:
+        return f"{r.choice(['row', 'job', 'request', 'uuid'])} \1{'-'.join(any_(hexes, n) for n in (8, 4, 4, 4, 12))}\2"
+    if kind == 5:
+        return f"{r.choice(['commit', 'sha1', 'md5 of it', 'checksum', 'digest', 'revision', 'etag'])}{r.choice([' ', ': '])}\1{any_(hexes, r.choice([32, 40, 64]))}\2"
+    if kind == 6:
+        return f"{r.choice(['open', 'in', 'see'])} \1/{words_(r.randint(3, 5), '/')}{any_(digits, r.randint(0, 2))}.{r.choice(['py', 'txt', 'log', 'conf', 'Java'])}\2"
+    if kind == 7 and r.random() < 0.5:
+        return f"\1{words_(r.randint(4, 6), '').upper()}\2{r.choice(['', '.'])}"
+    if kind == 7:
+        return f"{r.choice(['call', 'class', 'use'])} \1{''.join(w.capitalize() for w in r.choices(PROSE, k=5))}{any_(digits, r.randint(0, 2))}\2"
+    if kind == 8:
+        return f"install \1{words_(2, '-')}-{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 200)}-{r.choice(['amd64', 'x86', 'py3'])}.{r.choice(['deb', 'whl', 'tar.gz'])}\2"
+    if kind == 9:
+        return f"the {r.choice(ANNOUNCING)} is \1{r.choice(PROSE)}\2 {words_(3, ' ')}"
+    if kind == 10:
+        return f"{r.choice(ANNOUNCING)}: \1{r.choice(['none', 'null', 'string', 'value', 'required', 'optional', 'true', r.choice(PROSE)])}\2"
+    return f"\1{words_(r.randint(3, 5), '-').title()}{any_(digits + upper, r.randint(0, 1))}\2"
+
+
+def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> DataFrame:
+    """candidates of made lines, with the label of each: n of them, half secrets; the same ones whenever it is called."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        line = (_made_secret if i % 2 else _made_harmless)(r)
+        before, after = (" ".join(r.choices(PROSE, k=r.randint(3, 30))) for _ in range(2))
+        value = line[line.index("\1") + 1 : line.index("\2")]
+        rows.append((i, f"{before}{r.choice([' ', chr(10), '. '])}{line.replace(chr(1), '').replace(chr(2), '')}{r.choice([' ', chr(10)])}{after}", value))
+    made = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    found = candidates(made).join(made.select("doc_id", "value"), "doc_id")
+    meant = F.contains(F.col("candidate"), F.col("value")) | F.contains(F.col("value"), F.col("candidate"))
+    return found.where(meant).drop("value").withColumn("label", (F.col("doc_id") % 2).cast("double"))
+
+
 def known_formats(candidate: Column, announced: Column) -> Column:
-    """A label for findings where nobody labelled any: 1 for formats that only secrets have, 0 for shapes known to be harmless, else null."""
+    """A label by format alone, to hold verdicts against: 1 for formats that only secrets have, 0 for shapes known to be harmless, else null."""
     issued = candidate.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})$")
     given = candidate.rlike(r"^([0-9a-f]{40}|[0-9a-f]{32}|password=[0-9a-f]{16,})$") & (announced > 0)
     shape = candidate.rlike(r"^([A-Za-z]+://[^@]*|www\.[^@]*|[^@:/=]+@[^@:/=]+\.[A-Za-z]{2,}\.?|[0-9+][0-9.:/\-]*)$")

@@ -7,16 +7,18 @@ every document's set into segments.
 2. Candidates. Two sets that are similar enough differ in at most D n-grams, D following from their
    sizes. With k > D fragments at least k - D segments are therefore equal in both, so an equi-join on
    segment hashes finds every such pair, whatever n-grams are frequent. Sizes fall into bands; a set
-   is cut for its own band, and for the band below if a set in that band can be similar to it. k is large
+   is cut for its own band, and for each band below in which a set can be similar to it. k is large
    enough for a set of the band's smallest size to fill more than D segments as a rule, so that empty
    segments (equal in any two sets) need not be joined; a set that fills fewer is also cut by further
    orders, until one suits it, and if none of ORDERS does, its empty segments under the first are joined.
-3. In each run of equal segments, sets are compared with the run's first and with their neighbour. A
-   parity sketch, whose Hamming distance never exceeds the number of differing n-grams, drops most
-   candidates; for the others partial overlaps are counted fragment by fragment and summed per pair.
+3. In each run of equal segments, sets are compared with the run's first and with their neighbour, in an
+   order of each run's own, so that a set meets others in each of its runs. A parity sketch, whose Hamming
+   distance never exceeds the number of differing n-grams, drops most candidates; for the others partial
+   overlaps are counted fragment by fragment and summed per pair.
 4. Components of these links are contracted. Runs that hold several components are joined once more,
-   for pairs of different components alone, and verified likewise, so that no link is lost that could
-   join two components, and no group's pairs are all enumerated.
+   for pairs of different components alone whose sketches are near, and verified likewise, so that no link is lost
+   that could join two components, and no group's pairs are all enumerated. What is compared here (not put out) grows with the square of the members of
+   one run that nothing has linked yet.
 
 Defined results: null texts and texts without words have no n-gram and link with nothing, nor do rows
 without an id; rows that repeat an id are separate documents; a text shorter than n words is one n-gram;
@@ -158,10 +160,12 @@ def segment_keys(grams: np.ndarray, to: np.ndarray, bands: Bands) -> tuple[np.nd
     sizes = np.diff(to)
     own = bands.of(sizes)
     found = []
-    for below in (0, 1):
+    for below in range(int(own.max(initial=0)) + 1):
         band = own - below
         here = (sizes > 0) & (band >= 0)
         here[here] &= (below == 0) | (sizes[here] <= bands.reach[band[here]])
+        if below and not here.any():
+            break
         order = 0
         while here.any():
             index = np.flatnonzero(here)
@@ -300,7 +304,7 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     known = storage.save(known, f"{folder}/known")
 
     with_id = docs.where(F.col(doc_id).isNotNull())
-    keys = _keys(with_id, n, text, bands).repartition("key").sortWithinPartitions("key", "set_id")
+    keys = _keys(with_id, n, text, bands).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "set_id"), "set_id")
     met = storage.save(keys.mapInArrow(_meetings, "a long, b long, key long"), f"{folder}/met")
 
     pairs = met.where("key is null").select("a", "b").distinct()
@@ -312,15 +316,16 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     runs = met.where("key is not null").select("key", F.col("a").alias("set_id"))
     labelled = runs.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("group", F.coalesce("component", "set_id"))
     mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    labelled = labelled.join(mixed, "key", "left_semi").select("key", "set_id", "group").join(known.drop("doc"), "set_id")
-    labelled = storage.save(labelled, f"{folder}/mixed")
-    one = labelled.select("key", *[F.col(c).alias(f"a_{c}") for c in ("set_id", "group", "size", *_SKETCHES)])
-    two = labelled.select("key", *[F.col(c).alias(f"b_{c}") for c in ("set_id", "group", "size", *_SKETCHES)])
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_group") != F.col("b_group")) & _near(num, den, "a_", "b_"))
-    across = across.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), "a_size", "b_size").distinct()
-    across = storage.save(across.join(pairs, ["a", "b"], "left_anti"), f"{folder}/across")
-    more = storage.save(_verified(across, with_id, known, n, num, den, doc_id, text, f"{folder}/verify2"), f"{folder}/links2")
-    joined = storage.save(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), f"{folder}/joined2")
+    held = labelled.join(mixed, "key", "left_semi").select("key", "set_id", "group").join(known.drop("doc"), "set_id")
+    held = storage.save(held, f"{folder}/mixed")
+    if not held.isEmpty():
+        one, two = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "ab")
+        apart = (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_group") != F.col("b_group")) & _near(num, den, "a_", "b_")
+        across = one.join(two, (F.col("a_key") == F.col("b_key")) & apart)
+        across = across.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), "a_size", "b_size").distinct()
+        across = storage.save(across.join(pairs, ["a", "b"], "left_anti"), f"{folder}/across")
+        more = storage.save(_verified(across, with_id, known, n, num, den, doc_id, text, f"{folder}/verify2"), f"{folder}/links2")
+        joined = storage.save(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), f"{folder}/joined2")
 
     grouped = rows.select("doc", "set_id", "size").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
     # Rows without an id or n-gram stay on their own; their key is any that differs from others'.

@@ -64,7 +64,7 @@ def reached(edges: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """node, depth, parent: `column` (depth 0) and all it reaches, going from edges' `start` to their `end`; of several parents the smallest."""
     spark = edges.sparkSession
     with Work(spark) as work:
-        steps = work.cut(edges.select(F.col(start).alias("parent"), F.col(end).alias("next")).distinct())
+        steps = work.cut(edges.select(F.col(start).alias("parent"), F.col(end).alias("next")))
         rounds = [work.cut(spark.createDataFrame([(column, 0, None)], "node string, depth int, parent string"))]
         depth = 0
         while True:

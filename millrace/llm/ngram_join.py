@@ -14,7 +14,8 @@ every document's set into segments.
 3. In each run of equal segments, sets are compared with the run's first and with their neighbour, in an
    order of each run's own, so that a set meets others in each of its runs. A parity sketch, whose Hamming
    distance never exceeds the number of differing n-grams, drops most candidates; for the others partial
-   overlaps are counted fragment by fragment and summed per pair.
+   overlaps are counted fragment by fragment and summed per pair: first for each set's nearest by sketch, and
+   then for those that the links of the first leave in different components.
 4. Components of these links are contracted. Runs that hold several components are joined once more,
    for pairs of different components alone whose sketches are near, and verified likewise, so that no link is lost
    that could join two components, and no group's pairs are all enumerated. What is compared here (not put out) grows with the square of the members of
@@ -114,16 +115,16 @@ def _parity(grams: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
 
 
 def classes(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc, set_id, size, p0, p1, ... of every row; rows with equal sets share a set_id."""
+    """doc, row (a hash of the text), set_id, size, p0, p1, ... of every row; rows with equal sets share a set_id."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, stop, grams, to in _sets(batch.column(1), n):
-                ids = batch.column(0).slice(row, stop - row)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to))], ["doc", "set_id", "size", *_SKETCHES])
+            for row, stop, grams, to in _sets(batch.column(2), n):
+                ids, texts = (batch.column(i).slice(row, stop - row) for i in range(2))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to))], ["doc", "row", "set_id", "size", *_SKETCHES])
 
-    schema = "doc long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES)
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(task, schema)
+    schema = "doc long, row long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES)
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(task, schema)
 
 
 def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,12 +241,26 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last, n = keys[-1], heads[-1], sets[-1], int(ordinal[-1]) + 1
 
 
-def _near(num: int, den: int, a: str, b: str):
-    """Whether sizes and sketches allow sets a and b (prefixes of columns) to be similar."""
-    size = F.col(f"{a}size") + F.col(f"{b}size")
-    apart = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in _SKETCHES), F.lit(0))
-    fits = (F.greatest(f"{a}size", f"{b}size") * num <= F.least(f"{a}size", f"{b}size") * den)
-    return fits & (apart <= F.floor(size * (den - num) / F.lit(num + den)))
+def _apart():
+    """Hamming distance of the sketches of sets a and b."""
+    return sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _SKETCHES), F.lit(0))
+
+
+def _near(num: int, den: int):
+    """Whether sizes and sketches allow sets a and b to be similar."""
+    fits = F.greatest("a_size", "b_size") * num <= F.least("a_size", "b_size") * den
+    return fits & (_apart() <= F.floor((F.col("a_size") + F.col("b_size")) * (den - num) / F.lit(num + den)))
+
+
+def _between(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs of sets in different components."""
+    for side in "ab":
+        pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"__{side}")), side, "left")
+    return pairs.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).drop("__a", "__b")
+
+
+def _joined(joined: DataFrame, links: DataFrame) -> DataFrame:
+    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
 
 
 def _side(known: DataFrame, name: str) -> DataFrame:
@@ -295,6 +310,11 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
 
     similarity: numerator and denominator of the least Jaccard similarity of two linked documents' n-gram sets.
     """
+    return _groups(docs, n, similarity, doc_id, text).select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("least.doc", "doc").alias("component_id"))
+
+
+def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, text: str) -> DataFrame:
+    """doc, row, size of every row, and least: the smallest (doc, row) of its group, null for a row that is alone for want of an id or n-gram."""
     num, den = similarity
     spark, bands = docs.sparkSession, Bands(num, den)
     folder = storage.scratch(spark, "ngrams")
@@ -307,11 +327,18 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     keys = _keys(with_id, n, text, bands).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "set_id"), "set_id")
     met = storage.save(keys.mapInArrow(_meetings, "a long, b long, key long"), f"{folder}/met")
 
-    pairs = met.where("key is null").select("a", "b").distinct()
-    pairs = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near(num, den, "a_", "b_"))
-    pairs = storage.save(pairs.select("a", "b", "a_size", "b_size"), f"{folder}/pairs")
-    links = storage.save(_verified(pairs, with_id, known, n, num, den, doc_id, text, f"{folder}/verify1"), f"{folder}/links1")
-    joined = storage.save(components(links), f"{folder}/joined1")
+    pairs = met.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near(num, den))
+    pairs = storage.save(pairs.select("a", "b", "a_size", "b_size", _apart().alias("apart")), f"{folder}/pairs")
+    check = lambda some, name: storage.save(_verified(some, with_id, known, n, num, den, doc_id, text, f"{folder}/{name}"), f"{folder}/{name}-links")
+    ways = pairs.select("a", "b", "apart").unionAll(pairs.select(F.col("b"), F.col("a"), "apart"))
+    nearest = ways.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"))
+    pairs = pairs.drop("apart")
+    first = storage.save(pairs.join(nearest.distinct(), ["a", "b"]), f"{folder}/first")
+    joined = storage.save(components(check(first, "verify1")), f"{folder}/joined1")
+    second = storage.save(_between(pairs, joined).join(first, ["a", "b"], "left_anti"), f"{folder}/second")
+    if not second.isEmpty():
+        joined = storage.save(_joined(joined, check(second, "verify2")), f"{folder}/joined2")
 
     runs = met.where("key is not null").select("key", F.col("a").alias("set_id"))
     labelled = runs.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("group", F.coalesce("component", "set_id"))
@@ -320,29 +347,27 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
     held = storage.save(held, f"{folder}/mixed")
     if not held.isEmpty():
         one, two = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "ab")
-        apart = (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_group") != F.col("b_group")) & _near(num, den, "a_", "b_")
+        apart = (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_group") != F.col("b_group")) & _near(num, den)
         across = one.join(two, (F.col("a_key") == F.col("b_key")) & apart)
         across = across.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), "a_size", "b_size").distinct()
         across = storage.save(across.join(pairs, ["a", "b"], "left_anti"), f"{folder}/across")
-        more = storage.save(_verified(across, with_id, known, n, num, den, doc_id, text, f"{folder}/verify2"), f"{folder}/links2")
-        joined = storage.save(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), f"{folder}/joined2")
+        if not across.isEmpty():
+            joined = storage.save(_joined(joined, check(across, "verify3")), f"{folder}/joined3")
 
-    grouped = rows.select("doc", "set_id", "size").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+    grouped = rows.select("doc", "row", "set_id", "size").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
     # Rows without an id or n-gram stay on their own; their key is any that differs from others'.
     alone = F.col("doc").isNull() | (F.col("size") == 0)
-    grouped = grouped.select("doc", "size", F.when(~alone, F.coalesce("component", "set_id")).alias("group"))
-    least = grouped.where("group is not null").groupBy("group").agg(F.min("doc").alias("least"))
-    out = grouped.join(least, "group", "left")
-    out = out.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
-    out = storage.save(out, f"{folder}-out")
+    grouped = grouped.select("doc", "row", "size", F.when(~alone, F.coalesce("component", "set_id")).alias("group"))
+    least = grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc", "row")).alias("least"))
+    out = storage.save(grouped.join(least, "group", "left").select("doc", "row", "size", "least"), f"{folder}-out")
     storage.remove(spark, folder)
     return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group, that with the smallest id; rows that share an id stay or go together."""
-    groups = similar_groups(docs, n, similarity, doc_id, text)
-    lost = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct()
+    """docs with one document of each group, that with the smallest id (and text's hash); only rows that repeat both id and text stay or go together."""
+    groups = _groups(docs, n, similarity, doc_id, text)
+    lost = groups.where(F.struct("doc", "row") != F.col("least")).select(F.col("doc").alias("__lost"), F.col("row").alias("__lost_row")).distinct()
     # Written first, so that Spark knows whether it is small enough to broadcast and texts can stay where they are.
     lost = storage.save(lost, storage.scratch(docs.sparkSession, "lost"))
-    return docs.join(lost, docs[doc_id] == F.col("__lost"), "left_anti")
+    return docs.join(lost, (F.col(doc_id).cast("long") == F.col("__lost")) & (F.xxhash64(text) == F.col("__lost_row")), "left_anti")

@@ -240,9 +240,10 @@ def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) ->
     return near.select("doc_id", "start_word", "n_words", "item", "grams").mapInArrow(verify, _FOUND)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that leak an item; rows without an id stay."""
-    leaks = find(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leak")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without the documents that leak an item; rows without an id stay, and so do other texts under a leaking one's id."""
+    key = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id, text))
+    leaks = find(docs.select(key.alias("__key"), text), benchmark, doc_id="__key", text=text, **options).select(F.col("doc_id").alias("__leak")).distinct()
     # Written first, so that Spark knows whether it is small enough to broadcast and texts can stay where they are.
     leaks = storage.save(leaks, storage.scratch(docs.sparkSession, "leaks"))
-    return docs.join(leaks, docs[doc_id] == F.col("__leak"), "left_anti")
+    return docs.join(leaks, key == F.col("__leak"), "left_anti")

@@ -110,7 +110,7 @@ def test_recall_at_larger_scale(spark):
 # Decontamination
 
 
-def _best_windows(docs, items, size=5, least=0.8):
+def best_windows(docs, items, size=5, least=0.8):
     """Every window of every item's length, compared word for word."""
     split = lambda t: [w for w in "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in t or "").split(" ") if w]
     held = {}
@@ -128,6 +128,8 @@ def _best_windows(docs, items, size=5, least=0.8):
             w = split(t)
             grams = [tuple(w[k : k + part]) for k in range(len(w) - part + 1)]
             for i, own in group.items():
+                if bags[i].keys().isdisjoint(grams):
+                    continue
                 n = len(own) - part + 1
                 for at in range(len(grams) - n + 1):
                     b = Counter(grams[at : at + n])
@@ -153,7 +155,7 @@ def test_windows_against_every_window(spark):
             piece[int(rng.integers(len(piece)))] = f"x{rng.integers(99)}"
         docs.append((d, " ".join([*own, *piece, *word(int(rng.integers(0, 20)))]) if d % 9 else " ".join([*piece, *piece])))
     docs += [(60, None), (61, ""), (62, "w1")]
-    want = _best_windows(docs, items)
+    want = best_windows(docs, items)
     found = decontaminate.find(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in found} == {k: s for k, (s, _) in want.items()}
     assert {(r["doc_id"], r["item_id"]): r["start_word"] for r in found} == {k: at for k, (_, at) in want.items()}
@@ -269,6 +271,15 @@ def test_many_near_copies_of_one_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {d: top(d) for d in range(300)}
 
 
+def test_other_texts_under_an_id_stay(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text is here"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame([(*r, "x") for r in rows], f"{TEXT}, doc string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[0], rows[2], rows[4], rows[5]])
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    kept = decontaminate.clean(spark.createDataFrame(rows, TEXT), items).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[2], rows[4], rows[5]])
+
+
 # Packing, lines, urls, hashing
 
 

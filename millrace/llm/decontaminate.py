@@ -183,6 +183,7 @@ def _lengths(texts: pa.Array) -> np.ndarray:
 
 
 def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) -> DataFrame:
+    storage.small_batches(spark)
     shared = spark.sparkContext.broadcast(items)  # ITEMS_AT_ONCE items at most
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) ->
                     out["n_words"] += [w for _, w in found]
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("fingerprint", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
-    windows = rows.mapInArrow(fingerprint, "doc_id long, start_word long, n_words int, fingerprint long, grams array<long>")
+    windows = rows.mapInArrow(storage.tidy(fingerprint), "doc_id long, start_word long, n_words int, fingerprint long, grams array<long>")
     shift, cut = 0, []
     for block, width in enumerate(_WIDTHS):
         value = F.shiftrightunsigned("fingerprint", shift).bitwiseAND(F.lit((1 << width) - 1))

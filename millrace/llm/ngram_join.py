@@ -124,7 +124,7 @@ def classes(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, texts, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to))], ["doc", "row", "set_id", "size", *_SKETCHES])
 
     schema = "doc long, row long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES)
-    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(task, schema)
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(storage.tidy(task), schema)
 
 
 def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +204,7 @@ def _keys(docs: DataFrame, n: int, text: str, bands: Bands) -> DataFrame:
                 index, keys = segment_keys(grams, to, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[index])], ["key", "set_id"])
 
-    return docs.select(text).mapInArrow(task, "key long, set_id long")
+    return docs.select(text).mapInArrow(storage.tidy(task), "key long, set_id long")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +290,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num:
                 held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(part.astype(np.int32)), held], ["set_id", "part", "grams"])
 
-    segments = docs.select("__text", "__set").mapInArrow(task, "set_id long, part int, grams array<long>")
+    segments = docs.select("__text", "__set").mapInArrow(storage.tidy(task), "set_id long, part int, grams array<long>")
     segments = storage.save(segments.withColumn("at", F.xxhash64("set_id", "part")), f"{work}-segments").hint("merge")
     asked = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     asked = asked.withColumns({"at_a": F.xxhash64("a", "part"), "at_b": F.xxhash64("b", "part")})
@@ -317,6 +317,7 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, t
     """doc, row, size of every row, and least: the smallest (doc, row) of its group, null for a row that is alone for want of an id or n-gram."""
     num, den = similarity
     spark, bands = docs.sparkSession, Bands(num, den)
+    storage.small_batches(spark)
     folder = storage.scratch(spark, "ngrams")
     rows = storage.save(classes(docs, n, doc_id, text), f"{folder}/classes")
     present = rows.where("doc is not null and size > 0")

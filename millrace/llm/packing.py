@@ -296,8 +296,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         finally:
             enc.forget()
 
+    storage.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    return rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids binary, task int, number long")
+    return rows.mapInArrow(storage.tidy(task), "doc_id long, piece int, start long, length long, ids binary, task int, number long")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import words
+from . import storage, words
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.@:]{16,}")
 #: Labelled findings that the forest is trained on, at most.
@@ -100,6 +100,7 @@ def spans_of(text: str) -> list[tuple[int, int]]:
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, stop, candidate and FEATURES of every candidate."""
+    storage.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +119,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(FEATURES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "start", "stop", "candidate", *FEATURES])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(task, _SCHEMA)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(storage.tidy(task), _SCHEMA)
 
 
 def _made_secret(r: random.Random) -> str:

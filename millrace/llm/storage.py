@@ -1,14 +1,48 @@
-"""Tables and files that a job keeps in the folder all executors share."""
+"""Tables and files that a job keeps in the folder all executors share, and the memory that its tasks keep."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch that goes to a Python task, where the session doesn't say: texts of some KB make batches of some MB.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches have BATCH_ROWS rows, unless the session sets a number of its own."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
+def settle() -> None:
+    """Give freed memory back to the system; workers live on after a task, and the driver's Python after a fit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """task, which gives back memory at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            settle()
+
+    return run
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -137,6 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
     """Write shards and index below folder (a URI all executors can write)."""
     spark = docs.sparkSession
     storage.make_dir(spark, folder)
+    storage.small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).alias("__text"))
     rows = rows.repartitionByRange("__doc").sortWithinPartitions(F.asc_nulls_first("__doc"), F.asc_nulls_first("__text"))
 
@@ -174,7 +175,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id:
         if out is not None:
             out.close()
 
-    places = storage.save(rows.mapInArrow(shard_task, _PLACE), f"{folder}/places")
+    places = storage.save(rows.mapInArrow(storage.tidy(shard_task), _PLACE), f"{folder}/places")
     shards = places.groupBy("shard", "path", "width").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
     # A row for each shard, so one task can order them.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

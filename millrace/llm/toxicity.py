@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import storage, words
 
 HEADS = (4, 6)
 ROWS_PER_GRADE = 3000
@@ -134,12 +134,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: st
                 ids, label = (batch.column(i).slice(row, stop - row) for i in range(2))
                 yield pa.RecordBatch.from_arrays([ids, label, pa.array(held, pa.binary())], ["doc", "label", "features"])
 
-    found = rows.select(F.xxhash64("__doc"), "__label", "__text").mapInArrow(task, "doc long, label int, features binary").toArrow()
+    found = rows.select(F.xxhash64("__doc"), "__label", "__text").mapInArrow(storage.tidy(task), "doc long, label int, features binary").toArrow()
     order = np.lexsort((found["doc"].to_numpy(),)) if found.num_rows else np.zeros(0, int)
     held = [np.frombuffer(x, np.uint64) for x in found["features"].to_pylist()]
     held, label = [held[i] for i in order], found["label"].to_numpy()[order].astype(int)
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in held]).astype(int)
-    return owner, np.concatenate([*held, np.zeros(0, np.uint64)]), label
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+    features = np.concatenate([*held, np.zeros(0, np.uint64)])
+    del found, held
+    # Features of too few texts can have no weight; most are.
+    kept = np.sort(features)
+    first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, int)
+    kept = kept[first[np.diff(np.append(first, len(kept))) >= LEAST_TEXTS]]
+    at = np.minimum(np.searchsorted(kept, features), max(len(kept) - 1, 0))
+    common = kept[at] == features if len(kept) else np.zeros(len(features), bool)
+    return owner[common].astype(int), features[common], label
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows_per_grade: int = ROWS_PER_GRADE) -> Model:
@@ -147,12 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     rows, features, label = sample(docs, labels, label, doc_id, text, rows_per_grade)
     if {*label.tolist()} == {0, 1}:
         label = graded(rows, features, label)
-    return fit(rows, features, label)
+    model = fit(rows, features, label)
+    del rows, features
+    storage.settle()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with severity (the expected grade), grade (the likeliest) and rejected (a grade above the lowest is likelier than not)."""
     new = ["severity", "grade", "rejected"]
+    storage.small_batches(docs.sparkSession)
     docs = docs.drop(*new)
     index = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the training sample at most
@@ -181,4 +193,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(task, f"{fields}, severity double, grade int, rejected boolean")
+    return docs.mapInArrow(storage.tidy(task), f"{fields}, severity double, grade int, rejected boolean")

@@ -101,6 +101,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Write one record per row below folder (a URI all executors can write); the manifest: path, records, bytes."""
     spark = pages.sparkSession
     storage.make_dir(spark, folder)
+    storage.small_batches(spark)
     repeated = plan_revisits(pages, page_id, payload, min_revisit, f"{folder}/repeated")
     rows = pages.select(F.col(page_id).cast("long").alias("__id"), F.col(url).alias("__url"), F.coalesce(payload, F.lit("")).alias("__payload"))
     rows = rows.withColumn("__digest", F.sha1("__payload"))
@@ -124,7 +125,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "records": [n], "bytes": [size]})
 
-    return storage.save(rows.mapInArrow(task, MANIFEST), f"{folder}/manifest")
+    return storage.save(rows.mapInArrow(storage.tidy(task), MANIFEST), f"{folder}/manifest")
 
 
 class _Blocks:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_join, packing, secret_scan, storage, token_store, toxicity, url_filter, warc
+from . import ann, centroids, decontaminate, language_id, line_dedup, ngram_join, packing, periodic, secret_scan, storage, token_store, toxicity, url_filter, warc
 from . import pipeline as corpus
 
 #: The rules that the op10 query judges by.
@@ -78,6 +78,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from three quarters of the documents' ids; the rest is held out."""
+    import public_tokenizers
+
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_id.train(docs.where(F.coalesce(rest != 2, F.lit(True))), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(storage.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.find(docs))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.whole_vectors(storage.read_table(spark, sf_dir, "embeddings"), dims=64, scale=256)
+    first = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    return centroids.cluster(vectors, vectors.orderBy(F.asc_nulls_last(first), "vector").limit(40), rounds=5, dims=64)
+
+
 OP1_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') as w from documents
@@ -130,14 +152,38 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left jo
 """
 
 
+def _op13_sql(rounds: int = 5, k: int = 40, dims: int = 64) -> str:
+    """One pair of table expressions for each round; the last assigns once more."""
+    out = f"""with kept as (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x : cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x : x is not null and isfinite(x))) = {dims}
+), x as materialized (select i, unnest(v) as x, generate_subscripts(v, 1) as j from kept),
+s as (select v, row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as k from kept qualify k < {k}),
+c0 as materialized (select k, unnest(v) as c, generate_subscripts(v, 1) as j from s)"""
+    for r in range(rounds + 1):
+        out += f""",
+d{r} as materialized (
+  select i, k, d from (select i, k, cast(sum((x - c) * (x - c)) as bigint) as d from x join c{r} using (j) group by i, k)
+  qualify row_number() over (partition by i order by d, k) = 1)"""
+        if r < rounds:
+            out += f""",
+m{r} as materialized (select k, j, cast(sum(x) as bigint) as t, count(*) as n from x join d{r} using (i) group by k, j),
+c{r + 1} as materialized (
+  select k, j, case when n is null then c else (t - ((t % n) + n) % n) // n end as c from c{r} left join m{r} using (k, j))"""
+    return out + f""",
+h as (select k, sha256(string_agg(cast(c as varchar), ',' order by j)) as centroid_sha256 from c{rounds} group by k)
+select vec_id, cast(k as integer) as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from d{rounds} join kept using (i) join h using (k)"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op6_secret_scan, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter, pipeline)
+    every = (op1_ngram_join, op2_nearest, op3_decontaminate, op4_warc, op5_toxicity, op6_secret_scan, op7_token_store, op8_packing, op9_line_dedup, op10_url_filter, op11_language_id, op12_periodic_runs, op13_centroids, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op4_warc": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_centroids": _op13_sql()}

@@ -228,14 +228,19 @@ def list_columns(edges: DataFrame, table: str) -> DataFrame:
 
 
 def short_names(edges: DataFrame) -> DataFrame:
-    """short, candidates, full: table names that are the end of others, how many, and the first of those; ids without a dot name no table."""
+    """short, candidates, full: table names that are the end of others, how many, and the first of those; ids without a dot name no table.
+
+    Only the longest forms are candidates: what is itself the end of a longer name stands for that one.
+    """
     ends = edges.select(table_of(F.col("source_col")).alias("name")).where(F.contains("source_col", F.lit("."))).distinct()
     ends = ends.unionAll(edges.select(table_of(F.col("target_col")).alias("name")).where(F.contains("target_col", F.lit("."))).distinct())
     names = cut(ends.distinct())
     longer = names.withColumn("dots", F.length("name") - F.length(F.replace("name", F.lit("."), F.lit("")))).where("dots > 0")
     longer = longer.select(F.col("name").alias("long"), F.explode(F.expr("transform(sequence(1, dots), i -> substring_index(name, '.', -i))")).alias("name"))
-    met = names.join(longer, "name").groupBy(F.col("name").alias("short"))
-    return met.agg(F.count("*").alias("candidates"), F.min("long").alias("full"))
+    met = cut(names.join(longer, "name").select(F.col("name").alias("short"), "long"))
+    # What ends with a candidate of a short name is a candidate of it, too, so only names that end no other can count.
+    whole = met.join(met.select(F.col("short").alias("long")).distinct(), "long", "left_anti")
+    return whole.groupBy("short").agg(F.count("*").alias("candidates"), F.min("long").alias("full"))
 
 
 def resolve_short_names(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Path enumeration, view inlining and the steps by which a column is written, as rounds of equi-joins over edges.
+"""Path enumeration and the steps by which a column is written, as rounds of equi-joins over edges.
 
 A wildcard column `t.*` stands for every column of t: an edge into it is followed from any `t.c`, and an edge
 `p.* -> t.*` then comes from `p.c`.
@@ -6,15 +6,21 @@ A wildcard column `t.*` stands for every column of t: an edge into it is followe
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import FILTERS, JOIN_KEY, column_of, file_kind, is_synthetic, numbered, priority, table_of
+from millrace.operators.lineage import FILTERS, JOIN_KEY, column_of, file_kind, is_synthetic, numbered, table_of
 from millrace.sources.shared import Work, cut, union
 
 #: Paths that are enumerated, steps of a trace, and views that a trace looks through, at most: limits that belong to the questions.
 MAX_PATHS, MAX_STEPS, VIEW_DEPTH = 500, 50, 16
 
+#: What a step of a path says about its edge.
+_STEP = {"transform_type": "string", "expression": "string", "source_file": "string", "source_line": "int", "confidence": "string"}
+
 
 def _wildcard(column_id: Column) -> Column:
     return F.concat(table_of(column_id), F.lit(".*"))
@@ -32,33 +38,42 @@ def _named(source: Column, key: Column, column_id: Column) -> Column:
 
 
 def trace_paths(edges: DataFrame, column: str, max_paths: int = MAX_PATHS) -> DataFrame:
-    """path (columns joined by ` > `, the oldest first), hops, transforms (joined by `,`, in order), truncated.
+    """path (columns joined by ` > `, the oldest first), hops, transforms (joined by `,`, in order), steps, truncated.
 
     Simple paths into column that begin where no further column precedes. No more than max_paths, the first in the order of their
     columns read backwards; truncated says (on every row) that so many were found. Every path at hand leads to one result at
-    least, so no round keeps more.
+    least, so no round keeps more. steps has each edge's ends, transform, expression, file, line and confidence; of several edges
+    between two columns (one of them by a wildcard) the first by transform counts.
     """
     spark = edges.sparkSession
     with Work(spark) as work:
-        into = work.cut(edges.select(F.col("target_col").alias("key"), F.col("source_col").alias("source"), "transform_type"))
-        at_hand = spark.createDataFrame([([column], [])], "back array<string>, transforms array<string>")  # from column backwards
+        edge = F.struct(*[F.col(c).cast(t).alias(c) if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in _STEP.items()])
+        into = work.cut(edges.select(F.col("target_col").alias("key"), F.col("source_col").alias("source"), edge.alias("edge")))
+        step = ", ".join(f"{c}: {t}" for c, t in {"source_col": "string", "target_col": "string", **_STEP}.items())
+        at_hand = spark.createDataFrame([([column], [])], f"back array<string>, steps array<struct<{step}>>")  # from column backwards
         done: list[DataFrame] = []
         while not at_hand.isEmpty():
             head = F.element_at("back", -1)
             asked = at_hand.withColumn("key", F.explode(_keys(head)))
             longer = asked.join(into, "key").withColumn("source", _named(F.col("source"), F.col("key"), head))
             longer = longer.where(~F.array_contains("back", F.col("source")))
-            longer = work.cut(longer.groupBy("back", "transforms", "source").agg(F.min("transform_type").alias("t")))
+            longer = work.cut(longer.groupBy("back", "steps", "source").agg(F.min("edge").alias("edge")))
             done.append(work.cut(at_hand.join(longer.select("back").distinct(), "back", "left_anti").where(F.size("back") > 1)))
-            longer = longer.select(F.concat("back", F.array("source")).alias("back"), F.concat(F.array("t"), "transforms").alias("transforms"))
+            one = F.struct(F.col("source").alias("source_col"), head.alias("target_col"), *[F.col(f"edge.{c}") for c in _STEP])
+            longer = longer.select(F.concat("back", F.array("source")).alias("back"), F.concat(F.array(one), "steps").alias("steps"))
             at_hand = work.cut(longer.orderBy("back").limit(max_paths))
         found = union(done)
         n = found.count()
         return cut(found.orderBy("back").limit(max_paths).select(
-            F.array_join(F.reverse("back"), " > ").alias("path"), (F.size("back") - 1).alias("hops"), F.array_join("transforms", ",", "").alias("transforms"), F.lit(n >= max_paths).alias("truncated"),
+            F.array_join(F.reverse("back"), " > ").alias("path"), (F.size("back") - 1).alias("hops"), F.array_join(F.transform("steps", lambda s: s["transform_type"]), ",", "").alias("transforms"), "steps", F.lit(n >= max_paths).alias("truncated"),
         ))
 
 
+def path_steps(paths: DataFrame) -> DataFrame:
+    """A row for each step of each path, numbered from the oldest: path, step, source_col, target_col and the edge's attributes."""
+    return paths.select("path", F.posexplode("steps").alias("step", "s")).select("path", (F.col("step") + 1).alias("step"), "s.*")
+
+
 def path_summary(paths: DataFrame) -> DataFrame:
     """path, origin (the first table, without its schema), via, dominant transform (the last that isn't passthrough, else the last) and hops."""
     ids, kinds = F.split("path", " > "), F.split("transforms", ",")
@@ -81,60 +96,30 @@ def path_groups(summaries: DataFrame, text: str = "") -> DataFrame:
     return each.select("path", "origin", label.alias("label"), "group_size")
 
 
-def inline_views(edges: DataFrame, views: list[str]) -> DataFrame:
-    """Edges without the views' columns: what makes a view's column makes what is made of it.
-
-    A composed edge keeps the consumer's file and line. Its transform and expression are the most telling along the chain,
-    the consumer's own unless another is strictly better; of equal ones in the chain the deepest counts. It is approximate if any
-    edge of the chain is. Rounds end with the longest chain of views, or with their number where views feed themselves.
-    """
-    lowered = [v.lower() for v in views]
-    touches = lambda c: F.lower(table_of(F.col(c))).isin(lowered)
-    none = F.lit(None).cast("struct<rank:int,transform:string,expression:string>")
-    best = F.struct(priority(F.col("transform_type")).alias("rank"), F.col("transform_type").alias("transform"), F.col("expression").alias("expression"))
-    with Work(edges.sparkSession) as work:
-        into = edges.where(touches("target_col")).select(F.lower("target_col").alias("key"), F.col("source_col").alias("__source"), best.alias("__best"), F.col("confidence").alias("__confidence"))
-        into = work.cut(into)
-        open_ = work.cut(edges.where(touches("source_col") & ~touches("target_col")).withColumn("chain", none))
-        done = [edges.where(~touches("source_col") & ~touches("target_col")).withColumn("chain", none)]
-        for _ in range(len(views) + 1):
-            if open_.isEmpty():
-                break
-            met = open_.withColumn("key", F.explode(_keys(F.lower("source_col")))).join(into, "key")
-            deeper = F.when(F.col("chain").isNull() | (F.col("__best.rank") >= F.col("chain.rank")), F.col("__best")).otherwise(F.col("chain"))
-            unsure = F.when(F.col("__confidence") == "approximate", F.col("__confidence")).otherwise(F.col("confidence"))
-            met = met.withColumns({"source_col": _named(F.col("__source"), F.col("key"), F.col("source_col")), "chain": deeper, "confidence": unsure})
-            met = work.cut(met.select(*edges.columns, "chain").distinct())
-            done.append(met.where(~touches("source_col")))
-            open_ = work.cut(met.where(touches("source_col")))
-        better = F.col("chain.rank") > priority(F.col("transform_type"))
-        # Both at once: each looks at the transform that was.
-        out = union(done).withColumns({"transform_type": F.when(better, F.col("chain.transform")).otherwise(F.col("transform_type")), "expression": F.when(better, F.col("chain.expression")).otherwise(F.col("expression"))})
-        return cut(out.select(edges.columns))
-
-
 def _grouped(raw: DataFrame, sinks: list[str]) -> DataFrame:
-    """owner (a table), kind, predicate: the predicates or join keys of tables, their columns in the order in which they came."""
+    """owner (a table), stmt_id, kind, predicate: the predicates or join keys of tables, their columns in the order in which they came."""
     name = column_of(F.col("target_col"))
     kind = F.when(name == JOIN_KEY, "join")
     for sink, word in FILTERS.items():
         kind = F.when(name == sink, word).otherwise(kind)
-    own = raw.where(name.isin(sinks)).select(table_of(F.col("target_col")).alias("owner"), kind.alias("kind"), F.coalesce("expression", F.lit("")).alias("e"), F.col("source_line").alias("line"), "source_col", "seq")
-    own = own.groupBy("owner", "kind", "e", "line", "source_col").agg(F.min("seq").alias("seq"))
-    held = own.groupBy("owner", "kind", "e", "line").agg(F.array_sort(F.collect_list(F.struct("seq", "source_col"))).alias("c"))
+    own = raw.where(name.isin(sinks)).select(table_of(F.col("target_col")).alias("owner"), "stmt_id", kind.alias("kind"), F.coalesce("expression", F.lit("")).alias("e"), F.col("source_line").alias("line"), "source_col", "seq")
+    own = own.groupBy("owner", "stmt_id", "kind", "e", "line", "source_col").agg(F.min("seq").alias("seq"))
+    held = own.groupBy("owner", "stmt_id", "kind", "e", "line").agg(F.array_sort(F.collect_list(F.struct("seq", "source_col"))).alias("c"))
     columns = F.array_join(F.transform("c", lambda x: x["source_col"]), ",")
-    return held.select("owner", "kind", F.concat_ws(" ", F.concat("kind", F.lit(":")), F.nullif("e", F.lit("")), F.concat(F.lit("["), columns, F.lit("]"))).alias("predicate"))
+    return held.select("owner", "stmt_id", "kind", F.concat_ws(" ", F.concat("kind", F.lit(":")), F.nullif("e", F.lit("")), F.concat(F.lit("["), columns, F.lit("]"))).alias("predicate"))
 
 
 def lineage_trace(resolved: DataFrame, raw: DataFrame, column: str, max_steps: int = MAX_STEPS) -> DataFrame:
-    """The steps that write column, one for each source table and file: how, under which predicates and joins, and through which temporary views.
+    """The steps that write column, one for each source table, file and cell: how, under which predicates and joins, and through which temporary views.
 
-    A temporary view is a table that raw edges write and the resolved graph doesn't have; its predicates and joins count with
+    Where raw has stmt_id, a step has the predicates and joins of its own statements alone; without it, all of its target table's. Cells
+    are those of source_cell, if there is such a column. A temporary view is a table that raw edges write and the resolved graph doesn't have; its predicates and joins count with
     the step's. Lists are joined by `; ` (views by `,`) in a fixed order. Steps are those first by file and line.
     """
     table = table_of(F.lit(column))
     with Work(raw.sparkSession) as work:
-        raw = work.cut(raw)
+        missing = {c: F.lit(None).cast("int") if c == "source_cell" else F.lit(0) for c in ("source_cell", "stmt_id") if c not in raw.columns}
+        raw = work.cut(raw.withColumns(missing) if missing else raw)
         writers = raw.where((F.col("target_col") == column) & F.contains("source_col", F.lit(".")))
         writers = work.cut(writers.withColumn("source_table", table_of(F.col("source_col"))))
         there = resolved.where((F.col("source_col") == column) | (F.col("target_col") == column)).limit(1).count()
@@ -154,19 +139,24 @@ def lineage_trace(resolved: DataFrame, raw: DataFrame, column: str, max_steps: i
             frontier = work.cut(further.select("start", "t").join(union([s.select("start", "t") for s in seen]), ["start", "t"], "left_anti"))
             seen.append(frontier)
         via = union([s.select("start", "t") for s in seen])
-        step = ["source_table", "source_file"]
+        step = ["source_table", "source_file", "source_cell"]
         real = ~is_synthetic(column_of(F.col("source_col"))) & (F.col("source_col") != column)
         write = F.concat_ws(" ", "transform_type", "expression")
         steps = writers.groupBy(*step).agg(
             F.min("source_line").alias("source_line"), F.array_join(F.array_sort(F.collect_set(write)), "; ").alias("writes"),
             F.array_join(F.array_sort(F.collect_set(F.when(real, F.col("source_col")))), ",").alias("upstream_columns"),
         )
-        owners = steps.select("source_table", table.alias("owner")).unionAll(via.select("start", "t")).distinct()
-        said = owners.join(_grouped(raw, synthetic), "owner").groupBy("source_table").agg(
+        # Predicates of the step's own statements, and all of the views it reads.
+        said = work.cut(_grouped(raw, synthetic))
+        own = writers.select(*step, table.alias("owner"), "stmt_id").distinct().withColumnRenamed("stmt_id", "s").join(said, "owner").where(F.col("s").eqNullSafe(F.col("stmt_id")))
+        of_views = writers.select(*step).distinct().join(via.select(F.col("start").alias("source_table"), F.col("t").alias("owner")), "source_table").join(said, "owner")
+        named = ["kind", "predicate"]
+        said = own.select(*step, *named).unionAll(of_views.select(*step, *named)).distinct().groupBy(*step).agg(
             F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") != "join", F.col("predicate")))), "; ").alias("filters"),
             F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "join", F.col("predicate")))), "; ").alias("joins"),
         )
+        said = said.select([F.col(c).alias(f"said_{c}") for c in step] + ["filters", "joins"])
         through = via.groupBy(F.col("start").alias("source_table")).agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("via_temp_views"))
-        out = steps.join(said, "source_table", "left").join(through, "source_table", "left").fillna("", ["filters", "joins", "via_temp_views"])
-        out = out.orderBy("source_file", F.coalesce("source_line", F.lit(0)), "source_table").limit(max_steps)
+        out = steps.join(said, reduce(and_, [F.col(c).eqNullSafe(F.col(f"said_{c}")) for c in step]), "left").join(through, "source_table", "left").fillna("", ["filters", "joins", "via_temp_views"])
+        out = out.orderBy("source_file", F.coalesce("source_line", F.lit(0)), "source_table", "source_cell").limit(max_steps)
         return cut(out.select(file_kind(F.col("source_file")).alias("kind"), *step, "source_line", table.alias("target_table"), "writes", "filters", "joins", "via_temp_views", "upstream_columns"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import cut
+from millrace.sources.shared import alone, cut, fresh, setting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,15 +65,19 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline values and a temporary view go into a table by CREATE AS, INSERT and a writer, and are read back."""
     (nation,) = _read(spark, sf_dir, "nation")
     name = f"millrace_{uuid.uuid4().hex}"
-    nation.where("n_nationkey < 5").createOrReplaceTempView(f"{name}_view")
-    try:
-        spark.sql(f"create table {name} using parquet as select n_nationkey as id, n_name as name, 'view' as made from {name}_view")
-        spark.sql(f"insert into {name} select * from values (100, 'one hundred', 'values'), (101, null, 'values') as v(id, name, made)")
-        nation.where("n_nationkey >= 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("writer").alias("made")).write.insertInto(name)
-        return cut(spark.table(name).where("id != 101 or name is null"))
-    finally:
-        spark.sql(f"drop table if exists {name}")
-        spark.catalog.dropTempView(f"{name}_view")
+
+    def make() -> DataFrame:
+        nation.where("n_nationkey < 5").createOrReplaceTempView(f"{name}_view")
+        try:
+            spark.sql(f"create table {name} using parquet location '{fresh(spark, 'table')}' as select n_nationkey as id, n_name as name, 'view' as made from {name}_view")
+            spark.sql(f"insert into {name} select * from values (100, 'one hundred', 'values'), (101, null, 'values') as v(id, name, made)")
+            nation.where("n_nationkey >= 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("writer").alias("made")).write.insertInto(name)
+            return cut(spark.table(name).where("id != 101 or name is null"))
+        finally:
+            spark.sql(f"drop table if exists {name}")
+            spark.catalog.dropTempView(f"{name}_view")
+
+    return alone(spark, make)
 
 
 TABLES = """select n_nationkey as id, n_name as name, 'view' as made from nation where n_nationkey < 5
@@ -88,8 +92,11 @@ def joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rich = supplier.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("b"))
     few = nation.where("n_nationkey < 12").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").alias("a"))
     out = [side(few.join(rich, "k", how), how) for how in ("inner", "left", "right", "full")]
-    range_ = (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_acctbal") < F.col("c_acctbal") + 50) & (F.col("s_nationkey") == F.col("c_nationkey"))
-    out.append(side(customer.join(supplier, range_).select(F.col("c_custkey").alias("a"), F.col("s_suppkey").alias("b")), "range"))
+    # A balance less than 50 above another lies in its bin of 50 or the next, so both sides meet by nation and bin.
+    range_ = (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_acctbal") < F.col("c_acctbal") + 50)
+    binned = customer.withColumn("bin", F.explode(F.array(F.floor(F.col("c_acctbal") / 50), F.floor(F.col("c_acctbal") / 50) + 1)))
+    binned = binned.join(supplier.withColumn("s_bin", F.floor(F.col("s_acctbal") / 50)), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_bin") == F.col("bin")) & range_)
+    out.append(side(binned.select(F.col("c_custkey").alias("a"), F.col("s_suppkey").alias("b")), "range"))
     out.append(side(region.crossJoin(F.broadcast(nation)).where("n_regionkey != r_regionkey").select(F.col("r_regionkey").alias("a"), F.col("n_nationkey").alias("b")), "cross"))
     counted = customer.groupBy("c_nationkey").agg(F.count("*").alias("b")).withColumnRenamed("c_nationkey", "a")
     out.append(side(nation.select(F.col("n_nationkey").alias("a")).join(counted, "a"), "derived"))
@@ -219,10 +226,14 @@ SET_OPERATIONS = " union all ".join(f"(select '{kind}' as kind, k, count(*) as n
 
 
 def common_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table expression over one table, one over another, and one over a join, each used by the next."""
+    """A table expression over one table, one over another, and one over a join, each used by the next.
+
+    Bands are ranked among themselves (a million cents each), not among the customers, so no window holds all customers.
+    """
     nation, customer, orders = _read(spark, sf_dir, "nation", "customer", "orders")
     text = """with spent as (select o_custkey, sum(cast(round(o_totalprice * 100) as bigint)) as cents from {orders} group by o_custkey),
-      ranked as (select o_custkey, cents, dense_rank() over (order by cents div 1000000 desc) as band from spent),
+      bands as (select step, row_number() over (order by step desc) as band from (select distinct cents div 1000000 as step from spent)),
+      ranked as (select o_custkey, cents, band from spent join bands on cents div 1000000 = step),
       placed as (select c_nationkey, band, cents from ranked join {customer} on c_custkey = o_custkey)
     select n_name, count(*) as customers, sum(cents) as cents, min(band) as best from placed join {nation} on n_nationkey = c_nationkey group by n_name"""
     return spark.sql(text, nation=nation, customer=customer, orders=orders)
@@ -234,7 +245,10 @@ join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
 
 
 def recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The depth of every part below the first one, a part's parent being half its key; an inline anchor counts beside it."""
+    """The depth of every part below the first one, a part's parent being half its key; an inline anchor counts beside it.
+
+    Spark ends a recursion at a number of rows (a million) unless told otherwise, so the query is told how many parts there are, and run.
+    """
     (part,) = _read(spark, sf_dir, "part")
     text = """with recursive tree(id, depth) as (
         select p_partkey, 0 from {part} where p_partkey = 1
@@ -242,7 +256,8 @@ def recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
       numbers(n) as (values (1) union all select n + 1 from numbers where n < 10)
     select depth, count(*) as parts, max(id) as last from tree group by depth
     union all select -n, n, n from numbers"""
-    return spark.sql(text, part=part)
+    with setting(spark, "spark.sql.cteRecursionRowLimit", str(max(1_000_000, 2 * part.count()))):
+        return cut(spark.sql(text, part=part))
 
 
 RECURSION = """with recursive tree(id, depth) as (select p_partkey, 0 from part where p_partkey = 1 union all select p_partkey, depth + 1 from tree join part on p_partkey // 2 = id and p_partkey > 1)

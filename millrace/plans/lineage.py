@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import lineage, paths, registry
 from millrace.sources import foreign_keys
-from millrace.sources.shared import cut
+from millrace.sources.shared import alone, cut
 
 _KEPT = ", ".join(foreign_keys.COLUMNS)
 _LINE = "'lineitem.' || l_orderkey || '_' || l_linenumber"
@@ -45,19 +45,20 @@ def _first_line(d: DataFrame) -> str:
 # Names
 
 _QUALIFY = "case source_file when 'geo.sql' then 'db.' || target_col when 'orders.py' then 'a.' || target_col when 'supplier.sql' then 'a.' || target_col else target_col end"
-_QUALIFIED = f"""q as (select * replace ({_QUALIFY} as target_col) from d union all select 'b.supplier.0', 'c.z', 'cast', 'x.sql', null, 1, 'certain', -1
+_QUALIFIED = f"""q as (select * replace ({_QUALIFY} as target_col) from d union all select 'b.supplier.0', 'c.z', 'cast', 'x.sql', null, 1, 'certain', -1 union all select 'x.a.orders.0', 'c.y', 'cast', 'x.sql', null, 1, 'certain', -1
 ), i as (select source_col as id from q union all select target_col from q),
 t as (select distinct {_TABLE.format('id')} as t from i),
-m as (select s.t as s, min(l.t) as l, count(*) as n from t s join t l on ends_with(l.t, '.' || s.t) group by 1)"""
+z as (select s.t as s, l.t as l from t s join t l on ends_with(l.t, '.' || s.t)),
+m as (select s, min(l) as l, count(*) as n from z where l not in (select s from z) group by 1)"""
 _WHOLE = "coalesce(l{1}.l || '.' || " + _COLUMN.format("{0}") + ", {0}) as {0}"
 _RESOLVED = f"""select {_WHOLE.format('source_col', 1)}, {_WHOLE.format('target_col', 2)}, transform_type, source_file, expression, source_line, confidence, seq
 from q left join (select * from m where n = 1) l1 on l1.s = {_TABLE.format('source_col')} left join (select * from m where n = 1) l2 on l2.s = {_TABLE.format('target_col')}"""
 
 
 def _qualified(d: DataFrame) -> DataFrame:
-    """The edges with schemas before some tables: `supplier` is then ambiguous, `nation` and `orders` aren't."""
+    """The edges with schemas before some tables: `supplier` is then ambiguous, `nation` isn't, nor `orders`, whose forms are all ends of one."""
     schema = F.when(F.col("source_file") == "geo.sql", "db.").when(F.col("source_file").isin("orders.py", "supplier.sql"), "a.").otherwise("")
-    return _extra(d.withColumn("target_col", F.concat(schema, "target_col")), [("b.supplier.0", "c.z", "cast", "x.sql")])
+    return _extra(d.withColumn("target_col", F.concat(schema, "target_col")), [("b.supplier.0", "c.z", "cast", "x.sql"), ("x.a.orders.0", "c.y", "cast", "x.sql")])
 
 
 def _mixed_case(d: DataFrame) -> DataFrame:
@@ -65,8 +66,7 @@ def _mixed_case(d: DataFrame) -> DataFrame:
 
 
 def _build(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    said = d.sparkSession.createDataFrame([("geo.sql", "no target", "warn"), ("broken.sql", "unreadable", "error")], lineage.WARNING)
-    return lineage.build_graph(_mixed_case(_qualified(_looped(d))), said)
+    return lineage.build_graph(_mixed_case(_qualified(_looped(d))), _said(d))
 
 
 _BUILT = f"q2 as ({_RESOLVED}), b as ({_DEDUP.format('q2')})"
@@ -76,7 +76,7 @@ _LOOP_QUALIFIED = _QUALIFIED.replace("from d union", "from lo union")
 
 
 def _looped(d: DataFrame) -> DataFrame:
-    back = d.where("source_file = 'customer.sql'").where(lineage.column_of(F.col("target_col")).cast("long") < 5)
+    back = d.where("source_file = 'customer.sql'").where(lineage.column_of(F.col("target_col")).try_cast("long") < 5)
     return d.unionByName(back.select(F.col("target_col").alias("source_col"), F.col("source_col").alias("target_col"), *foreign_keys.COLUMNS[2:]))
 
 
@@ -102,40 +102,26 @@ _SUMMARY = f"""y as (
     case when len(ids) = 2 then 'direct' else 'via ' || array_to_string(list_transform(ids[2:-2], lambda x : {_TABLE.format('x')}), ' → ') end as via,
     coalesce(list_filter(kinds, lambda x : x <> 'passthrough')[-1], kinds[-1]) as dominant from p)"""
 
-# Views: customers and suppliers are views, in whose making some customers are cast
-
-
-def _with_views(d: DataFrame) -> DataFrame:
-    return d.withColumn("transform_type", F.when((F.col("source_file") == "customer.sql") & (F.col("seq") % 3 == 0), "cast").otherwise(F.col("transform_type")))
-
-
-_INLINED = f"""v as (select * replace (case when source_file = 'customer.sql' and seq % 3 = 0 then 'cast' else transform_type end as transform_type) from d),
-c as (select a.source_col, o.target_col, o.transform_type, o.expression, o.source_file, o.source_line, o.seq, case when a.confidence = 'approximate' then 'approximate' else o.confidence end as confidence, a.transform_type as kt, a.expression as ke
-  from v o join v a on a.target_col = o.source_col where o.source_file = 'orders.py'
-  union all select a.source_col, o.target_col, o.transform_type, o.expression, o.source_file, o.source_line, o.seq, case when a.confidence = 'approximate' then 'approximate' else o.confidence end, a.transform_type, a.expression
-  from v o join v a on a.target_col = o.source_col where starts_with(o.source_col, 'supplier.'))
-select source_col, target_col, source_file, source_line, confidence, seq,
-  case when {_RANK.format("kt")} > {_RANK.format('transform_type')} then kt else transform_type end as transform_type, case when {_RANK.format("kt")} > {_RANK.format('transform_type')} then ke else expression end as expression from c
-union all select source_col, target_col, source_file, source_line, confidence, seq, transform_type, expression from v where source_file in ('geo.sql') or starts_with(source_col, 'orders.')"""
-
 # A trace: suppliers are a view that the resolved graph doesn't have; predicates and join keys stand beside them
 
 
 def _traced(d: DataFrame) -> DataFrame:
+    """Orders and suppliers write lineitem in two statements, whose cells go by tens of lines; each has predicates of its own."""
     more = [
         ("orders.status", "lineitem.__filter__", "filter", "lineitem.ipynb", "status = 'F'", 3, "certain", 1), ("orders.day", "lineitem.__filter__", "filter", "lineitem.ipynb", "status = 'F'", 3, "certain", 2),
-        ("orders.key", "lineitem.__joinkey__", "join_key", "lineitem.ipynb", "o.key = l.key", 4, "certain", 1), ("nation.name", "supplier.__having__", "filter", "supplier.sql", "count(*) > 1", 9, "certain", 1),
+        ("supplier.key", "lineitem.__joinkey__", "join_key", "lineitem.ipynb", "s.key = l.key", 14, "certain", 1), ("nation.name", "supplier.__having__", "filter", "supplier.sql", "count(*) > 1", 9, "certain", 1),
     ]
     raw = _extra(d, more)
+    raw = raw.withColumns({"source_cell": F.expr("cast(source_line div 10 as int)"), "stmt_id": F.when(F.startswith("source_col", F.lit("supplier.")), 2).when(F.startswith("source_col", F.lit("orders.")), 1).otherwise(3)})
     resolved = d.where(~d.source_col.startswith("supplier.") & ~d.target_col.startswith("supplier."))
     return paths.lineage_trace(resolved, raw, _first_line(d))
 
 
 _TRACE = """f as (select min(target_col) as c from d where starts_with(target_col, 'lineitem.')),
-s as (select split_part(source_col, '.', 1) as source_table, source_file, min(source_line) as source_line, string_agg(distinct transform_type || ' ' || expression, '; ' order by transform_type || ' ' || expression) as writes, string_agg(distinct source_col, ',' order by source_col) as upstream_columns
-  from d, f where target_col = c group by 1, 2)
-select 'pyspark' as kind, source_table, source_file, source_line, 'lineitem' as target_table, writes,
-  case when source_table = 'supplier' then 'having: count(*) > 1 [nation.name]; ' else '' end || 'where: status = ''F'' [orders.status,orders.day]' as filters, 'join: o.key = l.key [orders.key]' as joins,
+s as (select split_part(source_col, '.', 1) as source_table, source_file, cast(source_line // 10 as integer) as source_cell, min(source_line) as source_line, string_agg(distinct transform_type || ' ' || expression, '; ' order by transform_type || ' ' || expression) as writes, string_agg(distinct source_col, ',' order by source_col) as upstream_columns
+  from d, f where target_col = c group by 1, 2, 3)
+select 'pyspark' as kind, source_table, source_file, source_cell, source_line, 'lineitem' as target_table, writes,
+  case when source_table = 'supplier' then 'having: count(*) > 1 [nation.name]' else 'where: status = ''F'' [orders.status,orders.day]' end as filters, case when source_table = 'supplier' then 'join: s.key = l.key [supplier.key]' else '' end as joins,
   case when source_table = 'supplier' then 'supplier' else '' end as via_temp_views, upstream_columns from s"""
 
 # Sources
@@ -156,14 +142,35 @@ def _sources(d: DataFrame) -> DataFrame:
 
 _SOURCES = """select 's1' as source_id, 'first' as name, 'zip' as kind, count(distinct source_file) as file_count, count(*) as edge_count, 2 as warning_count from d where source_file = 'customer.sql'
 union all select 's2', 'second', 'git', count(distinct source_file), count(*), 1 from d where source_file not in ('geo.sql', 'customer.sql', 'orders.py') union all select 's4', 'empty', 'git', 0, 0, 0"""
-_SAID = [("geo.sql", "no target", "warn"), ("geo.sql", "odd", "hint"), ("broken.sql", "unreadable", "error")]
-_W = "w(f, e, s) as (values ('geo.sql', 'no target', 'warn'), ('geo.sql', 'odd', 'hint'), ('broken.sql', 'unreadable', 'error'))"
+_W = """w(f, e, s) as (
+  select source_file, 'unsure of ' || target_col, 'warn' from d where confidence = 'approximate' union all select source_file, 'odd line', 'hint' from d where source_file = 'supplier.sql' and source_line % 3 = 0
+  union all select 'broken' || split_part(target_col, '.', 2) || '.sql', 'unreadable', 'error' from d where source_file = 'customer.sql' and cast(split_part(target_col, '.', 2) as bigint) % 100 = 0
+  union all select source_file, 'unresolved ' || source_col, 'error' from d where source_file = 'orders.py' and source_line = 7)"""
 _STATS = """c as (select source_file as f, count(*) as n, count(*) filter (confidence = 'approximate') as a from d group by 1),
 k as (select f, count(*) as n, count(*) filter (s = 'error') as e from w group by 1)"""
 
 
 def _said(d: DataFrame) -> DataFrame:
-    return d.sparkSession.createDataFrame(_SAID, lineage.WARNING)
+    """Warnings that the edges give rise to: of debts, of some lines of suppliers, of files that could not be read, and of some orders."""
+    key = lineage.column_of(F.col("target_col"))
+    one = lambda rows, file, text, severity: rows.select(file.alias("file"), text.alias("error"), F.lit(severity).alias("severity"))
+    file = F.col("source_file")
+    out = one(d.where("confidence = 'approximate'"), file, F.concat(F.lit("unsure of "), "target_col"), "warn")
+    out = out.unionAll(one(d.where("source_file = 'supplier.sql' and source_line % 3 = 0"), file, F.lit("odd line"), "hint"))
+    out = out.unionAll(one(d.where((file == "customer.sql") & (key.try_cast("long") % 100 == 0)), F.concat(F.lit("broken"), key, F.lit(".sql")), F.lit("unreadable"), "error"))
+    return out.unionAll(one(d.where("source_file = 'orders.py' and source_line = 7"), file, F.concat(F.lit("unresolved "), "source_col"), "error"))
+
+
+def _with_results(d: DataFrame) -> DataFrame:
+    """The edges, with each supplier's column shown as a result and read from a file."""
+    own = d.where("source_file = 'supplier.sql'")
+    key = lineage.column_of(F.col("target_col"))
+    shown = own.withColumns({"source_col": F.col("target_col"), "target_col": F.concat(F.lit("result."), key)})
+    return d.unionByName(shown).unionByName(own.withColumn("source_col", F.concat(F.lit("__file__."), key)))
+
+
+_RESULTS = """x as (select * from d union all select * replace (target_col as source_col, 'result.' || split_part(target_col, '.', 2) as target_col) from d where source_file = 'supplier.sql'
+  union all select * replace ('__file__.' || split_part(target_col, '.', 2) as source_col) from d where source_file = 'supplier.sql')"""
 
 
 def _changed(d: DataFrame) -> DataFrame:
@@ -188,31 +195,33 @@ _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "g06_cyclic_core": (lambda d: lineage.cyclic_core(_looped(d)).select("source_col", "target_col"), f"with {_D} select source_col, target_col from ({_BACK}) union all select target_col, source_col from ({_BACK})"),
     "g06_cycle_warning": (lambda d: lineage.cycle_warning(_looped(d)), f"select '<graph>' as file, {_CYCLE_TEXT.format('')} as error, 'warn' as severity from customer where c_custkey = 0"),
     "g07_file_stats": (lambda d: lineage.file_stats(d, _said(d)), f"with {_D}, {_W}, {_STATS} select f as source_file, case when regexp_matches(f, '[.](py|ipynb)$') then 'pyspark' else 'sql' end as kind, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count, coalesce(e, 0) as error_count from c full join k using (f)"),
-    "g08_error_files": (lambda d: lineage.error_files(_said(d)), "select 'broken.sql' as source_file"),
-    "g09_build_warnings": (lambda d: _build(d)[1], f"""select '<graph>' as file, 'ambiguous table name ''supplier'' matches multiple qualified tables — leaving as-is; qualify references to disambiguate' as error, 'warn' as severity
-      union all select '<graph>', {_CYCLE_TEXT.format('db.')}, 'warn' from customer where c_custkey = 0 union all select 'geo.sql', 'no target', 'warn' union all select 'broken.sql', 'unreadable', 'error'"""),
+    "g08_error_files": (lambda d: lineage.error_files(_said(d)), f"with {_D}, {_W} select distinct f as source_file from w where s = 'error'"),
+    "g09_build_warnings": (lambda d: _build(d)[1], f"""with {_D}, {_W} select f as file, e as error, s as severity from w union all select '<graph>', 'ambiguous table name ''supplier'' matches multiple qualified tables — leaving as-is; qualify references to disambiguate', 'warn'
+      union all select '<graph>', {_CYCLE_TEXT.format('db.')}, 'warn' from customer where c_custkey = 0"""),
     "g10_build_graph": (lambda d: _build(d)[0], f"with {_D}, lo as (select * from d union all {_BACK}), {_LOOP_QUALIFIED}, {_BUILT} select * from b"),
     "g11_upstream": (lambda d: lineage.upstream(d, _first_line(d)), f"with recursive {_D}, {_UP} select * from d where target_col in (select node from up)"),
     "g12_downstream": (lambda d: lineage.downstream(d, "nation.3"), f"with recursive {_D}, {_DOWN} select * from d where source_col in (select node from down)"),
     "g13_impact": (lambda d: lineage.impact(d, "nation.3"), f"with recursive {_D}, {_DOWN} select count(distinct target_col) as affected_count from d where source_col in (select node from down)"),
     "g14_lineage": (_by_direction, f"with recursive {_D}, {_DOWN} select source_col, target_col, 'downstream' as direction from d where source_col in (select node from down) union all select source_col, target_col, 'upstream' from d where target_col = 'nation.3'"),
     "g15_payload": (lambda d: lineage.payload(d, "nation.3"), f"with recursive {_D}, {_DOWN}, b as (select source_col, target_col from d where source_col in (select node from down) or target_col = 'nation.3') select 'edge' as kind, source_col as source, target_col as target from b union all select 'node', id, null from (select source_col as id from b union select target_col from b)"),
-    "g16_trace_paths": (lambda d: paths.trace_paths(_staged(d), _first_line(d)), f"with recursive {_D}, {_STAGED}, {_WALK} select array_to_string(ids, ' > ') as path, cast(len(ids) - 1 as integer) as hops, array_to_string(kinds, ',') as transforms, false as truncated from p"),
+    "g16_trace_paths": (lambda d: paths.trace_paths(_staged(d), _first_line(d)).drop("steps"), f"with recursive {_D}, {_STAGED}, {_WALK} select array_to_string(ids, ' > ') as path, cast(len(ids) - 1 as integer) as hops, array_to_string(kinds, ',') as transforms, false as truncated from p"),
+    "g16_path_steps": (lambda d: paths.path_steps(paths.trace_paths(_staged(d), _first_line(d))), f"""with recursive {_D}, {_STAGED}, {_WALK}, h as (select ids, unnest(range(1, len(ids))) as step from p)
+      select array_to_string(ids, ' > ') as path, cast(step as integer) as step, ids[step] as source_col, ids[step + 1] as target_col, transform_type, expression, source_file, source_line, confidence
+      from h join g on (g.target_col = ids[step + 1] or g.target_col = {_TABLE.format('ids[step + 1]')} || '.*') and (g.source_col = ids[step] or (ends_with(g.source_col, '.*') and ends_with(g.target_col, '.*') and g.source_col = {_TABLE.format('ids[step]')} || '.*'))"""),
     "g17_capped_paths": (lambda d: paths.trace_paths(_staged(d), _first_line(d), 2).select("path", "truncated"), f"with recursive {_D}, {_STAGED}, {_WALK} select array_to_string(ids, ' > ') as path, (select count(*) from p) >= 2 as truncated from p order by list_reverse(ids) limit 2"),
     "g19_list_columns": (lambda d: lineage.list_columns(d, "lineitem"), f"""with {_D}, l as (select *, split_part(source_col, '.', 1) as st from d where starts_with(target_col, 'lineitem.')), t as (select target_col, st, min(seq) as i from l group by 1, 2), x as (select target_col, expression, min(seq) as i from l group by 1, 2)
       select target_col as node_id, split_part(target_col, '.', 2) as column_name, (select string_agg(st, ',' order by i) from t where t.target_col = f.target_col) as source_tables, (select string_agg(expression, chr(10) order by i) from x where x.target_col = f.target_col) as expressions, source_file, source_line, transform_type
       from (select *, row_number() over (partition by target_col order by seq, source_col) as i from l) f where f.i = 1"""),
     "g18_source_columns": (lambda d: lineage.list_columns(d, "region"), "select 'region.' || r_regionkey as node_id, r_regionkey::varchar as column_name, '' as source_tables, null::varchar as expressions, null::varchar as source_file, null::integer as source_line, null::varchar as transform_type from region where r_regionkey in (select n_regionkey from nation)"),
     "g20_tables": (lineage.tables, f"with {_D}, {_NODES} select split_part(node, '.', 1) as table_name, count(*) as column_count, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role, false as synthetic from n group by 1"),
-    "g21_synthetic": (lambda d: lineage.tables(_extra(d, [("lineitem.0", "result.n", "cast", "x.sql"), ("__file__.*", "region.*", "cast", "x.sql")]).where("source_file = 'x.sql'")), "select * from (values ('lineitem', 1, 'source', false), ('result', 1, 'result', false), ('__file__', 1, 'source', true), ('region', 1, 'target', false)) as t(table_name, column_count, role, synthetic)"),
+    "g21_synthetic": (lambda d: lineage.tables(_with_results(d)), f"with {_D}, {_RESULTS}, {_NODES.replace('from d', 'from x')} select split_part(node, '.', 1) as table_name, count(*) as column_count, case when split_part(node, '.', 1) = 'result' then 'result' when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role, starts_with(node, '__') as synthetic from n group by split_part(node, '.', 1), starts_with(node, '__')"),
     "g22_search": (lambda d: lineage.search(d, "Nation.1"), f"with {_D}, {_NODES} select node from n where contains(node, 'nation.1')"),
     "g23_file_confidence": (lambda d: lineage.file_confidence(d, _said(d)), f"with {_D}, {_W}, {_STATS} select f as source_file, coalesce(c.n, 0) as edge_count, coalesce(a, 0) as approximate_count, coalesce(k.n, 0) as warning_count, case when e > 0 then 'low' when a > 0 or k.n > 0 then 'medium' else 'high' end as confidence from c full join k using (f)"),
     "g24_compose": (_changed, f"with {_D} select * replace (case when source_file = 'customer.sql' then 'cast' else transform_type end as transform_type, case when source_file = 'customer.sql' then 0 else seq end as seq) from d"),
     "g25_remove_files": (_files, f"with {_D} select * from d where source_file not in ('geo.sql', 'orders.py')"),
     "g26_sources": (_sources, f"with {_D} {_SOURCES}"),
-    "g27_inline_views": (lambda d: paths.inline_views(_with_views(d), ["Customer", "supplier"]), f"with {_D}, {_INLINED}"),
     "g29_lineage_trace": (_traced, f"with {_D}, {_TRACE}"),
-    "g34_warnings": (lambda d: registry.warnings_of(_said(d).withColumn("source_id", F.lit("s1"))), f"with {_W} select 's1' as source_id, f as file, e as error, s as severity from w"),
+    "g34_warnings": (lambda d: registry.warnings_of(_said(d).withColumn("source_id", F.lit("s1"))), f"with {_D}, {_W} select 's1' as source_id, f as file, e as error, s as severity from w"),
     "g37_table_edges": (lineage.table_edges, f"with {_D} select split_part(source_col, '.', 1) as source_table, split_part(target_col, '.', 1) as target_table, count(*) as edge_count, string_agg(distinct transform_type, ',' order by transform_type) as transforms from d group by 1, 2"),
     "g39_visible": (lambda d: lineage.visible(d.withColumn("transform_type", F.when(F.col("seq") % 7 != 0, F.col("transform_type")))), f"with {_D} select * replace (case when seq % 7 <> 0 then transform_type end as transform_type) from d where transform_type not in ('filter', 'join_key') or seq % 7 = 0"),
     "g40_node_class": (lambda d: lineage.node_class(_extra(d, [("orders.0", "lineitem.__filter__", "filter", "x.sql")]), "nation.3"), f"with {_EDGES}, d as ({_DEDUP.format('e')} union all select 'orders.0', 'lineitem.__filter__', 'filter', 'x.sql', null, 1, 'certain', -1), {_NODES} select node, case when node = 'nation.3' then 'target' when node = 'lineitem.__filter__' then 'pseudo' when t = 0 then 'source' when s = 0 then 'sink' else 'inner' end as node_class from n"),
@@ -223,7 +232,7 @@ _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "g45_tree": (lambda d: lineage.tree(d, "nation.3", up=False), f"""with recursive {_D}, r(node, depth) as (select 'nation.3', 0 union select target_col, depth + 1 from d join r on source_col = node), a as (select node, min(depth) as depth from r group by 1)
       select a.node, cast(a.depth as integer) as depth, (select min(source_col) from d join a b on b.node = d.source_col where d.target_col = a.node and b.depth = a.depth - 1) as parent from a"""),
     "g46_tables_by_role": (lambda d: lineage.tables_by_role(d, "N"), f"with {_D}, {_NODES}, t as (select split_part(node, '.', 1) as table_name, case when max(s) = 1 and max(t) = 1 then 'intermediate' when max(t) = 1 then 'target' else 'source' end as role from n group by 1) select role, count(*) as table_count, string_agg(table_name, ',' order by table_name) as table_names from t where contains(table_name, 'n') group by 1"),
-    "g47_severity_counts": (lambda d: lineage.severity_counts(_said(d)), "select * from (values ('warn', 2, false), ('error', 1, true)) as t(severity, warning_count, dominant)"),
+    "g47_severity_counts": (lambda d: lineage.severity_counts(_said(d)), f"with {_D}, {_W} select case when s in ('error', 'warn', 'info') then s else 'warn' end as severity, count(*) as warning_count, case when s = 'error' then true else false end as dominant from w group by 1, 3"),
     "g48_export_json": (lineage.export_json, f"with {_D}, {_NODES} select json_object('id', node)::varchar as item from n union all select json_object('source', source_col, 'target', target_col, 'transform_type', transform_type, 'source_file', source_file)::varchar from d"),
     "g48_export_tables": (lambda d: lineage.export_json(d, by_table=True), f"with {_D}, p as (select split_part(source_col, '.', 1) as a, split_part(target_col, '.', 1) as b, count(*) as n, string_agg(distinct transform_type, ',' order by transform_type) as t from d group by 1, 2) select json_object('id', x)::varchar as item from (select a as x from p union select b from p) union all select json_object('source', a, 'target', b, 'edge_count', n, 'transforms', t)::varchar from p"),
 }
@@ -231,16 +240,18 @@ _QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
 _ONCE = {"g02_normalize_case", "g05_edge_dedup", "g07_file_stats", "g08_error_files", "g13_impact", "g20_tables", "g22_search", "g23_file_confidence", "g24_compose", "g25_remove_files", "g34_warnings", "g37_table_edges", "g39_visible", "g40_node_class", "g43_best_predecessor", "g46_tables_by_role", "g47_severity_counts"}
 
 
-def _query(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def on_edges(operator: Callable[[DataFrame], DataFrame], once: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """operator on the deduplicated edges; unless it reads them once, they are written first, and only its result is left of all that was."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = lineage.dedup_edges(foreign_keys.edges(spark, sf_dir))
-        return operator(edges if name in _ONCE else cut(edges))
+        return operator(edges) if once else alone(spark, lambda: operator(cut(edges)))
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name, operator) for name, (operator, _) in _QUERIES.items()}
+    return {name: on_edges(operator, name in _ONCE) for name, (operator, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: The folder of the query that is being made, if it is made `alone`.
+_HERE: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for what is run within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder that isn't there yet."""
+    return f"{_HERE.get() or shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df written as Parquet (below folder) and read back: computed once, and its size is known to the planner."""
-    path = f"{folder or shared_dir(df.sparkSession)}/millrace-table-{uuid.uuid4().hex}"
+    path = f"{folder or _HERE.get() or shared_dir(df.sparkSession)}/millrace-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,5 +68,16 @@ class Work:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written; every table that it cut on its way is removed."""
+    with Work(spark) as work:
+        before = _HERE.set(work.folder)
+        try:
+            made = make()
+        finally:
+            _HERE.reset(before)
+        return cut(made)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)

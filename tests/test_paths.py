@@ -23,15 +23,6 @@ def test_paths_end_in_cycles_and_follow_wildcards(spark):
     assert groups == {"raw.x > a.x > b.x > c.x": ("raw", "via a → b")}
 
 
-def test_views_are_inlined_to_the_end(spark):
-    edges = edges_of(
-        spark, ("src.id", "V1.id", "window", "w"), ("v1.id", "v2.id", "passthrough", None), ("v2.id", "out.id", "cast", "c"), ("v2.id", "out.n", "passthrough", None),
-        ("other.*", "v3.*", "passthrough", None), ("v3.name", "out.name", "expression", "u"), ("loop.x", "loop.x", "cast", None), ("loop.x", "out.loop", "cast", None), ("a.x", "b.x", "filter", "f"),
-    )
-    rows = {(r["source_col"], r["target_col"], r["transform_type"], r["expression"]) for r in paths.inline_views(edges, ["v1", "V2", "v3", "loop"]).collect()}
-    assert rows == {("src.id", "out.id", "window", "w"), ("src.id", "out.n", "window", "w"), ("other.name", "out.name", "expression", "u"), ("a.x", "b.x", "filter", "f")}
-
-
 def test_a_trace_of_an_unknown_or_unwritten_column_is_empty(spark):
     edges = edges_of(spark, ("a.x", "b.x", "cast", "c"), ("a.y", "b.__filter__", "filter", "y > 1"), ("a.z", "b.__filter__", "filter", "y > 1"))
     edges = edges.withColumn("source_line", lineage.F.lit(4))

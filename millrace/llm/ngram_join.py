@@ -1,17 +1,15 @@
 """N-gram Jaccard join by vertical partitioning.
 
 All word n-grams stand in one global order, that of their hashes. Cutting the order into fragments cuts
-every document's set into segments.
+every document's set into segments, whose overlaps are counted apart and summed for each pair.
 
 1. Documents with equal sets are one class; the work below is on classes.
-2. Candidates. Two sets that are similar enough differ in at most D n-grams, D following from their
-   sizes. With k > D fragments at least k - D segments are therefore equal in both, so an equi-join on
-   segment hashes finds every such pair, whatever n-grams are frequent. Sizes fall into bands; a set
-   is cut for its own band, and for each band below in which a set can be similar to it. k is large
-   enough for a set of the band's smallest size to fill more than D segments as a rule, so that empty
-   segments (equal in any two sets) need not be joined; a set that fills fewer is also cut by further
-   orders, until one suits it, and if none of ORDERS does, its empty segments under the first are joined.
-3. In each run of equal segments, sets are compared with the run's first and with their neighbour, in an
+2. Candidates. A set that is similar enough to another lacks at most D = size * (1 - similarity) of its n-grams there. So in any
+   order, the first n-gram that two such sets share is among the first D + 1 of each, and an equi-join on these finds every
+   such pair. n-grams that are common stand last in this order, the commonest of all at the end, so that passages which many unlike
+   documents share make no candidates. What is common is counted while sets are made: n-grams that several of a task's documents
+   hold are summed, and the COMMON commonest are broadcast. All tasks use the same order, so the counts need not be exact.
+3. In each run of sets with an equal n-gram of these, sets are compared with the run's first and with their neighbour, in an
    order of each run's own, so that a set meets others in each of its runs. A parity sketch, whose Hamming
    distance never exceeds the number of differing n-grams, drops most candidates; for the others partial
    overlaps are counted fragment by fragment and summed per pair: first for each set's nearest by sketch, and
@@ -19,7 +17,7 @@ every document's set into segments.
 4. Components of these links are contracted. Runs that hold several components are joined once more,
    for pairs of different components alone whose sketches are near, and verified likewise, so that no link is lost
    that could join two components, and no group's pairs are all enumerated. What is compared here (not put out) grows with the square of the members of
-   one run that nothing has linked yet.
+   one run that nothing has linked yet; such runs are of n-grams that are rare, or of sets that hold little else than common ones.
 
 Defined results: null texts and texts without words have no n-gram and link with nothing, nor do rows
 without an id; rows that repeat an id are separate documents; a text shorter than n words is one n-gram;
@@ -44,45 +42,13 @@ PARTS = 8
 SKETCH = 8
 #: Up to this many ids (16 MB) the documents to verify are picked by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: A size band reaches from L to L / BAND.
-BAND = 0.6
-#: Orders by which a set is cut at most, before its empty segments are joined.
-ORDERS = 12
+#: n-grams that are known as common at most (16 bytes each), and n-grams that a task looks through at a time for those it has twice.
+COMMON, AT_ONCE = 1 << 20, 1 << 21
 #: Sets that a task remembers, so as to emit equal ones once.
 REMEMBER = 500_000
 _SKETCHES = [f"p{i}" for i in range(SKETCH)]
 
 
-class Bands:
-    """Size bands for similarity num / den, and the fragments k and tolerated differences d of each."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(int(self.low[-1] / BAND) + 1)
-        self.low = np.array(self.low, np.int64)
-        top = np.append(self.low[1:] - 1, self.low[-1])
-        self.reach = den * top // num  # the largest set similar to one of the band
-        self.d = (top + self.reach) * (den - num) // (num + den)
-        self.k = np.array([self._fragments(int(size), int(d)) for size, d in zip(self.low, self.d)], np.int64)
-
-    @staticmethod
-    def _fragments(size: int, d: int) -> int:
-        """The fewest fragments (nearly) of which `size` n-grams fill more than d, two standard deviations aside."""
-        k = d + 1
-        while d and k < 4 * (d + 1):
-            empty = np.exp(-size / k)
-            spread = np.sqrt(max(k * empty * (1 - empty * (1 + size / k)), 0.0))
-            if k * (1 - empty) - 2 * spread >= d + 1:
-                break
-            k += max(1, k // 50)
-        return k
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, sizes, "right") - 1
-
-
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, n-grams, offsets): every text's distinct n-grams in the global order."""
     for row, stop, data, ends in words.chunks(texts):
@@ -114,95 +80,122 @@ def _parity(grams: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class _Repeated:
+    """Counts, among some AT_ONCE n-grams after another, in how many of a task's distinct sets each occurs."""
+
+    def __init__(self):
+        self.held, self.n = [], 0
+
+    def add(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.held.append(grams)
+        self.n += len(grams)
+        if self.n > AT_ONCE:
+            yield self.take()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams that were met more than once, and how often."""
+        grams, times = np.unique(np.concatenate([*self.held, np.zeros(0, np.uint64)]), return_counts=True)
+        self.held, self.n = [], 0
+        return grams[times > 1], times[times > 1]
+
+
 def classes(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc, row (a hash of the text), set_id, size, p0, p1, ... of every row; rows with equal sets share a set_id."""
+    """doc, row (a hash of the text), set_id, size, p0, p1, ... of every row; rows with equal sets share a set_id.
+
+    Beside them rows with gram and times alone: n-grams that several of a task's sets hold.
+    """
+    fields = [("doc", pa.int64()), ("row", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), *[(p, pa.int64()) for p in _SKETCHES], ("gram", pa.int64()), ("times", pa.int64())]
+    schema = pa.schema(fields)
+
+    def repeated(grams: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(grams), pa.int64())
+        return pa.RecordBatch.from_arrays([*[none] * (len(fields) - 2), pa.array(grams.view(np.int64)), pa.array(times)], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, fresh = _Repeated(), _Fresh()
         for batch in batches:
             for row, stop, grams, to in _sets(batch.column(2), n):
                 ids, texts = (batch.column(i).slice(row, stop - row) for i in range(2))
-                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to))], ["doc", "row", "set_id", "size", *_SKETCHES])
+                sets, none = _set_ids(grams, to), pa.nulls(stop - row, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(sets), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to)), none, none], schema=schema)
+                for found in counts.add(grams[np.repeat(fresh.of(sets), np.diff(to))]):
+                    yield repeated(*found)
+        yield repeated(*counts.take())
+
+    names = ", ".join(f"{name} long" for name, _ in fields)
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(storage.tidy(task), names)
+
+
+class _Fresh:
+    """Tells sets that a task meets for the first time (nearly: it forgets after REMEMBER)."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        if len(self.seen) > REMEMBER:
+            self.seen.clear()
+        return np.array([i not in self.seen and not self.seen.add(i) for i in ids.tolist()], bool)
+
+
+class Order:
+    """The order of n-grams in which candidates are looked for: those not known as common by their hashes, and then the others."""
+
+    def __init__(self, grams: np.ndarray, times: np.ndarray):
+        grams = grams.view(np.uint64)
+        by = np.argsort(grams, kind="stable")
+        self.grams, self.times = grams[by], times[by]
+        self.low = np.zeros(1 << 20, bool)  # nearly all n-grams end here
+        self.low[(self.grams & np.uint64(len(self.low) - 1)).astype(np.int64)] = True
+
+    def times_of(self, grams: np.ndarray) -> np.ndarray:
+        """How common each n-gram is known to be, or 0."""
+        out = np.zeros(len(grams), np.int64)
+        maybe = np.flatnonzero(self.low[(grams & np.uint64(len(self.low) - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+            out[maybe] = np.where(self.grams[at] == grams[maybe], self.times[at], 0)
+        return out
+
+
+def first_grams(grams: np.ndarray, to: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set's index, n-gram): of each set (ascending hashes between the offsets) the first D + 1 in order."""
+    size = np.diff(to)
+    owner = np.repeat(np.arange(len(size)), size)
+    times = order.times_of(grams)
+    mixed = np.zeros(len(size), bool)
+    mixed[owner[times > 0]] = True
+    some = np.flatnonzero(mixed[owner])  # sets with common ones are put into order
+    grams = grams.copy()
+    grams[some] = grams[some[np.lexsort((grams[some], times[some], owner[some]))]]
+    kept = np.arange(len(grams)) - to[:-1][owner] <= ((den - num) * size // den)[owner]
+    return owner[kept], grams[kept]
+
+
+def _segments(grams: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each non-empty segment: its set's index, its fragment of PARTS, and where its n-grams end; they begin where the one before ends."""
+    owner = np.repeat(np.arange(len(to) - 1), np.diff(to))
+    fragment = ((grams >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)
+    last = np.ones(len(grams), bool)
+    last[:-1] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
+    at = np.flatnonzero(last)
+    return owner[at], fragment[at].astype(np.int32), at + 1
 
-    schema = "doc long, row long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES)
-    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(storage.tidy(task), schema)
 
+def _keys(docs: DataFrame, n: int, text: str, order: Order, num: int, den: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # COMMON n-grams at most
 
-def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each non-empty segment: its set's index, its fragment, and the hash of what it holds."""
-    owner = np.repeat(np.arange(len(to) - 1), np.diff(to))
-    place = grams if order == 0 else words.mix(grams ^ np.uint64((0x9E3779B97F4A7C15 * (2 * order + 1)) % 2**64))
-    fragment = ((place >> np.uint64(32)) * k[owner].astype(np.uint64)) >> np.uint64(32)
-    if order:
-        by = np.lexsort((fragment, owner))
-        owner, fragment, grams = owner[by], fragment[by], grams[by]
-    head = np.ones(len(grams), bool)
-    head[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
-    at = np.flatnonzero(head)
-    held = np.add.reduceat(words.mix(grams + np.uint64(0x14057B7EF767814F)), at) if len(at) else np.zeros(0, np.uint64)
-    return owner[at], fragment[at].astype(np.int64), held
-
-
-def _empty_segments(grams: np.ndarray, to: np.ndarray, index: np.ndarray, k: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set's index, key) of the fragments of the first order in which the sets have nothing.
-
-    Two similar sets that no order suits have an equal segment there; if it isn't empty they meet by it anyhow.
-    """
-    owners, keys = [], []
-    for i, n, b in zip(index.tolist(), k.tolist(), band.tolist()):
-        own = grams[to[i] : to[i + 1]]
-        fragment = np.setdiff1d(np.arange(n), ((own >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32))
-        keys.append(words.mix(np.uint64(0x8CB92BA72F3D8DD7) ^ words.mix(np.uint64([b]) * np.uint64(0xA24BAED4963EE407) + fragment.astype(np.uint64))))
-        owners.append(np.full(len(fragment), i))
-    return np.concatenate(owners), np.concatenate(keys)
-
-
-def segment_keys(grams: np.ndarray, to: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set's index, key) of all segments by which the sets can meet similar ones."""
-    sizes = np.diff(to)
-    own = bands.of(sizes)
-    found = []
-    for below in range(int(own.max(initial=0)) + 1):
-        band = own - below
-        here = (sizes > 0) & (band >= 0)
-        here[here] &= (below == 0) | (sizes[here] <= bands.reach[band[here]])
-        if below and not here.any():
-            break
-        order = 0
-        while here.any():
-            index = np.flatnonzero(here)
-            spans = [slice(to[i], to[i + 1]) for i in index]
-            some = grams if len(index) == len(sizes) else np.concatenate([grams[s] for s in spans])
-            offsets = np.concatenate([[0], np.cumsum(sizes[index])])
-            k, d = bands.k[band[index]], bands.d[band[index]]
-            owner, fragment, held = _segments(some, offsets, k, order)
-            tag = words.mix(band[index][owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(order))
-            found.append((index[owner], words.mix(held ^ words.mix(tag + fragment.astype(np.uint64)))))
-            full = np.bincount(owner, minlength=len(index))
-            here = np.zeros(len(sizes), bool)
-            here[index[full <= d]] = True  # k - full empty segments: as many as may be equal in two similar sets
-            order += 1
-            if order == ORDERS and here.any():
-                found.append(_empty_segments(grams, to, np.flatnonzero(here), bands.k[band[here]], band[here]))
-                break
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).view(np.int64)
-
-
-def _keys(docs: DataFrame, n: int, text: str, bands: Bands) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        first = _Fresh()
         for batch in batches:
             for _, _, grams, to in _sets(batch.column(0), n):
                 ids = _set_ids(grams, to)
-                if len(seen) > REMEMBER:
-                    seen.clear()
-                fresh = np.array([i not in seen and not seen.add(i) for i in ids.tolist()], bool) if len(ids) else np.zeros(0, bool)
+                fresh = first.of(ids)
                 if not fresh.all():
                     grams = grams[np.repeat(fresh, np.diff(to))]
                     ids, to = ids[fresh], np.concatenate([[0], np.cumsum(np.diff(to)[fresh])])
-                index, keys = segment_keys(grams, to, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[index])], ["key", "set_id"])
+                index, keys = first_grams(grams, to, shared.value, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[index])], ["key", "set_id"])
 
     return docs.select(text).mapInArrow(storage.tidy(task), "key long, set_id long")
 
@@ -284,11 +277,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num:
                 if not meant.all():
                     grams, ids = grams[np.repeat(meant, np.diff(to))], ids[meant]
                     to = np.concatenate([[0], np.cumsum(np.diff(to)[meant])])
-                owner, part, _ = _segments(grams, to, np.full(len(to) - 1, PARTS), 0)
-                every = np.repeat(np.arange(len(to) - 1), np.diff(to)) * PARTS + (((grams >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)).astype(np.int64)
-                cuts = np.append(np.searchsorted(every, owner * PARTS + part), len(grams)).astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(part.astype(np.int32)), held], ["set_id", "part", "grams"])
+                owner, part, ends = _segments(grams, to)
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(part), held], ["set_id", "part", "grams"])
 
     segments = docs.select("__text", "__set").mapInArrow(storage.tidy(task), "set_id long, part int, grams array<long>")
     segments = storage.save(segments.withColumn("at", F.xxhash64("set_id", "part")), f"{work}-segments").hint("merge")
@@ -316,16 +307,19 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4
 def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, text: str) -> DataFrame:
     """doc, row, size of every row, and least: the smallest (doc, row) of its group, null for a row that is alone for want of an id or n-gram."""
     num, den = similarity
-    spark, bands = docs.sparkSession, Bands(num, den)
+    spark = docs.sparkSession
     storage.small_batches(spark)
     folder = storage.scratch(spark, "ngrams")
-    rows = storage.save(classes(docs, n, doc_id, text), f"{folder}/classes")
+    made = storage.save(classes(docs, n, doc_id, text), f"{folder}/classes")
+    rows, repeated = made.where("gram is null").drop("gram", "times"), made.where("gram is not null")
+    common = repeated.groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON).toArrow()
+    order = Order(*(common[c].to_numpy().astype(np.int64) for c in ("gram", "times")))
     present = rows.where("doc is not null and size > 0")
     known = present.groupBy("set_id").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("size", *_SKETCHES)])
     known = storage.save(known, f"{folder}/known")
 
     with_id = docs.where(F.col(doc_id).isNotNull())
-    keys = _keys(with_id, n, text, bands).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "set_id"), "set_id")
+    keys = _keys(with_id, n, text, order, num, den).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "set_id"), "set_id")
     met = storage.save(keys.mapInArrow(_meetings, "a long, b long, key long"), f"{folder}/met")
 
     pairs = met.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

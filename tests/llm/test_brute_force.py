@@ -56,14 +56,48 @@ def test_groups_of_varied_copies(spark, n, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_by_hand(rows, n, num, den)
 
 
-def test_every_set_gets_a_key_and_cutting_ends():
-    bands = ngram_join.Bands(4, 5)
+def _set_arrays(sets):
+    held = [np.sort(np.array(sorted(s), np.uint64)) for s in sets]
+    return np.concatenate(held), np.concatenate([[0], np.cumsum([len(h) for h in held])])
+
+
+def _order(grams):
+    """As the tasks and Spark make it, where all sets are one task's."""
+    counts = ngram_join._Repeated()
+    list(counts.add(grams))
+    found, times = counts.take()
+    return ngram_join.Order(found.view(np.int64), times)
+
+
+def test_similar_sets_share_one_of_their_first_ngrams():
     rng = np.random.default_rng(1)
-    sizes = np.arange(1, 400)
-    to = np.concatenate([[0], np.cumsum(sizes)])
-    grams = np.concatenate([np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes])
-    index, keys = ngram_join.segment_keys(grams, to, bands)
-    assert len(index) == len(keys) and set(index.tolist()) == set(range(len(sizes)))
+    sets = [set(rng.integers(0, 60, int(rng.integers(1, 30))).tolist()) for _ in range(300)]
+    sets += [s ^ set(rng.integers(0, 60, 2).tolist()) or {1} for s in sets]
+    grams, to = _set_arrays(sets)
+    none = ngram_join.Order(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for order in (_order(grams), none):
+        for num, den in ((4, 5), (85, 100), (1, 2), (1, 1)):
+            index, keys = ngram_join.first_grams(grams, to, order, num, den)
+            first = [set(keys[index == i].tolist()) for i in range(len(sets))]
+            assert all(first)
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                if len(sets[i] & sets[j]) * den >= num * len(sets[i] | sets[j]):
+                    assert first[i] & first[j]
+
+
+def test_what_is_compared_grows_in_proportion_where_unlike_sets_share_much():
+    """Half, then 70 % of all sets' n-grams are the same ones: twice the sets make twice the pairs, not four times."""
+    for shared in (100, 140):
+        pairs = []
+        for n in (1000, 2000, 4000):
+            rng = np.random.default_rng(shared)
+            common = rng.integers(0, 2**63, shared, dtype=np.uint64)
+            grams = np.concatenate([np.sort(np.concatenate([common, rng.integers(0, 2**63, 200 - shared, dtype=np.uint64)])) for _ in range(n)])
+            _, keys = ngram_join.first_grams(grams, np.arange(n + 1) * 200, _order(grams), 4, 5)
+            assert len(keys) == 41 * n
+            times = np.unique(keys, return_counts=True)[1]
+            pairs.append(int((times * (times - 1) // 2).sum()))
+        assert pairs[2] <= 5 * max(pairs[0], 1)
 
 
 def test_nearest_recall_and_scores(spark):

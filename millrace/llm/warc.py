@@ -6,7 +6,11 @@ manifest that Spark commits; files of lost attempts are in no manifest. Of equal
 
 Reader: tasks take byte ranges of the files, look for gzip magic, accept a member only if it decodes to the
 headers of a WARC record, and own the records that start inside their range. A range is read block by block, and
-members are found and decoded in the block at hand.
+members are found and decoded in the block at hand. A payload that deflate stores as it is may hold a whole archive, whose members
+are none of the file's: where it ends no member follows. So a record that was searched for counts only if gzip members follow
+one another from there to the end of the file, or for CHAIN bytes at least. Archives of this writer never hold bytes that read as
+a member within another, so of them any range is read right; of others, so is each that doesn't begin inside of an archive of more than CHAIN
+bytes that its record stores as it is.
 
 Defined results: a null payload is empty; a null id or url leaves its header out; rows that repeat the
 largest id of a payload are all responses; empty tables give no file and no rows; other columns are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +34,8 @@ from . import storage
 MIN_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes for which members must follow one another from a record that was searched for.
+CHAIN = 1 << 20
 #: Bytes read from a file at once, handed to the decoder at once, and decoded at most to find a record's headers.
 _BLOCK, _STEP, _HEAD = 1 << 20, 16 << 10, 64 << 10
 MANIFEST = "path string, records long, bytes long"
@@ -63,8 +70,28 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {_urn(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    text = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    member = _member([text])
+    if _holds_record(member):  # an archive that is stored as it is: blocks that end within each magic leave none whole
+        first, *rest = text.split(MAGIC)
+        member = _member([first, *(piece for part in rest for piece in (MAGIC[:1], MAGIC[1:] + part))])
+    return member
+
+
+def _member(pieces: list[bytes]) -> bytes:
+    """A gzip member of some pieces, each in blocks of its own."""
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
+    out = [part for piece in pieces[:-1] for part in (squeeze.compress(piece), squeeze.flush(zlib.Z_SYNC_FLUSH))]
+    return b"".join([*out, squeeze.compress(pieces[-1]), squeeze.flush()])
+
+
+def _holds_record(member: bytes) -> bool:
+    """Whether a reader could take some bytes within for a record's member."""
+    at = member.find(MAGIC, 1)
+    blocks = _Blocks(io.BytesIO(member), len(member)) if at >= 0 else None
+    while at >= 0 and not _starts_record(blocks, at):
+        at = member.find(MAGIC, at + 1)
+    return at >= 0
 
 
 def decode_record(record: bytes) -> dict | None:
@@ -174,24 +201,48 @@ def _starts_record(blocks: _Blocks, offset: int) -> bool:
     return False
 
 
+def _decode(blocks: _Blocks, offset: int, keep: bool = True) -> tuple[bytes, int]:
+    """The record whose member begins at offset (empty, unless it is kept), and where the member ends."""
+    unpack, parts, read = zlib.decompressobj(31), [], offset
+    while not unpack.eof:
+        raw = blocks.at(read, _STEP)
+        if not raw:
+            raise ValueError("a record is cut off at the end of its file")
+        part = unpack.decompress(raw)
+        if keep:
+            parts.append(part)
+        read += len(raw)
+    return b"".join(parts), read - len(unpack.unused_data)
+
+
+def _is_member(blocks: _Blocks, offset: int) -> bool:
+    return blocks.at(offset, len(MAGIC)) == MAGIC and _starts_record(blocks, offset)
+
+
+def _in_a_chain(blocks: _Blocks, offset: int) -> bool:
+    """Whether gzip members, of records or not, follow one another from offset to the end of the file, or for CHAIN bytes."""
+    here = offset
+    while here < blocks.size and here - offset < CHAIN:
+        if blocks.at(here, len(MAGIC)) != MAGIC:
+            return False
+        try:
+            _, here = _decode(blocks, here, keep=False)
+        except zlib.error:
+            return False
+    return here >= blocks.size or blocks.at(here, len(MAGIC)) == MAGIC
+
+
 def records_in(stream, size: int, begin: int, end: int) -> Iterator[bytes]:
     """The decoded records of those members that start in bytes [begin, end) of a file of `size` bytes."""
     blocks, here = _Blocks(stream, size), begin
     while (here := blocks.find(MAGIC, here, end)) >= 0:
-        if not _starts_record(blocks, here):
+        if not _starts_record(blocks, here) or (here and not _in_a_chain(blocks, here)):
             here += 1
             continue
         while here < end:  # members that follow one another need no search
-            unpack, parts, read = zlib.decompressobj(31), [], here
-            while not unpack.eof:
-                raw = blocks.at(read, _STEP)
-                if not raw:
-                    raise ValueError("a record is cut off at the end of its file")
-                parts.append(unpack.decompress(raw))
-                read += len(raw)
-            yield b"".join(parts)
-            here = read - len(unpack.unused_data)
-            if here >= end or blocks.at(here, len(MAGIC)) != MAGIC or not _starts_record(blocks, here):
+            record, here = _decode(blocks, here)
+            yield record
+            if here >= end or not _is_member(blocks, here):
                 break
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,8 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, FLIPS = 5, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Items that are compared with all documents at a time; larger benchmarks take several passes.
-ITEMS_AT_ONCE = 20_000
+#: Items, and shingles of items, that are compared with all documents at a time; larger benchmarks take several passes. Weights are
+#: those of the whole benchmark, so that passes change no result.
+ITEMS_AT_ONCE, SHINGLES_AT_ONCE = 20_000, 4_000_000
 #: Up to so many index keys are broadcast.
 BROADCAST_KEYS = 2_000_000
 _WIDTHS = [13, 13, 13, 13, 12]
@@ -63,20 +65,14 @@ class Items:
     total: np.ndarray  # weight of each item
 
     @classmethod
-    def of(cls, ids: list[int], texts: pa.Array, size: int) -> Items:
-        bags, n_words = [], []
-        for _, _, grams, to, n in _shingles(texts, size):
-            bags += [Counter(grams[a:b].tolist()) for a, b in zip(to[:-1], to[1:])]
-            n_words += n.tolist()
-        kept = [i for i, bag in enumerate(bags) if bag and ids[i] is not None]
-        ids, bags, n_words = [ids[i] for i in kept], [bags[i] for i in kept], np.array([n_words[i] for i in kept], np.int64)
+    def of(cls, ids: list[int], n_words: list[int], bags: list[Counter], grams: np.ndarray, times: np.ndarray, all_items: int) -> Items:
+        """grams (all those of bags, ascending) occur in so many of all_items items of the whole benchmark."""
         held = sorted((g, i) for i, bag in enumerate(bags) for g in bag)
-        gram = np.array([g for g, _ in held], np.uint64)
-        grams, at, count = np.unique(gram, return_index=True, return_counts=True)
-        weight = 1 + np.log(len(bags) / count) if len(bags) else np.zeros(0)
+        at = np.searchsorted(np.array([g for g, _ in held], np.uint64), grams)
+        weight = 1 + np.log(all_items / times)
         known = dict(zip(grams.tolist(), weight.tolist()))
         total = np.array([sum(n * known[g] for g, n in bag.items()) for bag in bags])
-        return cls(ids, n_words, bags, grams, weight, 1 + float(np.log(max(1, len(bags)))), np.array([i for _, i in held], np.int64), np.append(at, len(held)), total)
+        return cls(ids, np.array(n_words, np.int64), bags, grams, weight, 1 + float(np.log(max(1, all_items))), np.array([i for _, i in held], np.int64), np.append(at, len(held)), total)
 
     def look(self, grams: np.ndarray) -> np.ndarray:
         """Index of each shingle among self.grams, or -1."""
@@ -153,61 +149,91 @@ def windows_of(grams: np.ndarray, items: Items, size: int, similarity: float) ->
     return sorted(out)
 
 
+def shingled(benchmark: DataFrame, size: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(items, shingles), written to folder: item, n_words, part (words of a shingle: an item with fewer than size is one of its own), grams;
+    and in how many items of a part each shingle (part, gram) occurs. Items without a word or an id are left out."""
+    schema = pa.schema([("item", pa.int64()), ("n_words", pa.int64()), ("part", pa.int32()), ("grams", pa.list_(pa.int64()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for row, _, grams, to, n in _shingles(batch.column(1), size):
+                bags = [grams[a:b].view(np.int64) for a, b in zip(to[:-1], to[1:])]
+                kept = [k for k in range(len(n)) if n[k] and ids[row + k] is not None]
+                yield pa.RecordBatch.from_pydict({"item": [ids[row + k] for k in kept], "n_words": [int(n[k]) for k in kept], "part": [min(int(n[k]), size) for k in kept], "grams": [bags[k] for k in kept]}, schema)
+
+    items = storage.save(benchmark.mapInArrow(storage.tidy(task), "item long, n_words long, part int, grams array<long>"), f"{folder}/items")
+    each = items.select("part", F.explode(F.array_distinct("grams")).alias("gram"))
+    return items, storage.save(each.groupBy("part", "gram").agg(F.count("*").alias("times")), f"{folder}/shingles")
+
+
+def _items(items: DataFrame, shingles: DataFrame, counts: dict[int, int]) -> dict[int, Items]:
+    """Some items, by part, with their shingles' weights: as many as a pass holds."""
+    rows = items.toArrow().to_pylist()
+    known = shingles.join(items.select("part", F.explode("grams").alias("gram")).distinct(), ["part", "gram"], "left_semi").toArrow()
+    part, gram, times = (known[c].to_numpy() for c in ("part", "gram", "times"))
+    gram = gram.astype(np.int64).view(np.uint64)
+    out = {}
+    for p in sorted({r["part"] for r in rows}):
+        own = [r for r in rows if r["part"] == p]
+        order = np.flatnonzero(part == p)
+        order = order[np.argsort(gram[order], kind="stable")]
+        bags = [Counter(np.array(r["grams"], np.int64).view(np.uint64).tolist()) for r in own]
+        out[p] = Items.of([r["item"] for r in own], [r["n_words"] for r in own], bags, gram[order], times[order], counts[p])
+    return out
+
+
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity, start_word and n_words: each document's best window for every item it leaks."""
+    """doc_id, item_id, similarity, start_word and n_words: each document's best window for every item it leaks. Ids are whole numbers."""
     spark = docs.sparkSession
+    storage.small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).alias("__text"))
-    benchmark = benchmark.select(F.col(item_id).cast("long").alias("__item"), F.col(item_text).alias("__text"))
-    passes = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
-    found = None
+    folder = storage.scratch(spark, "benchmark")
+    items, shingles = shingled(benchmark.select(F.col(item_id).cast("long").alias("__item"), F.col(item_text).alias("__text")), size, folder)
+    sizes = items.groupBy("part").agg(F.count("*").alias("items"), F.sum(F.size("grams")).alias("grams")).collect()  # a row for each part
+    counts = {r["part"]: r["items"] for r in sizes}
+    passes = max(1, -(-sum(counts.values()) // ITEMS_AT_ONCE), -(-sum(r["grams"] for r in sizes) // SHINGLES_AT_ONCE))
+    found = []
     for k in range(passes):  # one, unless the benchmark is very large
-        some = benchmark.where(F.pmod(F.xxhash64("__item", "__text"), F.lit(passes)) == k).toArrow()
-        ids, texts = some["__item"].to_pylist(), some["__text"].combine_chunks()
-        texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
-        short = _lengths(texts) < size
-        # Shorter items are shingles of their own size.
-        for part in sorted({size, *_lengths(texts)[short & (_lengths(texts) > 0)].tolist()}):
-            own = (_lengths(texts) == part) if part < size else ~short
-            items = Items.of([i for i, o in zip(ids, own) if o], texts.filter(pa.array(own)), part)
-            if items.ids or part == size:
-                one = _pass(spark, rows, items, part, similarity)
-                found = one if found is None else found.unionAll(one)
+        some = items.where(F.pmod(F.xxhash64("item", "grams"), F.lit(passes)) == k)
+        found.append(_pass(spark, rows, _items(some, shingles, counts), size, similarity))
+    storage.remove(spark, folder)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("start"), "n_words")).alias("best")
-    best = found.groupBy("doc_id", "item_id").agg(best)
+    best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(best)
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start_word"), "best.n_words")
 
 
-def _lengths(texts: pa.Array) -> np.ndarray:
-    out = [n for _, _, _, _, n in _shingles(texts, 1)]
-    return np.concatenate([*out, np.zeros(0, np.int64)]).astype(int)
+def _pass(spark, rows: DataFrame, items: dict[int, Items], size: int, similarity: float) -> DataFrame:
+    """What some items (by the words of their shingles) have in common with all documents, which are read once."""
+    shared = spark.sparkContext.broadcast(items)  # ITEMS_AT_ONCE items and SHINGLES_AT_ONCE shingles at most, or one item
 
-
-def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) -> DataFrame:
-    storage.small_batches(spark)
-    shared = spark.sparkContext.broadcast(items)  # ITEMS_AT_ONCE items at most
+    schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("fingerprint", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        low = np.zeros(1 << 16, bool)  # most shingles end here
-        low[(it.grams & np.uint64(0xFFFF)).astype(int)] = True
+        lows: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for row, stop, grams, to, _ in _shingles(batch.column(1), size):
-                maybe = np.flatnonzero(low[(grams & np.uint64(0xFFFF)).astype(int)])
-                maybe = maybe[it.look(grams[maybe]) >= 0]
-                out = {k: [] for k in ("doc_id", "start_word", "n_words", "fingerprint", "grams")}
-                for d in np.unique(np.searchsorted(to, maybe, "right") - 1).tolist():
-                    own = grams[to[d] : to[d + 1]]
-                    found = windows_of(own, it, size, similarity)
-                    if not found or ids[row + d] is None:
-                        continue
-                    at, n = np.array([s for s, _ in found]), np.array([max(1, w - size + 1) for _, w in found])
-                    out["fingerprint"] += simhash(own, it.weigh(own), at, n).view(np.int64).tolist()
-                    out["grams"] += [own[s : s + m].view(np.int64).tolist() for s, m in zip(at, n)]
-                    out["doc_id"] += [ids[row + d]] * len(found)
-                    out["start_word"] += at.tolist()
-                    out["n_words"] += [w for _, w in found]
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("fingerprint", pa.int64()), ("grams", pa.list_(pa.int64()))]))
+            for part, it in shared.value.items():
+                low = lows.get(part)
+                if low is None:
+                    lows[part] = low = np.zeros(1 << 16, bool)  # most shingles end here
+                    low[(it.grams & np.uint64(0xFFFF)).astype(int)] = True
+                for row, _, grams, to, _ in _shingles(batch.column(1), part):
+                    maybe = np.flatnonzero(low[(grams & np.uint64(0xFFFF)).astype(int)])
+                    maybe = maybe[it.look(grams[maybe]) >= 0]
+                    out = {k: [] for k in ("doc_id", "start_word", "n_words", "fingerprint", "grams")}
+                    for d in np.unique(np.searchsorted(to, maybe, "right") - 1).tolist():
+                        own = grams[to[d] : to[d + 1]]
+                        found = windows_of(own, it, part, similarity)
+                        if not found or ids[row + d] is None:
+                            continue
+                        at, n = np.array([s for s, _ in found]), np.array([max(1, w - part + 1) for _, w in found])
+                        out["fingerprint"] += simhash(own, it.weigh(own), at, n).view(np.int64).tolist()
+                        out["grams"] += [own[s : s + m].view(np.int64).tolist() for s, m in zip(at, n)]
+                        out["doc_id"] += [ids[row + d]] * len(found)
+                        out["start_word"] += at.tolist()
+                        out["n_words"] += [w for _, w in found]
+                    yield pa.RecordBatch.from_pydict(out, schema)
 
     windows = rows.mapInArrow(storage.tidy(fingerprint), "doc_id long, start_word long, n_words int, fingerprint long, grams array<long>")
     shift, cut = 0, []
@@ -216,21 +242,23 @@ def _pass(spark, rows: DataFrame, items: Items, size: int, similarity: float) ->
         cut.append(F.struct(F.lit(block).cast("long").alias("block"), value.cast("long").alias("value")))
         shift += width
     windows = windows.withColumn("__cut", F.explode(F.array(*cut))).select("*", "__cut.block", "__cut.value").drop("__cut")
-    index, keys = index_of(spark, items), len(items.ids) * sum(len(list(combinations(range(w), n))) for w in _WIDTHS for n in range(FLIPS + 1))
+    index = reduce(DataFrame.unionAll, [index_of(spark, it) for it in items.values()]) if items else spark.createDataFrame([], "n_words int, block long, value long, item long")
+    keys = sum(len(it.ids) for it in items.values()) * sum(len(list(combinations(range(w), n))) for w in _WIDTHS for n in range(FLIPS + 1))
     if keys <= BROADCAST_KEYS:
         index = F.broadcast(index)
     near = windows.join(index, ["n_words", "block", "value"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, prints = shared.value, {}
+        prints: dict = {}
         for batch in batches:
             out, seen = [], set()
             for doc, start, n, item, grams in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                it = shared.value[min(n, size)]
                 if (doc, start, n, item) in seen:  # another block of the same candidate
                     continue
                 seen.add((doc, start, n, item))
                 window = np.array(grams, np.int64).view(np.uint64).tolist()
-                if not prints.setdefault(item, it.bags[item].keys()) & set(window):
+                if not prints.setdefault((min(n, size), item), it.bags[item].keys()) & set(window):
                     continue
                 s = it.similarity(item, window)
                 if s >= similarity - 1e-12:

@@ -1,10 +1,12 @@
 """Odd inputs of each operator, and what plain computations say of them."""
 
+import base64
 import gzip
 import hashlib
 import io
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -63,6 +65,51 @@ def test_archives_of_odd_pages(spark, tmp_path):
     assert empty.count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def _stored(head, payload):
+    """A foreign record's member in which deflate stores the payload as it is."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest())
+    text = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha1:%s\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (digest, head, len(block))
+    squeeze = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return squeeze.compress(text + block + b"\r\n\r\n") + squeeze.flush()
+
+
+def _pages_at_every_offset(data, steps):
+    for split in steps:
+        found = []
+        for begin in range(0, len(data), split):
+            found += [warc.decode_record(r)["page_id"] for r in warc.records_in(io.BytesIO(data), len(data), begin, min(begin + split, len(data)))]
+        yield found
+
+
+def test_archives_within_records_are_none_of_the_files():
+    """Two members in the payload of one that is stored as it is: rows don't depend on where ranges begin."""
+    own = lambda i, text: warc.encode_record(i, None, text, hashlib.sha1(text).hexdigest(), None)
+    inner = own(98, b"inner " * 30) + own(99, b"innermost " * 20)
+    foreign = own(1, b"first") + _stored(2, inner + bytes(range(256))) + own(3, b"third") + _stored(4, inner) + own(5, b"last")
+    assert foreign.count(inner) == 2
+    for found in _pages_at_every_offset(foreign, range(17, len(foreign) + 1, 31)):
+        assert found == [1, 2, 3, 4, 5]
+    for at in range(len(foreign)):
+        ends = [[warc.decode_record(r)["page_id"] for r in warc.records_in(io.BytesIO(foreign), len(foreign), *span)] for span in ((0, at), (at, len(foreign)))]
+        assert ends[0] + ends[1] == [1, 2, 3, 4, 5]
+
+
+def test_the_writer_makes_no_member_that_holds_another(monkeypatch):
+    rng = np.random.default_rng(3)
+    inner = warc.encode_record(99, None, b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), None)
+    noise = rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
+    payload = noise + inner + noise  # noise is stored as it is, and with it the member
+    raw = warc._member([b"x" * 100 + payload])
+    assert inner in raw and warc._holds_record(raw)
+    member = warc.encode_record(1, "u", payload, hashlib.sha1(payload).hexdigest(), None)
+    assert not warc._holds_record(member) and warc.decode_record(zlib.decompress(member, 31))["payload"] == payload
+    monkeypatch.setattr(warc, "CHAIN", 0)
+    data = member + warc.encode_record(2, None, b"y", hashlib.sha1(b"y").hexdigest(), None)
+    for found in _pages_at_every_offset(data, (997, 20_000, 61_000, len(data))):
+        assert found == [1, 2]
+
+
 # Nearest neighbours
 
 
@@ -315,3 +362,24 @@ def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     for a, b in zip(whole, words.word_hashes(data, ends)):
         assert (a == b).all()
     assert sum(stop - row for row, stop, _, _ in words.chunks(texts)) == len(texts)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_passes_over_the_benchmark_change_nothing(spark, monkeypatch, at_once):
+    """Items that share a passage weigh it by the whole benchmark, however many are compared at a time."""
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    shared = word(12)
+    items = [(k, " ".join([*word(int(rng.integers(6, 14))), *shared])) for k in range(30)] + [(30, "one two"), (31, "three")]
+    docs = []
+    for d, (_, text) in enumerate(items * 2):
+        piece = text.split()
+        if d % 3:
+            piece[int(rng.integers(len(piece)))] = "x"
+        docs.append((d, " ".join([*word(30), *piece, *word(9)])))
+    docs, bench = spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: {(r["doc_id"], r["item_id"]): (round(r["similarity"], 12), r["start_word"], r["n_words"]) for r in rows}
+    whole = key(decontaminate.find(docs, bench, similarity=0.7).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+    monkeypatch.setattr(decontaminate, "SHINGLES_AT_ONCE", 40 * at_once)
+    assert len(whole) > 25 and key(decontaminate.find(docs, bench, similarity=0.7).collect()) == whole

@@ -42,8 +42,9 @@ PARTS = 8
 SKETCH = 8
 #: Up to this many ids (16 MB) the documents to verify are picked by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: n-grams that are known as common at most (16 bytes each), and n-grams that a task looks through at a time for those it has twice.
-COMMON, AT_ONCE = 1 << 20, 1 << 21
+#: n-grams that are known as common at most (16 bytes each), how often such a one is counted at least, and n-grams that a task looks
+#: through at a time for those it has twice.
+COMMON, OFTEN, AT_ONCE = 1 << 17, 4, 1 << 19
 #: Sets that a task remembers, so as to emit equal ones once.
 REMEMBER = 500_000
 _SKETCHES = [f"p{i}" for i in range(SKETCH)]
@@ -312,7 +313,7 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, t
     folder = storage.scratch(spark, "ngrams")
     made = storage.save(classes(docs, n, doc_id, text), f"{folder}/classes")
     rows, repeated = made.where("gram is null").drop("gram", "times"), made.where("gram is not null")
-    common = repeated.groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON).toArrow()
+    common = repeated.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "gram").limit(COMMON).toArrow()
     order = Order(*(common[c].to_numpy().astype(np.int64) for c in ("gram", "times")))
     present = rows.where("doc is not null and size > 0")
     known = present.groupBy("set_id").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("size", *_SKETCHES)])

@@ -254,9 +254,8 @@ def cluster(vectors: DataFrame, seeds: DataFrame, rounds: int, dims: int) -> Dat
     centroids = lloyd(blocks, centroids, rounds)
     found = storage.save(assigned(blocks, centroids), f"{folder}/assigned")
     storage.remove(spark, f"{folder}/trees")
-    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    sums = sums.crossJoin(F.broadcast(found.agg(F.sum("distance").alias("inertia"))))  # one row
-    named = [(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
-    names = spark.createDataFrame(named, "cluster int, centroid_sha256 string")
-    each = F.broadcast(sums.join(F.broadcast(names), "cluster"))  # a row for each centroid
-    return found.join(each, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    sums = {r["cluster"]: r["s"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # a row for each centroid
+    whole = sum(sums.values())
+    names = [hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest() for c in centroids]
+    each = spark.createDataFrame([(k, s, whole, names[k]) for k, s in sorted(sums.items())], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

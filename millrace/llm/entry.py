@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest is trained on made findings with labels; its verdict on every candidate of the documents decides."""
     docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = secret_scan.scan(secret_scan.candidates(docs), secret_scan.train(secret_scan.labelled_findings(spark)))
+    out = secret_scan.scan(secret_scan.candidates(docs), secret_scan.trained(spark))
     return out.select("doc_id", "start", "stop", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,18 +34,26 @@ from . import storage, words
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-.@:]{16,}")
 #: Labelled findings that the forest is trained on, at most.
 TRAINING_ROWS = 20_000
-TREES, DEPTH, SEED = 20, 8, 11
+TREES, DEPTH, SEED = 24, 10, 11
 #: Findings that `labelled_findings` makes.
 EXAMPLES = 6000
 #: Characters on either side in which neighbouring words are looked for.
 NEAR = 32
-#: Words that announce a secret (fixed values).
-ANNOUNCING = ("token", "password", "passwd", "secret", "apikey", "api_key", "key", "auth", "credential", "bearer")
+#: Words that announce a secret, in English, German, French and Spanish (fixed values), and what stands between them and it.
+ANNOUNCING = (
+    "token", "password", "passwd", "secret", "apikey", "api_key", "key", "auth", "credential", "bearer",
+    "passwort", "kennwort", "schlüssel", "geheimnis", "zugangsdaten", "mot de passe", "clé", "jeton", "identifiant secret", "contraseña", "clave", "secreto",
+)
+SAYS = ("is", "ist", "lautet", "est", "es")
 #: A value in quotes, or up to a space, after an announcing word and its sign.
-ANNOUNCED = re.compile(r"(?i)(?:bearer[ \t]+|(?:" + "|".join(ANNOUNCING) + r""")[\w\-]{0,20}["']?[ \t]*(?:[=:]|\bis\b)[ \t]*)(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""")
+ANNOUNCED = re.compile(r"(?i)(?:bearer[ \t]+|(?:" + "|".join(sorted(ANNOUNCING, key=len, reverse=True)) + r""")[\w\-]{0,20}["']?[ \t]*(?:[=:]|\b(?:""" + "|".join(SAYS) + r""")\b)[ \t]*)(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""")
+#: Features of the words before and after: hashes, of which each has a place; the nearest word counts most.
+BEFORE, AFTER = 32, 16
 FEATURES = ["length", "digits", "upper", "lower", "marks", "entropy", "changes", "pairs", "covered", "path", "address", "announced", "assigned", "quoted", "hexadecimal"]
+FEATURES += [f"before{i}" for i in range(BEFORE)] + [f"after{i}" for i in range(AFTER)]
 _SCHEMA = "doc_id long, start long, stop long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
 _WORD = re.compile(r"[a-z]{3,}")
+_NEIGHBOUR = re.compile(r"[^\W\d_]{2,}")
 _TELLING = re.compile(r"\d|.[A-Z]")
 #: Words of the lines around made findings (fixed values).
 PROSE = "the a of and to in with for on from this that service server client when runs after before each deploy config value used here new old file note please see also check log main test data user team build time first last some other house river under light garden paper music friend window story".split()
@@ -54,8 +63,17 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Counter) -> list[float]:
-    """FEATURES of text[start:stop]. vocabulary and pairs: the words and letter pairs of the text's prose."""
+def _neighbours(words_: list[str], places: int) -> list[float]:
+    """The place of each word's hash holds one over its distance."""
+    out = [0.0] * places
+    for i, w in enumerate(words_):
+        at = zlib.crc32(w.encode()) % places
+        out[at] = max(out[at], 1 / (1 + i))
+    return out
+
+
+def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Counter, total: int) -> list[float]:
+    """FEATURES of text[start:stop]. vocabulary and pairs: the words and letter pairs (total of them) of the text's prose."""
     c = text[start:stop]
     n, low = len(c), c.lower()
     kinds = [_kind(x) for x in c]
@@ -63,16 +81,18 @@ def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Coun
     seen = Counter(c)
     entropy = -sum(v / n * math.log2(v / n) for v in seen.values())
     letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
-    total = sum(pairs.values()) + 676
-    likely = sum(math.log((pairs[p] + 1) / total) for p in letters) / len(letters) if letters else -10.0
+    likely = sum(math.log((pairs[p] + 1) / (total + 676)) for p in letters) / len(letters) if letters else -10.0
     covered = sum(len(w) for w in _WORD.findall(low) if w in vocabulary) / n
     before, after = text[max(0, start - NEAR) : start].lower(), text[stop : stop + NEAR].lower()
     head = low.partition("=")[0] if "=" in low[:-2] else ""
-    announced = any(w in before.rsplit("\n", 1)[-1][-24:] or w in head for w in ANNOUNCING)
+    line = before.rsplit("\n", 1)[-1]
+    announced = any(w in line[-24:] or w in head for w in ANNOUNCING)
+    near = [*_NEIGHBOUR.findall(line), *_NEIGHBOUR.findall(head)][::-1][:4]
     return [
         n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, entropy, changes, likely, covered,
         float(c.count("/") >= 2 or "://" in c), float("@" in c or c.count(".") >= 2), float(announced), float("=" in c[:-2] or before.rstrip(' "\'').endswith(("=", ":"))),
         float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]), float(all(x in "0123456789abcdef" for x in c)),
+        *_neighbours(near, BEFORE), *_neighbours(_NEIGHBOUR.findall(after.split("\n", 1)[0])[:2], AFTER),
     ]
 
 
@@ -114,7 +134,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     prose = CANDIDATE.sub(" ", whole).lower()
                     vocabulary = set(_WORD.findall(prose))
                     pairs = Counter(map("".join, zip(prose, prose[1:])))
-                    rows += [(doc, a, b, whole[a:b], *describe(whole, a, b, vocabulary, pairs)) for a, b in spans]
+                    total = max(0, len(prose) - 1)
+                    rows += [(doc, a, b, whole[a:b], *describe(whole, a, b, vocabulary, pairs, total)) for a, b in spans]
                 cols = list(zip(*rows)) or [()] * (4 + len(FEATURES))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(FEATURES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "start", "stop", "candidate", *FEATURES])
@@ -127,8 +148,8 @@ def _made_secret(r: random.Random) -> str:
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     any_ = lambda of, n: "".join(r.choices(of, k=n))
     alnum, word = upper + lower + digits, r.choice(ANNOUNCING)
-    say = lambda x: r.choice([f"{word} = \1{x}\2", f"{word}: \1{x}\2", f'{word}="\1{x}\2"', f"{word}=\1{x}\2", f"{word} is \1{x}\2"])
-    kind = r.randrange(9)
+    say = lambda x: r.choice([f"{word} = \1{x}\2", f"{word}: \1{x}\2", f'{word}="\1{x}\2"', f'{word} = "\1{x}\2"', f"{word}: '\1{x}\2'", f"{word}=\1{x}\2", f"{word} {r.choice(SAYS)} \1{x}\2"])
+    kind = r.randrange(10)
     if kind == 0:
         return r.choice(["\1{}\2", f"{word} \1{{}}\2", f"{word}: \1{{}}\2"]).format(r.choice(["AKIA", "ASIA"]) + any_(upper + (digits if r.random() < 0.8 else ""), 16))
     if kind == 1:
@@ -141,7 +162,7 @@ def _made_secret(r: random.Random) -> str:
         return r.choice(["\1{}\2", f"{word}: \1{{}}\2", "bearer \1{}\2"]).format(f"eyJ{any_(alnum, r.randint(15, 40))}.eyJ{any_(alnum + '_-', r.randint(20, 80))}.{any_(alnum + '_-', 43)}")
     if kind == 5:
         return say(any_(alnum, r.choice([16, 20, 24, 32, 40, 48, 64])))
-    if kind == 6:
+    if kind in (6, 9):
         return say(any_(digits + "abcdef", r.choice([16, 18, 20, 24, 32, 40, 64])))
     if kind == 7:
         return say(any_(alnum + "+/", r.choice([43, 86])) + "=" * r.choice([1, 2]))
@@ -153,7 +174,8 @@ def _made_harmless(r: random.Random) -> str:
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     any_ = lambda of, n: "".join(r.choices(of, k=n))
     words_ = lambda n, glue: glue.join(r.choices(PROSE, k=n))
-    hexes, kind = digits + "abcdef", r.randrange(12)
+    hexes, kind = digits + "abcdef", r.randrange(14)
+    sums = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "revision", "etag", "hash", "fingerprint", "signature", "Prüfsumme", "empreinte", "huella", "somme de contrôle", "suma de control"]
     if kind == 0:
         return f"\1http{r.choice(['', 's'])}://{words_(2, '.')}.{r.choice(['com', 'org', 'net'])}/{words_(2, '/')}/{any_(lower + digits, r.randint(1, 12))}{r.choice(['', '.html', '?id=' + any_(digits, 6)])}\2"
     if kind == 1:
@@ -165,7 +187,7 @@ def _made_harmless(r: random.Random) -> str:
     if kind == 4:
         return f"{r.choice(['row', 'job', 'request', 'uuid'])} \1{'-'.join(any_(hexes, n) for n in (8, 4, 4, 4, 12))}\2"
     if kind == 5:
-        return f"{r.choice(['commit', 'sha1', 'md5 of it', 'checksum', 'digest', 'revision', 'etag'])}{r.choice([' ', ': '])}\1{any_(hexes, r.choice([32, 40, 64]))}\2"
+        return f"{r.choice(sums)}{r.choice([' ', ': ', ' of it '])}\1{any_(hexes, r.choice([32, 40, 64]))}\2"
     if kind == 6:
         return f"{r.choice(['open', 'in', 'see'])} \1/{words_(r.randint(3, 5), '/')}{any_(digits, r.randint(0, 2))}.{r.choice(['py', 'txt', 'log', 'conf', 'Java'])}\2"
     if kind == 7 and r.random() < 0.5:
@@ -178,6 +200,11 @@ def _made_harmless(r: random.Random) -> str:
         return f"the {r.choice(ANNOUNCING)} is \1{r.choice(PROSE)}\2 {words_(3, ' ')}"
     if kind == 10:
         return f"{r.choice(ANNOUNCING)}: \1{r.choice(['none', 'null', 'string', 'value', 'required', 'optional', 'true', r.choice(PROSE)])}\2"
+    if kind == 11:  # of what is secret, the sum that everybody may know
+        return f"{r.choice(['', 'the '])}{r.choice(ANNOUNCING)} {r.choice(['', 'file ', 'store ', 'ring ', words_(1, '') + ' '])}{r.choice(sums)}{r.choice([': ', ' is ', ' = ', ' '])}\1{any_(hexes, r.choice([32, 40, 64]))}\2"
+    if kind == 12:
+        thing = r.choice([f"the {r.choice(ANNOUNCING)} {r.choice(['', 'file ', 'store '])}", f"{r.choice(['', 'the '])}{r.choice(ANNOUNCING)}.{r.choice(['pem', 'json', 'bin', 'csv', 'zip'])}"])
+        return f"{r.choice(sums)} {r.choice(['of', 'for', 'von', 'de'])} {thing}{r.choice(['is ', '= ', ': ', ' '])}\1{any_(hexes, r.choice([32, 40, 64]))}\2"
     return f"\1{words_(r.randint(3, 5), '-').title()}{any_(digits + upper, r.randint(0, 1))}\2"
 
 
@@ -195,6 +222,18 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
     return found.where(meant).drop("value").withColumn("label", (F.col("doc_id") % 2).cast("double"))
 
 
+#: Forests that were fitted on made findings, by application, number and seed.
+_FITTED: dict[tuple[str, int, int], object] = {}
+
+
+def trained(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED):
+    """The forest for `labelled_findings`, fitted once in an application: these are the same whatever is scanned."""
+    key = (spark.sparkContext.applicationId, n, seed)
+    if key not in _FITTED:
+        _FITTED[key] = train(labelled_findings(spark, n, seed))
+    return _FITTED[key]
+
+
 def known_formats(candidate: Column, announced: Column) -> Column:
     """A label by format alone, to hold verdicts against: 1 for formats that only secrets have, 0 for shapes known to be harmless, else null."""
     issued = candidate.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})$")

@@ -31,6 +31,24 @@ def test_a_trace_of_an_unknown_or_unwritten_column_is_empty(spark):
     assert (step["writes"], step["filters"], step["joins"], step["via_temp_views"], step["upstream_columns"]) == ("cast c", "where: y > 1 [a.y,a.z]", "", "", "a.x")
 
 
+def test_two_writers_of_a_table_keep_their_predicates_apart(spark):
+    """By statement, and by cell: two cells that write from one table are two steps."""
+    rows = [("a.x", "t.x", "cast", "c", 1, 1, 10), ("b.x", "t.x", "cast", "d", 2, 2, 20), ("a.x", "t.x", "cast", "e", 3, 3, 30), ("a.k", "t.__filter__", "filter", "k > 1", 1, 1, 10), ("b.k", "t.__filter__", "filter", "k > 2", 2, 2, 20), ("v.k", "v.__filter__", "filter", "v", 9, 9, 90), ("v.x", "t.x", "cast", "f", 4, 4, 40)]
+    raw = spark.createDataFrame([(s, t, kind, "f.py", e, line, "certain", i, stmt, cell) for i, (s, t, kind, e, stmt, cell, line) in enumerate(rows)], EDGE + ", stmt_id int, source_cell int")
+    raw = raw.unionByName(raw.where("source_col = 'a.x' and stmt_id = 1").withColumns({"source_col": lineage.F.lit("s.y"), "target_col": lineage.F.lit("v.x"), "stmt_id": lineage.F.lit(9)}))
+    resolved = raw.where("not startswith(source_col, 'v.') and not startswith(target_col, 'v.')")
+    steps = {(r["source_table"], r["source_cell"]): (r["writes"], r["filters"], r["via_temp_views"]) for r in paths.lineage_trace(resolved, raw, "t.x").collect()}
+    assert steps == {("a", 1): ("cast c", "where: k > 1 [a.k]", ""), ("b", 2): ("cast d", "where: k > 2 [b.k]", ""), ("a", 3): ("cast e", "", ""), ("v", 4): ("cast f", "where: v [v.k]", "v")}
+    unscoped = paths.lineage_trace(resolved, raw.drop("stmt_id"), "t.x").collect()
+    assert {r["filters"] for r in unscoped if r["source_table"] != "v"} == {"where: k > 1 [a.k]; where: k > 2 [b.k]"}
+
+
+def test_steps_of_a_path_say_what_their_edges_say(spark):
+    edges = edges_of(spark, ("raw.*", "a.*", "passthrough", None), ("a.x", "b.x", "cast", "c"))
+    steps = [(r["step"], r["source_col"], r["target_col"], r["expression"], r["source_line"], r["confidence"]) for r in paths.path_steps(paths.trace_paths(edges, "b.x")).orderBy("step").collect()]
+    assert steps == [(1, "raw.x", "a.x", None, 0, "certain"), (2, "a.x", "b.x", "c", 1, "certain")]
+
+
 def test_one_cycle_is_named(spark):
     edges = edges_of(spark, *[(f"t.{i}", f"t.{i + 1}", "cast", None) for i in range(9)], ("t.7", "t.3", "cast", None), ("s.x", "s.x", "cast", None))
     assert [r["error"] for r in lineage.cycle_warning(edges.where("source_col != 's.x'")).collect()] == ["Circular lineage detected involving: ['t.3', 't.4', 't.5', 't.6', 't.7']"]

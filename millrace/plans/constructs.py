@@ -135,7 +135,7 @@ union all select 'scalar', o_orderkey from orders where cast(round(o_totalprice
 
 
 def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain, collecting, approximate (within a tenth of the exact count), quantile and spread aggregates."""
+    """Plain, collecting, approximate (within a tenth of the exact count, and one of the exact median), quantile and spread aggregates."""
     (lineitem,) = _read(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     return lineitem.groupBy("l_returnflag", "l_linestatus").agg(
@@ -143,26 +143,30 @@ def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_set(F.col("l_linenumber"))), lambda x: x.cast("string")), "+").alias("lines"),
         F.array_join(F.array_sort(F.collect_set(F.when(q > 49, F.date_format("l_shipdate", "yyyy")))), ",").alias("years"),
         F.count_distinct("l_suppkey").alias("suppliers"), (F.abs(F.approx_count_distinct("l_partkey") - F.count_distinct("l_partkey")) <= F.count_distinct("l_partkey") / 10).alias("close"),
+        (F.abs(F.percentile_approx("l_quantity", 0.5, 10_000) - F.percentile("l_quantity", F.lit(0.5))) <= 1).alias("near"),
         F.percentile("l_quantity", F.lit(0.5)).alias("median"), F.round(F.stddev_samp(q), 6).alias("sd"), F.round(F.stddev_pop(q), 6).alias("sd_pop"), F.round(F.variance(q), 6).alias("variance"),
     )
 
 
 AGGREGATES = """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as bigint)) as bigint) as total, count(*) as n, round(avg(cast(l_quantity as bigint)), 6) as mean, max(l_quantity) as most, min(l_quantity) as least,
   array_to_string(list_sort(array_agg(distinct l_linenumber)), '+') as lines, coalesce(string_agg(distinct case when l_quantity > 49 then strftime(l_shipdate, '%Y') end, ',' order by case when l_quantity > 49 then strftime(l_shipdate, '%Y') end), '') as years,
-  count(distinct l_suppkey) as suppliers, true as close, quantile_cont(l_quantity, 0.5) as median, round(stddev_samp(l_quantity), 6) as sd, round(stddev_pop(l_quantity), 6) as sd_pop, round(var_samp(l_quantity), 6) as variance
+  count(distinct l_suppkey) as suppliers, true as close, true as near, quantile_cont(l_quantity, 0.5) as median, round(stddev_samp(l_quantity), 6) as sd, round(stddev_pop(l_quantity), 6) as sd_pop, round(var_samp(l_quantity), 6) as variance
 from lineitem group by 1, 2"""
 
 
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CUBE and ROLLUP, and which keys a row was grouped by."""
+    """CUBE, ROLLUP and stated GROUPING SETS, and which keys a row was grouped by."""
     (orders,) = _read(spark, sf_dir, "orders")
     cube = orders.cube("o_orderstatus", "o_orderpriority").agg(F.lit("cube").alias("kind"), F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
     rolled = orders.rollup("o_orderstatus", "o_orderpriority").agg(F.lit("rollup").alias("kind"), F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
-    return cube.unionAll(rolled)
+    sets = [[F.col("o_orderstatus"), F.col("o_orderpriority")], [F.col("o_orderpriority")], []]
+    stated = orders.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.lit("sets").alias("kind"), F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
+    return cube.unionAll(rolled).unionAll(stated)
 
 
 GROUPING_SETS = """select o_orderstatus, o_orderpriority, 'cube' as kind, cast(grouping(o_orderstatus, o_orderpriority) as bigint) as level, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)
-union all select o_orderstatus, o_orderpriority, 'rollup', cast(grouping(o_orderstatus, o_orderpriority) as bigint), count(*) from orders group by rollup (o_orderstatus, o_orderpriority)"""
+union all select o_orderstatus, o_orderpriority, 'rollup', cast(grouping(o_orderstatus, o_orderpriority) as bigint), count(*) from orders group by rollup (o_orderstatus, o_orderpriority)
+union all select o_orderstatus, o_orderpriority, 'sets', cast(grouping(o_orderstatus, o_orderpriority) as bigint), count(*) from orders group by grouping sets ((o_orderstatus, o_orderpriority), (o_orderpriority), ())"""
 
 
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ ROUNDS = 12
 
 def table_of(column_id: Column) -> Column:
     """What precedes the last dot; without a dot, the whole id."""
-    return F.when(F.instr(column_id, ".") > 0, F.regexp_extract(column_id, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(column_id)
+    before = F.char_length(column_id) - F.char_length(F.substring_index(column_id, ".", -1)) - 1
+    return F.when(F.instr(column_id, ".") > 0, F.substring(column_id, F.lit(1), before)).otherwise(column_id)
 
 
 def column_of(column_id: Column) -> Column:

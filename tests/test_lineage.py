@@ -51,3 +51,9 @@ def test_short_names_with_one_longer_name_get_it(spark):
     edges = spark.createDataFrame([("uc.prod.orders.id", "x.id", "cast", "1"), ("orders.id", "y.id", "cast", "1"), ("staging.t.id", "prod.t.id", "cast", "1"), ("t.id", "nodot", "cast", "1"), (None, "y.id", "cast", "1")], EDGE)
     rows = {(r["source_col"], r["target_col"]) for r in lineage.resolve_short_names(edges).collect()}
     assert rows == {("uc.prod.orders.id", "x.id"), ("uc.prod.orders.id", "y.id"), ("staging.t.id", "prod.t.id"), ("t.id", "nodot"), (None, "y.id")}
+
+
+def test_parts_of_names(spark):
+    names = ["a.b.c", "a.", ".x", "nodot", "", None, "a\n.b", "é.ü.x", "..", "t.*"]
+    rows = spark.createDataFrame([(n,) for n in names], "id string").select(lineage.table_of(lineage.F.col("id")), lineage.column_of(lineage.F.col("id"))).collect()
+    assert [tuple(r) for r in rows] == [("a.b", "c"), ("a", ""), ("", "x"), ("nodot", ""), ("", ""), (None, ""), ("a\n", "b"), ("é.ü", "x"), (".", ""), ("t", "*")]

@@ -96,11 +96,29 @@ def describe(text: str, start: int, stop: int, vocabulary: set[str], pairs: Coun
     ]
 
 
+def _announced(text: str) -> Iterator[re.Match]:
+    """The matches of ANNOUNCED, tried only where an announcing word stands."""
+    low = text.lower()
+    if len(low) != len(text):  # places differ
+        yield from ANNOUNCED.finditer(text)
+        return
+    starts, end = set(), 0
+    for word in ANNOUNCING:
+        at = low.find(word)
+        while at >= 0:
+            starts.add(at)
+            at = low.find(word, at + 1)
+    for at in sorted(starts):
+        if at >= end and (m := ANNOUNCED.match(text, at)):
+            end = m.end()
+            yield m
+
+
 def spans_of(text: str) -> list[tuple[int, int]]:
     """Where the candidates are. Of a run and an announced value that overlap the run counts if it holds the value, else the value."""
     runs = [m.span() for m in CANDIDATE.finditer(text) if _TELLING.search(m.group())]
     values = []
-    for m in ANNOUNCED.finditer(text):
+    for m in _announced(text):
         a, b = m.span(m.lastindex)
         if m.lastindex == 3:
             b = a + (len(m.group(3).rstrip(".,;)")) or b - a)

@@ -246,6 +246,14 @@ def test_look_alikes_that_nobody_made_findings_of(spark):
     assert len({r["doc_id"] for r in rows if r["doc_id"] >= len(sums) and r["is_secret"]}) >= 0.9 * len(announced)
 
 
+def test_announced_values_are_those_of_the_whole_pattern():
+    rng = np.random.default_rng(7)
+    bits = ["password", "Passwort", "KEY", "key", "apikey", "mot de passe", "clé", "bearer ", "Bearer\t", ": ", "=", " is ", " es ", "'", '"', "x1y2", "-", "_id", " ", "\n", "İ", "contraseña"]
+    for n in range(3000):
+        text = "".join(rng.choice(bits[: 22 if n % 9 == 0 else 20], int(rng.integers(1, 16))))
+        assert [m.span() for m in secret_scan._announced(text)] == [m.span() for m in secret_scan.ANNOUNCED.finditer(text)]
+
+
 def _spans_by_hand(text):
     """Runs of the candidates' signs and announced values, character by character; a value counts unless a run holds it."""
     signs = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.@:")

@@ -195,7 +195,7 @@ def _made_harmless(r: random.Random) -> str:
     hexes, kind = digits + "abcdef", r.randrange(14)
     sums = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "revision", "etag", "hash", "fingerprint", "signature", "Prüfsumme", "empreinte", "huella", "somme de contrôle", "suma de control"]
     if kind == 0:
-        return f"\1http{r.choice(['', 's'])}://{words_(2, '.')}.{r.choice(['com', 'org', 'net'])}/{words_(2, '/')}/{any_(lower + digits, r.randint(1, 12))}{r.choice(['', '.html', '?id=' + any_(digits, 6)])}\2"
+        return f"\1http{r.choice(['', 's'])}://{words_(2, '.')}.{r.choice(['com', 'org', 'net'])}/{words_(2, '/')}/{any_(r.choice([lower, upper + lower]) + digits, r.randint(1, 12))}{r.choice(['', '/' + any_(digits, 2) + '/' + r.choice(PROSE), '.html', '?id=' + any_(digits, 6)])}\2"
     if kind == 1:
         return f"{r.choice(['mail', 'write to', 'from', 'contact'])} \1{words_(2, '.')}{any_(digits, r.randint(1, 4))}@{words_(2, '-')}.example.com\2"
     if kind == 2:

@@ -245,7 +245,7 @@ def cluster(vectors: DataFrame, seeds: DataFrame, rounds: int, dims: int) -> Dat
     """vec_id, cluster, distance, cluster_inertia, inertia and centroid_sha256 of every vector (vec_id, vector of dims longs).
 
     seeds holds the first centroids in its order; as many as there are take part. Defined results: null ids are kept as they are,
-    repeated rows take part each; components of LARGEST or more raise an error; without vectors or seeds the result is empty.
+    repeated rows take part each; components of LARGEST or more raise an error; without vectors the result is empty. Ids are whole numbers.
     """
     spark = vectors.sparkSession
     centroids = np.array([r["vector"] for r in seeds.collect()], np.int64).reshape(-1, dims)

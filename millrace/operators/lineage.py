@@ -44,9 +44,13 @@ def normalize_case(edges: DataFrame) -> DataFrame:
 
 
 def dedup_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
-    """One edge for each source and target: the last by `order`, further columns breaking ties."""
+    """One edge for each source and target: the last by `order`, further columns breaking ties.
+
+    A struct with texts is aggregated by sorting, so edges are dealt first, to be sorted once, and sorted by a hash, as ids begin alike.
+    """
     rest = sorted(c for c in edges.columns if c not in ("source_col", "target_col", order))
-    last = edges.groupBy("source_col", "target_col").agg(F.max(F.struct(order, *rest)).alias("last"))
+    dealt = edges.repartition("source_col", "target_col")
+    last = dealt.groupBy(F.xxhash64("source_col", "target_col").alias("__hash"), "source_col", "target_col").agg(F.max(F.struct(order, *rest)).alias("last"))
     return last.select("source_col", "target_col", *[f"last.{c}" for c in edges.columns if c not in ("source_col", "target_col")])
 
 

@@ -57,3 +57,17 @@ def test_parts_of_names(spark):
     names = ["a.b.c", "a.", ".x", "nodot", "", None, "a\n.b", "é.ü.x", "..", "t.*"]
     rows = spark.createDataFrame([(n,) for n in names], "id string").select(lineage.table_of(lineage.F.col("id")), lineage.column_of(lineage.F.col("id"))).collect()
     assert [tuple(r) for r in rows] == [("a.b", "c"), ("a", ""), ("", "x"), ("nodot", ""), ("", ""), (None, ""), ("a\n", "b"), ("é.ü", "x"), (".", ""), ("t", "*")]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_sorted_once_after_they_are_dealt(spark):
+    plan = _plan(lineage.dedup_edges(spark.createDataFrame([("a.x", "b.x", "cast", "1", 1)], EDGE + ", seq int")))
+    assert "SortAggregate" in plan and "SortAggregate" not in plan[plan.index("Exchange") :]
+
+
+@pytest.mark.parametrize("name", ["g07_file_stats", "g08_error_files", "g13_impact", "g23_file_confidence", "g34_warnings", "g47_severity_counts"])
+def test_edges_that_are_read_several_times_are_made_once(spark, name):
+    assert "SortAggregate" not in _plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import numbered
 from millrace.sources.shared import Work, cut, union
 
 #: From the least to the most sure (fixed values); anything else is less sure than all.
@@ -40,7 +39,19 @@ def layers(edges: DataFrame) -> DataFrame:
             layer += 1
         if not done:
             return edges.sparkSession.createDataFrame([], "node string, layer int, place int, cyclic boolean")
-        return cut(numbered(union(done), ["layer"], ["node"], "place").select("node", "layer", "place", "cyclic"))
+        return cut(_placed(union(done), work).select("node", "layer", "place", "cyclic"))
+
+
+def _placed(rows: DataFrame, work: Work) -> DataFrame:
+    """rows with `place`, a node's number by name within its layer. One layer may hold most nodes, so ranges of nodes are numbered apart, and
+    moved on by what lies before them in their layer."""
+    ranged = rows.repartitionByRange("layer", "node").sortWithinPartitions("layer", "node")
+    # An id grows by one within a partition, whose number its upper bits hold.
+    ranged = work.cut(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    sizes = work.cut(ranged.groupBy("layer", "part").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    earlier = Window.partitionBy("layer").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("layer", "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return ranged.join(before, ["layer", "part"]).withColumn("place", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int"))
 
 
 def _level(confidence: Column) -> Column:

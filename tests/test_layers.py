@@ -3,6 +3,7 @@
 from test_paths import EDGE, edges_of
 
 from millrace.operators import layers
+from millrace.sources.shared import setting
 
 
 def layers_of(edges):
@@ -44,3 +45,15 @@ def test_the_best_path_counts(spark):
 def test_a_path_is_as_sure_as_its_least_sure_edge(spark):
     edges = [("a", "b", "certain"), ("b", "c", "approximate"), ("c", "d", "certain"), ("a", "b", None), ("d", "d", "certain")]
     assert sure(spark, "a", *edges) == {"b": ("certain", 1), "c": ("approximate", 2), "d": ("approximate", 3)}
+
+
+def test_a_layer_is_numbered_by_many_tasks(spark):
+    """All nodes but one lie in one layer: places go on from one range of names to the next, and no window holds the layer."""
+    edges = spark.range(20_000).selectExpr("'root' as source_col", "concat('n', id) as target_col")
+    found = layers.layers(edges)
+    rows = [(r["node"], r["layer"], r["place"]) for r in found.collect()]
+    want = sorted(f"n{i}" for i in range(20_000))
+    assert sorted(rows) == sorted([("root", 0, 1), *((n, 1, i) for i, n in enumerate(want, 1))])
+    with layers.Work(spark) as work, setting(spark, "spark.sql.adaptive.enabled", "false"):
+        placed = layers._placed(found.drop("place"), work)
+        assert placed.select("part").distinct().count() > 4

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.sources.shared import Work
 
-#: Parts that a source's rows are dealt into when they are written, as one source may hold a large share of all.
-SPLITS = 16
+#: Rows of a part, about: a source's rows are dealt into as many parts as that takes, each sorted and written by one task, as one source
+#: may hold a large share of all.
+ROWS = 250_000
 
 
 def _stored(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
@@ -36,16 +37,17 @@ def apply(batch: DataFrame, folder: str) -> list[str]:
     spark = batch.sparkSession
     with Work(spark) as work:
         rows = work.cut(batch.where("source_id is not null and generation is not null"))
-        newest = work.cut(rows.groupBy("source_id").agg(F.max("generation").alias("generation")))
+        newest = work.cut(rows.groupBy("source_id").agg(F.max("generation").alias("generation"), F.ceil(F.count("*") / ROWS).alias("parts")))
         # Of partitions of the batch's sources (others are pruned) one column is read.
         known = _stored(spark, folder, batch).join(newest.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.max("generation").alias("stored"))
-        due = work.cut(newest.join(known, "source_id", "left").where("stored is null or generation >= stored").select("source_id", "generation"))
-        fit = work.cut(rows.join(due, ["source_id", "generation"], "left_semi").select(batch.columns))
+        due = work.cut(newest.join(known, "source_id", "left").where("stored is null or generation >= stored").select("source_id", "generation", "parts"))
+        sources = due.orderBy("source_id").collect()  # a row for each of the batch's sources
+        fit = rows.join(due, ["source_id", "generation"]).withColumn("part", F.pmod(F.xxhash64("source_col", "target_col"), F.col("parts")))
         # Dealt by source and row, so that one source's rows are written by several tasks and few tasks write each source. The row that
         # says that a source has no edges stays, or an older generation could come back.
-        dealt = fit.repartition("source_id", F.pmod(F.xxhash64("source_col", "target_col"), F.lit(SPLITS)))
+        dealt = fit.repartition(max(1, sum(r["parts"] for r in sources)), "source_id", "part").select(batch.columns)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(folder)
-        return [r["source_id"] for r in due.orderBy("source_id").collect()]  # the names of the batch's sources
+        return [r["source_id"] for r in sources]
 
 
 def follow(spark: SparkSession, arrivals: str, schema, folder: str, checkpoint: str, files_at_once: int | None = None) -> None:

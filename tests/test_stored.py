@@ -153,3 +153,14 @@ def test_a_stream_applies_each_arrival_once_and_goes_on_where_it_stopped(spark,
         refresh.follow(spark, arrivals, like.schema, folder, checkpoint)
         assert _files(f"{tmp_path}/graph") == files
     assert _state(spark, folder, like) == [("c.x", "one", 2), ("d.x", "two", 2), ("e.x", "two", 2)]
+
+
+def test_a_large_source_is_written_in_as_many_parts_as_its_rows_take(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "ROWS", 1000, raising=False)
+    batch = spark.range(40_000).selectExpr("concat('a.', id) as source_col", "'b.x' as target_col", "'big' as source_id", "1 as generation")
+    folder = f"file://{tmp_path}/graph"
+    assert refresh.apply(batch.unionByName(batch.limit(10).withColumn("source_id", refresh.F.lit("small"))), folder) == ["big", "small"]
+    stored = refresh.read_graph(spark, folder, batch)
+    assert stored.count() == 40_010
+    sizes = stored.where("source_id = 'big'").groupBy("_metadata.file_path").count().collect()
+    assert len(sizes) > 16 and max(r["count"] for r in sizes) < 8000  # some parts share a task

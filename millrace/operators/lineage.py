@@ -66,10 +66,13 @@ def remove_files(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def reached(edges: DataFrame, column: str, start: str, end: str) -> DataFrame:
-    """node, depth, parent: `column` (depth 0) and all it reaches, going from edges' `start` to their `end`; of several parents the smallest."""
+    """node, depth, parent: `column` (depth 0) and all it reaches, going from edges' `start` to their `end`; of several parents the smallest.
+
+    Edges are read in each round, so they should be written ones.
+    """
     spark = edges.sparkSession
     with Work(spark) as work:
-        steps = work.cut(edges.select(F.col(start).alias("parent"), F.col(end).alias("next")))
+        steps = edges.select(F.col(start).alias("parent"), F.col(end).alias("next"))
         rounds = [work.cut(spark.createDataFrame([(column, 0, None)], "node string, depth int, parent string"))]
         depth = 0
         while True:
@@ -267,15 +270,18 @@ def ambiguity_warnings(known: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that are left when nodes without an incoming or outgoing edge are taken away until none is: empty if there is no cycle."""
+    """Edges that are left when nodes without an incoming or outgoing edge are taken away until none is: empty if there is no cycle.
+
+    What leads nowhere goes first in each round, and what comes from nowhere is looked for in the rest.
+    """
     with Work(edges.sparkSession) as work:
-        left = work.cut(edges)
+        left = edges
         n = left.count()
         while n:
-            sources, targets = left.select("source_col").distinct(), left.select("target_col").distinct()
-            fewer = left.join(targets.withColumnRenamed("target_col", "source_col"), "source_col", "left_semi")
-            fewer = fewer.join(sources.withColumnRenamed("source_col", "target_col"), "target_col", "left_semi")
-            fewer = work.cut(fewer.select(edges.columns))
+            sources = left.select(F.col("source_col").alias("target_col")).distinct()
+            rest = work.cut(left.join(sources, "target_col", "left_semi"))
+            targets = rest.select(F.col("target_col").alias("source_col")).distinct()
+            fewer = work.cut(rest.join(targets, "source_col", "left_semi").select(edges.columns))
             now = fewer.count()
             if now == n:
                 break

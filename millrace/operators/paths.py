@@ -48,7 +48,7 @@ def trace_paths(edges: DataFrame, column: str, max_paths: int = MAX_PATHS) -> Da
     spark = edges.sparkSession
     with Work(spark) as work:
         edge = F.struct(*[F.col(c).cast(t).alias(c) if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in _STEP.items()])
-        into = work.cut(edges.select(F.col("target_col").alias("key"), F.col("source_col").alias("source"), edge.alias("edge")))
+        into = edges.select(F.col("target_col").alias("key"), F.col("source_col").alias("source"), edge.alias("edge"))
         step = ", ".join(f"{c}: {t}" for c, t in {"source_col": "string", "target_col": "string", **_STEP}.items())
         at_hand = spark.createDataFrame([([column], [])], f"back array<string>, steps array<struct<{step}>>")  # from column backwards
         done: list[DataFrame] = []
@@ -119,7 +119,7 @@ def lineage_trace(resolved: DataFrame, raw: DataFrame, column: str, max_steps: i
     table = table_of(F.lit(column))
     with Work(raw.sparkSession) as work:
         missing = {c: F.lit(None).cast("int") if c == "source_cell" else F.lit(0) for c in ("source_cell", "stmt_id") if c not in raw.columns}
-        raw = work.cut(raw.withColumns(missing) if missing else raw)
+        raw = raw.withColumns(missing) if missing else raw
         writers = raw.where((F.col("target_col") == column) & F.contains("source_col", F.lit(".")))
         writers = work.cut(writers.withColumn("source_table", table_of(F.col("source_col"))))
         there = resolved.where((F.col("source_col") == column) | (F.col("target_col") == column)).limit(1).count()

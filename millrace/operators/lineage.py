@@ -68,22 +68,25 @@ def remove_files(edges: DataFrame, files: DataFrame) -> DataFrame:
 def reached(edges: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """node, depth, parent: `column` (depth 0) and all it reaches, going from edges' `start` to their `end`; of several parents the smallest.
 
-    Edges are read in each round, so they should be written ones.
+    Edges are read in each round, so they should be written ones, or cheap to derive. Edges that stand more than once change nothing.
+    Nodes of tables from which no edge starts are reached, but lead no round.
     """
     spark = edges.sparkSession
     with Work(spark) as work:
+        going = work.cut(edges.select(table_of(F.col(start)).alias("table")).distinct())
         steps = edges.select(F.col(start).alias("parent"), F.col(end).alias("next"))
         rounds = [work.cut(spark.createDataFrame([(column, 0, None)], "node string, depth int, parent string"))]
-        depth = 0
+        depth, front = 0, rounds[0]
         while True:
             depth += 1
-            found = steps.join(rounds[-1].select(F.col("node").alias("parent")), "parent")
+            found = steps.join(front.select(F.col("node").alias("parent")), "parent")
             found = found.groupBy(F.col("next").alias("node")).agg(F.lit(depth).alias("depth"), F.min("parent").alias("parent"))
             new = work.cut(found.join(union(rounds).select("node"), "node", "left_anti"))
-            if new.isEmpty():
-                return cut(union(rounds))
-            # The newest stays apart, as the frontier.
+            # The newest stays apart.
             rounds = [*rounds, new] if len(rounds) < ROUNDS else [work.cut(union(rounds)), new]
+            front = work.cut(new.join(going, table_of(F.col("node")) == F.col("table"), "left_semi"))
+            if front.isEmpty():
+                return cut(union(rounds))
 
 
 def _edges_at(edges: DataFrame, column: str, start: str, end: str) -> DataFrame:
@@ -240,9 +243,8 @@ def short_names(edges: DataFrame) -> DataFrame:
 
     Only the longest forms are candidates: what is itself the end of a longer name stands for that one.
     """
-    ends = edges.select(table_of(F.col("source_col")).alias("name")).where(F.contains("source_col", F.lit("."))).distinct()
-    ends = ends.unionAll(edges.select(table_of(F.col("target_col")).alias("name")).where(F.contains("target_col", F.lit("."))).distinct())
-    names = cut(ends.distinct())
+    ends = edges.select(F.explode(F.array("source_col", "target_col")).alias("id")).where(F.contains("id", F.lit(".")))
+    names = cut(ends.select(table_of(F.col("id")).alias("name")).distinct())
     longer = names.withColumn("dots", F.length("name") - F.length(F.replace("name", F.lit("."), F.lit("")))).where("dots > 0")
     longer = longer.select(F.col("name").alias("long"), F.explode(F.expr("transform(sequence(1, dots), i -> substring_index(name, '.', -i))")).alias("name"))
     met = cut(names.join(longer, "name").select(F.col("name").alias("short"), "long"))
@@ -269,24 +271,37 @@ def ambiguity_warnings(known: DataFrame) -> DataFrame:
     return known.where("candidates > 1").select(F.lit(GRAPH_FILE).alias("file"), text.alias("error"), F.lit("warn").alias("severity"))
 
 
+def _peeled(edges: DataFrame, work: Work) -> DataFrame:
+    """Written edges without those that lead nowhere or come from nowhere, round by round.
+
+    What leads nowhere goes first in each round, and what comes from nowhere is looked for in the rest.
+    """
+    left = edges
+    n = left.count()
+    while n:
+        sources = left.select(F.col("source_col").alias("target_col")).distinct()
+        rest = work.cut(left.join(sources, "target_col", "left_semi"))
+        targets = rest.select(F.col("target_col").alias("source_col")).distinct()
+        fewer = work.cut(rest.join(targets, "source_col", "left_semi").select(edges.columns))
+        now = fewer.count()
+        if now == n:
+            break
+        left, n = fewer, now
+    return left if n else left.limit(0)
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges that are left when nodes without an incoming or outgoing edge are taken away until none is: empty if there is no cycle.
 
-    What leads nowhere goes first in each round, and what comes from nowhere is looked for in the rest.
+    The edges between tables are treated so first: an edge of the core lies between two tables whose edge is of theirs, so that the rest
+    need not be moved. Edges that stand more than once do so in the core, too.
     """
     with Work(edges.sparkSession) as work:
-        left = edges
-        n = left.count()
-        while n:
-            sources = left.select(F.col("source_col").alias("target_col")).distinct()
-            rest = work.cut(left.join(sources, "target_col", "left_semi"))
-            targets = rest.select(F.col("target_col").alias("source_col")).distinct()
-            fewer = work.cut(rest.join(targets, "source_col", "left_semi").select(edges.columns))
-            now = fewer.count()
-            if now == n:
-                break
-            left, n = fewer, now
-        return cut(left if n else left.limit(0))
+        of_tables = {c: table_of(F.col(c)) for c in ("source_col", "target_col")}
+        pairs = _peeled(work.cut(edges.select(*[table.alias(c) for c, table in of_tables.items()]).distinct()), work)
+        pairs = work.cut(pairs.select(F.col("source_col").alias("__from"), F.col("target_col").alias("__to")))
+        within = edges.join(pairs, (of_tables["source_col"] == F.col("__from")) & (of_tables["target_col"] == F.col("__to")), "left_semi")
+        return cut(_peeled(work.cut(within), work))
 
 
 def cycle_warning(edges: DataFrame) -> DataFrame:
@@ -318,12 +333,22 @@ def cycle_warning(edges: DataFrame) -> DataFrame:
         return cut(on_cycle.agg(F.lit(GRAPH_FILE).alias("file"), text.alias("error"), F.lit("warn").alias("severity")))
 
 
+def built_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Extracted edges in lower case and with whole names (known: their short_names in lower case), one between two columns."""
+    return dedup_edges(resolve_short_names(normalize_case(edges), known))
+
+
+def built_warnings(edges: DataFrame, warnings: DataFrame, known: DataFrame) -> DataFrame:
+    """warnings (file, error, severity) and what is wrong with the graph of these edges; edges that stand more than once change nothing."""
+    named = resolve_short_names(normalize_case(edges.select("source_col", "target_col")), known)
+    return cut(warnings.select("file", "error", "severity").unionAll(ambiguity_warnings(known)).unionAll(cycle_warning(named)))
+
+
 def build_graph(edges: DataFrame, warnings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, warnings, file statistics) of extracted edges: lower case, whole names, one edge between two columns, and what is wrong with the graph."""
-    lowered = cut(normalize_case(edges))
-    known = cut(short_names(lowered))
-    graph = cut(dedup_edges(resolve_short_names(lowered, known)))
-    said = cut(warnings.select("file", "error", "severity").unionAll(ambiguity_warnings(known)).unionAll(cycle_warning(graph)))
+    known = cut(short_names(normalize_case(edges)))
+    graph = cut(built_edges(edges, known))
+    said = built_warnings(graph, warnings, known)
     return graph, said, file_stats(graph, said)
 
 

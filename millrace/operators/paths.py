@@ -37,6 +37,27 @@ def _named(source: Column, key: Column, column_id: Column) -> Column:
     return F.when(through, F.concat(table_of(source), F.lit("."), column_of(column_id))).otherwise(source)
 
 
+def leading_to(edges: DataFrame, column: str) -> DataFrame:
+    """The edges by which trace_paths can come to column; one that several columns are met by stands several times.
+
+    Edges are read in each round, but for columns of tables that no edge leads into.
+    """
+    spark = edges.sparkSession
+    with Work(spark) as work:
+        made = work.cut(edges.select(table_of(F.col("target_col")).alias("table")).distinct())
+        front = work.cut(spark.createDataFrame([(column,)], "node string"))
+        seen, met = [front], [edges.limit(0)]
+        while not front.isEmpty():
+            asked = front.withColumn("__key", F.explode(_keys(F.col("node"))))
+            found = work.cut(edges.join(asked, edges.target_col == F.col("__key")))
+            met.append(found.select(edges.columns))
+            new = found.select(_named(F.col("source_col"), F.col("__key"), F.col("node")).alias("node")).distinct()
+            new = work.cut(new.join(union(seen), "node", "left_anti"))
+            seen.append(new)
+            front = work.cut(new.join(made, table_of(F.col("node")) == F.col("table"), "left_semi"))
+        return cut(union(met))
+
+
 def trace_paths(edges: DataFrame, column: str, max_paths: int = MAX_PATHS) -> DataFrame:
     """path (columns joined by ` > `, the oldest first), hops, transforms (joined by `,`, in order), steps, truncated.
 

@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.operators import lineage
@@ -71,3 +72,10 @@ def test_edges_are_sorted_once_after_they_are_dealt(spark):
 @pytest.mark.parametrize("name", ["g07_file_stats", "g08_error_files", "g13_impact", "g23_file_confidence", "g34_warnings", "g47_severity_counts"])
 def test_edges_that_are_read_several_times_are_made_once(spark, name):
     assert "SortAggregate" not in _plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("name", ["g14_lineage", "g15_payload"])
+def test_closures_move_no_attributes(spark, monkeypatch, name):
+    """Up and down from a column only the ends of edges are read, of all edges as they come."""
+    monkeypatch.setattr(lineage, "dedup_edges", lambda edges, order="seq": edges.select(F.raise_error(F.lit("sorted"))))
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0

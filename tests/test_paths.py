@@ -82,3 +82,9 @@ def test_severities_and_nulls(spark):
     assert lineage.severity_counts(said.limit(0)).count() == 0
     edges = edges_of(spark, ("a.x", "b.x", None, None), ("a.x", "c.x", "filter", None))
     assert [r["target_col"] for r in lineage.visible(edges).collect()] == ["b.x"] and lineage.visible(edges, filters=True, join_keys=True).count() == 2
+
+
+def test_edges_that_lead_to_a_column(spark):
+    edges = spark.createDataFrame([("raw.*", "mid.*"), ("mid.x", "out.x"), ("mid.y", "out.y"), ("out.x", "far.x"), ("out.x", "mid.x")], "source_col string, target_col string")
+    rows = {tuple(r) for r in paths.leading_to(edges, "out.x").collect()}
+    assert rows == {("raw.*", "mid.*"), ("mid.x", "out.x"), ("out.x", "mid.x")}

@@ -35,6 +35,9 @@ def _marked(edges: DataFrame, views: DataFrame | list[str]) -> tuple[DataFrame,
         scope, known = F.lit(""), spark.createDataFrame([("", v.lower()) for v in views], "__scope string, __view string")
     known = cut(known.where("__scope is not null and __view is not null").distinct())  # so that few are broadcast
     out = edges.withColumn("__scope", scope)
+    if not isinstance(views, DataFrame):
+        within = lambda end: F.contains(end, F.lit(".")) & F.lower(table_of(F.col(end))).isin([v.lower() for v in views])
+        return out.withColumns({"__from": F.coalesce(within("source_col"), F.lit(False)), "__to": F.coalesce(within("target_col"), F.lit(False))}), known
     for end, name in (("source_col", "__from"), ("target_col", "__to")):
         one = known.select("__scope", F.col("__view").alias("__table"), F.lit(True).alias(name))
         out = out.withColumn("__table", F.lower(table_of(F.col(end)))).join(one, ["__scope", "__table"], "left").drop("__table")
@@ -119,8 +122,10 @@ def inline_views(edges: DataFrame, views: DataFrame | list[str]) -> DataFrame:
     columns = entries.where("not endswith(key, '.*')").join(starred, ["__scope", "table"], "left_semi").select("__scope", F.col("key").alias("start"))
     sources = sources_of(asked.unionAll(columns), entries, known)
     rest = marked.where("not __to")
-    plain = rest.withColumn("start", F.when(F.col("__from"), F.lower("source_col"))).join(sources, ["__scope", "start"], "left")
+    # Edges from no view's column have nothing to be joined with, and stay where they are.
+    plain = rest.where("__from").withColumn("start", F.lower("source_col")).join(sources, ["__scope", "start"], "left")
     plain = plain.withColumn("source_col", F.coalesce("up", "source_col"))
+    other = rest.where("not __from").withColumn("chain", F.lit(None).cast(_CHAIN))
     named = sources.where("not endswith(start, '.*')").withColumn("table", table_of(F.col("start")))
     wide = rest.where(F.col("__from") & both_stars).withColumn("table", F.lower(table_of(F.col("source_col")))).join(named, ["__scope", "table"])
     wide = wide.withColumn("source_col", F.col("up")).withColumn("target_col", F.concat(table_of(F.col("target_col")), F.lit("."), column_of(F.col("start"))))
@@ -128,7 +133,7 @@ def inline_views(edges: DataFrame, views: DataFrame | list[str]) -> DataFrame:
     keys = cut(entries.select("__scope", F.col("key").alias("start")).distinct())
     wide = wide.join(keys, ["__scope", "start"], "left_semi")
     better = F.coalesce(F.col("chain.rank") > priority(F.col("transform_type")), F.lit(False))
-    out = plain.select(*edges.columns, "chain").unionAll(wide.select(*edges.columns, "chain"))
+    out = union([part.select(*edges.columns, "chain") for part in (plain, other, wide)])
     # Both at once: each looks at the transform that was.
     out = out.withColumns({"transform_type": F.when(better, F.col("chain.transform")).otherwise(F.col("transform_type")), "expression": F.when(better, F.col("chain.expression")).otherwise(F.col("expression"))})
     return out.select(edges.columns)

@@ -11,10 +11,14 @@ every document's set into segments.
    enough for a set of the band's smallest size to fill more than D segments as a rule, so that empty
    segments (equal in any two sets) need not be joined; a set that fills fewer is also cut by further
    orders, until one suits it, and if none of ORDERS does, its empty segments under the first are joined.
+   Where a set fills more segments than it can differ in, only so many and one are joined: those that hold the
+   most n-grams (ties by hash). Of two similar sets each lacks at most D of the other's segments, so in any common order of
+   segments the first one that both hold is among the first D + 1 of each; full ones are seldom shared by unlike sets.
 3. In each run of equal segments, sets are compared with the run's first and with their neighbour, in an
    order of each run's own, so that a set meets others in each of its runs. A parity sketch, whose Hamming
-   distance never exceeds the number of differing n-grams, drops most candidates; for the others partial
-   overlaps are counted fragment by fragment and summed per pair: first for each set's nearest by sketch, and
+   distance never exceeds the number of differing n-grams, drops most candidates. A sketch of fixed length can't tell
+   large sets apart, so these have another one that grows with their size (2 to 4 bits an n-gram), which pairs
+   that are left must pass, too, before any n-grams move; for the others partial overlaps are counted fragment by fragment and summed per pair: first for each set's nearest by sketch, and
    then for those that the links of the first leave in different components.
 4. Components of these links are contracted. Runs that hold several components are joined once more,
    for pairs of different components alone whose sketches are near, and verified likewise, so that no link is lost
@@ -42,6 +46,8 @@ from .components import components
 PARTS = 8
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Sets of more n-grams than half a parity sketch's bits have a long sketch, too, of LONG_BITS at most.
+LONG_BITS = 1 << 18
 #: Up to this many ids (16 MB) the documents to verify are picked by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: A size band reaches from L to L / BAND.
@@ -82,6 +88,15 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
+    def differ(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The most n-grams in which sets of these sizes differ from similar ones that are cut for the band, too.
+
+        Those of a higher band meet only the band's own sets there; the others also larger ones.
+        """
+        own = self.of(sizes) == band
+        most = np.where(own, self.den * sizes // self.num, self.low[np.minimum(band + 1, len(self.low) - 1)] - 1)
+        return (sizes + most) * (self.den - self.num) // (self.num + self.den)
+
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, n-grams, offsets): every text's distinct n-grams in the global order."""
@@ -114,21 +129,43 @@ def _parity(grams: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _long_sketches(grams: np.ndarray, to: np.ndarray) -> pa.Array:
+    """A parity sketch of 2 to 4 bits an n-gram (a power of two, LONG_BITS at most) for each larger set, nothing for the others."""
+    sizes = np.diff(to)
+    bits = np.minimum(2 ** np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64), LONG_BITS)
+    bits[2 * sizes <= 64 * SKETCH] = 0
+    at = np.concatenate([[0], np.cumsum(bits)])
+    own, long = np.repeat(bits, sizes), np.repeat(bits > 0, sizes)
+    bit = words.mix(grams[long] ^ np.uint64(0x9FB21C651E98DF25)) & (own[long] - 1).astype(np.uint64)
+    odd = np.bincount(np.repeat(at[:-1], sizes)[long] + bit.astype(np.int64), minlength=at[-1]) & 1
+    held = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(held)])
+
+
+def _long_apart(a: bytes, b: bytes) -> int:
+    """Hamming distance of two long sketches; the longer one is folded, which leaves the shorter one's bits."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), 0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def classes(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc, row (a hash of the text), set_id, size, p0, p1, ... of every row; rows with equal sets share a set_id."""
+    """doc, row (a hash of the text), set_id, size, p0, p1, ..., sketch of every row; rows with equal sets share a set_id."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, grams, to in _sets(batch.column(2), n):
                 ids, texts = (batch.column(i).slice(row, stop - row) for i in range(2))
-                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to))], ["doc", "row", "set_id", "size", *_SKETCHES])
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(_set_ids(grams, to)), pa.array(np.diff(to)), *map(pa.array, _parity(grams, to)), _long_sketches(grams, to)],
+                                                     ["doc", "row", "set_id", "size", *_SKETCHES, "sketch"])
 
-    schema = "doc long, row long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES)
+    schema = "doc long, row long, set_id long, size long, " + ", ".join(f"{p} long" for p in _SKETCHES) + ", sketch binary"
     return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(storage.tidy(task), schema)
 
 
-def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each non-empty segment: its set's index, its fragment, and the hash of what it holds."""
+def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each non-empty segment: its set's index, its fragment, the hash of what it holds, and how many n-grams that are."""
     owner = np.repeat(np.arange(len(to) - 1), np.diff(to))
     place = grams if order == 0 else words.mix(grams ^ np.uint64((0x9E3779B97F4A7C15 * (2 * order + 1)) % 2**64))
     fragment = ((place >> np.uint64(32)) * k[owner].astype(np.uint64)) >> np.uint64(32)
@@ -139,7 +176,16 @@ def _segments(grams: np.ndarray, to: np.ndarray, k: np.ndarray, order: int) -> t
     head[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
     at = np.flatnonzero(head)
     held = np.add.reduceat(words.mix(grams + np.uint64(0x14057B7EF767814F)), at) if len(at) else np.zeros(0, np.uint64)
-    return owner[at], fragment[at].astype(np.int64), held
+    return owner[at], fragment[at].astype(np.int64), held, np.diff(np.append(at, len(grams)))
+
+
+def _fullest(owner: np.ndarray, held: np.ndarray, many: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which segments are among the most[owner] ones of their set that hold the most n-grams, ties by hash; owner ascends."""
+    by = np.lexsort((held, -many, owner))
+    begin = np.searchsorted(owner, np.arange(len(most)))
+    out = np.zeros(len(owner), bool)
+    out[by] = np.arange(len(owner)) - begin[owner] < most[owner]
+    return out
 
 
 def _empty_segments(grams: np.ndarray, to: np.ndarray, index: np.ndarray, k: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +219,13 @@ def segment_keys(grams: np.ndarray, to: np.ndarray, bands: Bands) -> tuple[np.nd
             spans = [slice(to[i], to[i + 1]) for i in index]
             some = grams if len(index) == len(sizes) else np.concatenate([grams[s] for s in spans])
             offsets = np.concatenate([[0], np.cumsum(sizes[index])])
-            k, d = bands.k[band[index]], bands.d[band[index]]
-            owner, fragment, held = _segments(some, offsets, k, order)
+            k, d = bands.k[band[index]], bands.differ(sizes[index], band[index])
+            owner, fragment, held, many = _segments(some, offsets, k, order)
+            full = np.bincount(owner, minlength=len(index))
+            kept = _fullest(owner, held, many, d + 1)
+            owner, fragment, held = owner[kept], fragment[kept], held[kept]
             tag = words.mix(band[index][owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(order))
             found.append((index[owner], words.mix(held ^ words.mix(tag + fragment.astype(np.uint64)))))
-            full = np.bincount(owner, minlength=len(index))
             here = np.zeros(len(sizes), bool)
             here[index[full <= d]] = True  # k - full empty segments: as many as may be equal in two similar sets
             order += 1
@@ -252,6 +300,27 @@ def _near(num: int, den: int):
     return fits & (_apart() <= F.floor((F.col("a_size") + F.col("b_size")) * (den - num) / F.lit(num + den)))
 
 
+def _close(pairs: DataFrame, rows: DataFrame, num: int, den: int, work: str) -> DataFrame:
+    """The pairs (a, b, a_size, b_size, apart) whose long sketches, too, allow them to be similar; apart is their distance, where there are any."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
+    long = rows.where(F.length("sketch") > 0).join(wanted, "set_id", "left_semi")
+    long = storage.save(long.groupBy("set_id").agg(F.first("sketch").alias("sketch")), f"{work}-long")
+    for side in "ab":
+        pairs = pairs.join(long.select(F.col("set_id").alias(side), F.col("sketch").alias(f"of_{side}")), side, "left")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, apart = (batch.column(i).to_numpy().copy() for i in (2, 3))
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5))):
+                if a.is_valid and b.is_valid:
+                    apart[i] = _long_apart(a.as_py(), b.as_py())
+            near = apart * (num + den) <= (sizes + batch.column(6).to_numpy()) * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(6), pa.array(apart)], ["a", "b", "a_size", "b_size", "apart"]).filter(pa.array(near))
+
+    pairs = pairs.select("a", "b", "a_size", F.col("apart").cast("long"), "of_a", "of_b", "b_size")
+    return storage.save(pairs.mapInArrow(storage.tidy(task), "a long, b long, a_size long, b_size long, apart long"), f"{work}-close")
+
+
 def _between(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs of sets in different components."""
     for side in "ab":
@@ -284,7 +353,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, num:
                 if not meant.all():
                     grams, ids = grams[np.repeat(meant, np.diff(to))], ids[meant]
                     to = np.concatenate([[0], np.cumsum(np.diff(to)[meant])])
-                owner, part, _ = _segments(grams, to, np.full(len(to) - 1, PARTS), 0)
+                owner, part, *_ = _segments(grams, to, np.full(len(to) - 1, PARTS), 0)
                 every = np.repeat(np.arange(len(to) - 1), np.diff(to)) * PARTS + (((grams >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)).astype(np.int64)
                 cuts = np.append(np.searchsorted(every, owner * PARTS + part), len(grams)).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))
@@ -330,7 +399,8 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, t
 
     pairs = met.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_near(num, den))
-    pairs = storage.save(pairs.select("a", "b", "a_size", "b_size", _apart().alias("apart")), f"{folder}/pairs")
+    seen = storage.save(pairs.select("a", "b", "a_size", "b_size", _apart().alias("apart")), f"{folder}/pairs")
+    pairs = _close(seen, rows, num, den, f"{folder}/pairs")
     check = lambda some, name: storage.save(_verified(some, with_id, known, n, num, den, doc_id, text, f"{folder}/{name}"), f"{folder}/{name}-links")
     ways = pairs.select("a", "b", "apart").unionAll(pairs.select(F.col("b"), F.col("a"), "apart"))
     nearest = ways.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"))
@@ -350,8 +420,9 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str, t
         one, two = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "ab")
         apart = (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_group") != F.col("b_group")) & _near(num, den)
         across = one.join(two, (F.col("a_key") == F.col("b_key")) & apart)
-        across = across.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), "a_size", "b_size").distinct()
-        across = storage.save(across.join(pairs, ["a", "b"], "left_anti"), f"{folder}/across")
+        across = across.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), "a_size", "b_size", _apart().alias("apart")).distinct()
+        across = storage.save(across.join(seen, ["a", "b"], "left_anti"), f"{folder}/across")
+        across = _close(across, rows, num, den, f"{folder}/across").drop("apart")
         if not across.isEmpty():
             joined = storage.save(_joined(joined, check(across, "verify3")), f"{folder}/joined3")
 

@@ -66,6 +66,41 @@ def test_every_set_gets_a_key_and_cutting_ends():
     assert len(index) == len(keys) and set(index.tolist()) == set(range(len(sizes)))
 
 
+@pytest.mark.parametrize("num, den", [(4, 5), (85, 100), (1, 2)])
+def test_similar_sets_share_one_of_few_keys(num, den):
+    bands = ngram_join.Bands(num, den)
+    rng = np.random.default_rng(den)
+    for size in [*range(1, 60), *rng.integers(60, 3000, 140).tolist()]:
+        union = rng.integers(0, 2**64, size, dtype=np.uint64)
+        lost = rng.permutation(size)[: size * (den - num) // den]  # as unlike as similar sets can be
+        cut = int(rng.integers(0, len(lost) + 1))
+        a, b = (np.sort(np.delete(union, side)) for side in (lost[:cut], lost[cut:]))
+        grams, to = np.concatenate([a, b]), np.array([0, len(a), size - len(lost) + len(a) + cut])
+        assert to[-1] == len(grams)
+        index, keys = ngram_join.segment_keys(grams, to, bands)
+        assert set(keys[index == 0].tolist()) & set(keys[index == 1].tolist()), (size, cut)
+        sketches = ngram_join._long_sketches(grams, to)
+        if all(len(x.as_py()) for x in sketches):
+            assert ngram_join._long_apart(*(x.as_py() for x in sketches)) <= len(lost)
+        if len(a) > 200 and 2 * den < 3 * num:  # one order suits it (not so at 1/2): as many segments as it can differ in and one, in each band that it is cut for
+            own = int(bands.of(len(a)))
+            cut_for = [band for band in range(own + 1) if band == own or len(a) <= bands.reach[band]]
+            assert (index == 0).sum() <= sum(int(bands.differ(np.array([len(a)]), np.array([band]))[0]) + 1 for band in cut_for)
+
+
+def test_long_sets_that_share_passages_are_not_verified(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in rng.integers(0, 9999, 1000)]
+    texts = [[f"w{i}" for i in rng.integers(0, 10**6, 1000)] + passage for _ in range(60)]
+    texts += [texts[0][:900] + ["else"] * 20 + texts[0][900:], texts[1][50:]]
+    rows = [(i, " ".join(text)) for i, text in enumerate(texts)]
+    compared, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    found = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, (4, 5)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_by_hand(rows, 5, 4, 5)
+    assert sum(compared) <= 4
+
+
 def test_nearest_recall_and_scores(spark):
     table = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
     ok = [r for r in table if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]

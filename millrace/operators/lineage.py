@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import Work, cut, union
+from millrace.sources.shared import Work, alone, cut, union
 
 #: Transforms from the most to the least telling (fixed values).
 PRIORITY = {"window": 5, "cast": 4, "aggregation": 3, "expression": 2, "passthrough": 1}
@@ -23,6 +23,8 @@ GRAPH_FILE = "<graph>"
 WARNING = "file string, error string, severity string"
 #: Frontiers that are kept apart before they are put together.
 ROUNDS = 12
+#: Edges of one column that may come together in one task, and parts by which edges are counted to find columns with more.
+CROWD, PARTS = 100_000, 32_768
 
 
 def table_of(column_id: Column) -> Column:
@@ -217,6 +219,11 @@ def incoming_expressions(edges: DataFrame, column: str) -> DataFrame:
     return kept.select("expression", "source_file", "source_line").distinct()
 
 
+def _table_from(source: Column) -> Column:
+    """The table of a source; null without a dot."""
+    return F.when(F.contains(source, F.lit(".")), table_of(source))
+
+
 def _in_order(edges: DataFrame, value: Column, name: str, glue: str) -> DataFrame:
     """target_col and its edges' distinct values, joined in the order in which they came."""
     first = edges.select("target_col", "seq", "source_col", value.alias("v")).where("v is not null").groupBy("target_col", "v").agg(F.min(F.struct("seq", "source_col")).alias("at"))
@@ -224,20 +231,61 @@ def _in_order(edges: DataFrame, value: Column, name: str, glue: str) -> DataFram
     return held.select("target_col", F.array_join(F.transform("held", lambda x: x["v"]), glue).alias(name))
 
 
-def list_columns(edges: DataFrame, table: str) -> DataFrame:
-    """Every column of table: node_id, column_name, its source tables and expressions in order, and file, line and transform of its first edge."""
-    own = nodes(edges).where(F.contains("node", F.lit(".")) & (table_of(F.col("node")) == table)).select(F.col("node").alias("target_col"))
-    into = edges.where(F.contains("target_col", F.lit(".")) & (table_of(F.col("target_col")) == table))
-    first = into.groupBy("target_col").agg(F.min(F.struct("seq", "source_col", "source_file", "source_line", "transform_type")).alias("f"))
-    from_table = F.when(F.contains("source_col", F.lit(".")), table_of(F.col("source_col")))
-    out = own.join(first, "target_col", "left").join(_in_order(into, from_table, "source_tables", ","), "target_col", "left")
+def _crowded(names: DataFrame) -> DataFrame:
+    """Values of column_name in more than CROWD rows. Rows are counted by parts first, so that names move only of parts that may hold such a value."""
+    part = F.pmod(F.xxhash64("column_name"), F.lit(PARTS))
+    full = cut(names.groupBy(part.alias("part")).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("part"))
+    if full.isEmpty():
+        return names.limit(0)
+    there = names.withColumn("part", part).join(F.broadcast(full), "part", "left_semi")  # PARTS rows at most
+    return there.groupBy("column_name").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("column_name")
+
+
+def _columns_apart(into: DataFrame) -> DataFrame:
+    """column_name, source_tables, expressions and first edge (f) of the targets of these edges; no target's edges come together in one task."""
+    into = cut(dedup_edges(into))
+    first = into.groupBy("target_col").agg(F.first("column_name").alias("column_name"), F.min(F.struct("seq", "source_col", "source_file", "source_line", "transform_type")).alias("f"))
+    out = first.join(_in_order(into, _table_from(F.col("source_col")), "source_tables", ","), "target_col", "left")
     out = out.join(_in_order(into, F.when(F.col("expression") != "", F.col("expression")), "expressions", "\n"), "target_col", "left")
-    return out.select(
-        F.col("target_col").alias("node_id"), column_of(F.col("target_col")).alias("column_name"), F.coalesce("source_tables", F.lit("")).alias("source_tables"),
-        "expressions", "f.source_file", "f.source_line", "f.transform_type",
+    return out.select("column_name", F.coalesce("source_tables", F.lit("")).alias("source_tables"), "expressions", "f")
+
+
+def _columns_at_once(ends: DataFrame) -> DataFrame:
+    """As `_columns_apart`, of column names and their edges (`edge`, from source_col and seq on; null for none), which move once and come together."""
+    held = ends.repartition("column_name").groupBy(F.xxhash64("column_name").alias("__hash"), "column_name").agg(F.collect_list("edge").alias("e"))
+    held = held.select("column_name", F.sort_array("e").alias("e"))
+    # Of a source's edges the last one stands.
+    held = held.select("column_name", F.filter("e", lambda x, i: ~F.get("e", i + 1)["source_col"].eqNullSafe(x["source_col"]) | (i + 1 == F.size("e"))).alias("e"))
+    at = ("seq", "source_col", "source_file", "source_line", "transform_type", "expression")
+    held = held.select("column_name", F.sort_array(F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in at]))).alias("e"))
+    tables_ = F.array_distinct(F.transform("e", lambda x: _table_from(x["source_col"])))
+    held = held.select("column_name", F.get("e", F.lit(0)).alias("f"), tables_.alias("t"), F.array_distinct(F.filter(F.col("e.expression"), lambda x: x != "")).alias("x"))
+    return held.select(
+        "column_name", F.array_join("t", ",").alias("source_tables"), F.when(F.size("x") > 0, F.array_join("x", "\n")).alias("expressions"),
+        F.struct(*[f"f.{c}" for c in at[:-1]]).alias("f"),
     )
 
 
+def list_columns(edges: DataFrame, table: str) -> DataFrame:
+    """Every column of table: node_id, column_name, its source tables and expressions in order, and file, line and transform of its first edge.
+
+    Of edges between the same columns the last counts, as in `dedup_edges`. A column's edges are moved once, to one task, unless there are more than CROWD of them.
+    """
+    name = {end: F.substring(F.col(end), F.lit(len(table) + 2), F.char_length(end)) for end in ("source_col", "target_col")}
+    own = {end: F.startswith(F.col(end), F.lit(f"{table}.")) & ~F.contains(name[end], F.lit(".")) for end in name}
+    into = edges.where(own["target_col"])
+    rest = sorted(c for c in edges.columns if c not in ("source_col", "target_col", "seq"))
+    ends = into.select(name["target_col"].alias("column_name"), F.struct("source_col", "seq", *rest).alias("edge"))
+    ends = ends.unionByName(edges.where(own["source_col"]).select(name["source_col"].alias("column_name")).distinct(), allowMissingColumns=True)
+    crowded = alone(edges.sparkSession, lambda: _crowded(into.select(name["target_col"].alias("column_name"))))
+    if crowded.isEmpty():
+        out = _columns_at_once(ends)
+    else:
+        apart = alone(edges.sparkSession, lambda: _columns_apart(into.withColumn("column_name", name["target_col"]).join(crowded, "column_name", "left_semi")))
+        out = _columns_at_once(ends.join(crowded, "column_name", "left_anti")).unionAll(apart)
+    return out.select(F.concat(F.lit(f"{table}."), "column_name").alias("node_id"), "column_name", "source_tables", "expressions", "f.source_file", "f.source_line", "f.transform_type")
+
+
 def short_names(edges: DataFrame) -> DataFrame:
     """short, candidates, full: table names that are the end of others, how many, and the first of those; ids without a dot name no table.
 

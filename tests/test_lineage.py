@@ -79,3 +79,27 @@ def test_closures_move_no_attributes(spark, monkeypatch, name):
     """Up and down from a column only the ends of edges are read, of all edges as they come."""
     monkeypatch.setattr(lineage, "dedup_edges", lambda edges, order="seq": edges.select(F.raise_error(F.lit("sorted"))))
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("name", ["g18_source_columns", "g19_list_columns"])
+def test_columns_of_a_table_move_their_edges_once(spark, name):
+    """Dealt by column, and nothing more but what only feeds other columns; no edges are written or taken once before."""
+    plan = _plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning(column_name") == plan.count("Exchange ") == 2 and "millrace-table" not in plan
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 4, 100_000])
+def test_columns_of_a_table_however_many_edges_come_together(spark, monkeypatch, crowd):
+    """Of edges between the same columns the last counts; sources without a dot are no tables; empty and null expressions are none."""
+    monkeypatch.setattr(lineage, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(lineage, "PARTS", 2, raising=False)
+    rows = [("b.x", "s.t.x", "cast", "late", 5), ("a.x", "s.t.x", "window", "e", 1), ("b.x", "s.t.x", "cast", "early", 0), ("nodot", "s.t.x", "cast", "e", 2), (None, "s.t.x", "cast", "", 3), ("b.y", "s.t.x", "cast", None, 5)]
+    rows += [("z.x", "s.t.y", "cast", None, 1), ("a.x", "s.t.y", "window", "", 1), ("s.t.y", "s.t.", "cast", "*", 1), ("s.t.only", "a.x", "cast", "o", 1), ("s.t.x", "s.t.x", "cast", "self", 9)]
+    rows += [("a.x", "t.x", "cast", "other", 1), ("s.t.deep.x", "s.t", "cast", "other", 1), ("a.x", None, "cast", "other", 1)]
+    edges = spark.createDataFrame([(s, t, kind, "f", e, n, "certain", n) for s, t, kind, e, n in rows], EDGE + ", expression string, source_line int, confidence string, seq long")
+    found = {tuple(r) for r in lineage.list_columns(edges, "s.t").collect()}
+    assert found == {
+        ("s.t.x", "x", "a,b,s.t", "e\nlate\nself", "f", 1, "window"), ("s.t.y", "y", "a,z", None, "f", 1, "window"),
+        ("s.t.", "", "s.t", "*", "f", 1, "cast"), ("s.t.only", "only", "", None, None, None, None),
+    }
+    assert lineage.list_columns(edges, "none").count() == 0 and lineage.list_columns(edges.limit(0), "s.t").count() == 0
